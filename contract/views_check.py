@@ -1,0 +1,8 @@
+from contract import views
+from contract.base import query
+from contract.views import with_views
+
+for _name in ("cand", "material", "timeline", "usage", "registry", "bgm", "pcm", "tags", "transcript", "recall"):
+    query(f"view_{_name}", "view", with_views(_name, body=f"SELECT * FROM {_name}"))(getattr(views, _name))
+query("view_frame", "view", with_views("frame", body="SELECT frame_id, label, hash, list_sum(luma)::BIGINT AS l FROM frame"))(
+    lambda s, sf: views.frame(s, sf).selectExpr("frame_id", "label", "hash", "aggregate(luma, 0L, (a, x) -> a + x) l"))
