@@ -6,6 +6,7 @@ import argparse
 import datetime
 import glob
 import os
+import signal
 import sys
 import time
 import traceback
@@ -72,6 +73,7 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--limit", type=int, default=40)
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = build_session("check", "local[8]", **{
@@ -83,10 +85,14 @@ def main() -> int:
     failed = 0
     for name in names:
         began = time.time()
+        signal.signal(signal.SIGALRM, lambda *_: (_ for _ in ()).throw(TimeoutError(name)))
+        signal.alarm(args.limit)
         try:
             ok, note = compare(spark, con, args.sf, name, QUERIES[name], ORACLES.get(name))
         except Exception as exc:
             ok, note = False, "".join(traceback.format_exception_only(exc))[:900]
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - began:.2f}s {note}", flush=True)
     print(f"{len(names) - failed}/{len(names)} ok")

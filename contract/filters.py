@@ -28,12 +28,12 @@ def _(s, sf):
     "st": f"SELECT video_id, {STEM} AS stem FROM material",
     "a": """SELECT *, regexp_matches(stem, '(?s)^(.*)_([^_]*)_([^_]*)_([^_]*)$') AS ok,
   regexp_extract(stem, '(?s)^(.*)_([^_]*)_([^_]*)_([^_]*)$', ['head', 'market', 'language', 'note']) AS r FROM st""",
-    "b": """SELECT *, strpos(r.head, '_@') AS at, left(r.head, greatest(0, strpos(r.head, '_@') - 1)) AS block FROM a""",
-    "c": "SELECT *, ok AND at > 0 AND strpos(block, '-') > 0 AS good FROM b",
+    "b": """SELECT *, strpos(r.head, '_@') AS pos_at, left(r.head, greatest(0, strpos(r.head, '_@') - 1)) AS block FROM a""",
+    "c": "SELECT *, ok AND pos_at > 0 AND strpos(block, '-') > 0 AS good FROM b",
 }, body=f"""SELECT video_id, CASE WHEN NOT good THEN '{text.NAME_ERROR}' WHEN r.note = '' THEN '{text.NOTE_ERROR}' END AS error,
   CASE WHEN good THEN trim(left(block, strpos(block, '-') - 1)) END AS parent_category,
   CASE WHEN good THEN trim(substr(block, strpos(block, '-') + 1)) END AS source_category,
-  CASE WHEN good THEN '@' || trim(substr(r.head, at + 2)) END AS author,
+  CASE WHEN good THEN '@' || trim(substr(r.head, pos_at + 2)) END AS author,
   CASE WHEN good THEN trim(r.market) END AS market, CASE WHEN good THEN trim(r.language) END AS language,
   CASE WHEN good THEN trim(r.note) END AS note_id FROM c"""))
 def _(s, sf):
@@ -94,7 +94,7 @@ def _(s, sf):
 
 @query("normalize_reviews", "B07", with_views("cand", more={
     "raw": """SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY candidate_id) AS raw_index,
-  greatest(0, start_ms - 900) AS s, least(dur_ms, end_ms) AS e,
+  greatest(0, start_ms - candidate_id % 2 * 900) AS s, least(dur_ms, end_ms) AS e,
   CASE candidate_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE start_ms + (candidate_id * 11) % 4000 END AS peak FROM cand""",
 }, body="""SELECT video_id || '_gemma_' || CASE WHEN raw_index < 100 THEN lpad(raw_index::VARCHAR, 2, '0') ELSE raw_index::VARCHAR END AS candidate_id,
   video_id, CASE WHEN event IN ('view', 'click', 'purchase') THEN event ELSE 'view' END AS event, s AS start_ms, e AS end_ms,
@@ -103,7 +103,7 @@ def _(s, sf):
   1.0::DOUBLE AS category_event_value FROM raw WHERE e > s AND e - s >= 400"""))
 def _(s, sf):
     raw = views.cand(s, sf).withColumns({
-        "aesthetic": C("aesthetic") * 1.5 - 0.2, "confidence": C("confidence") * 2, "start_ms": C("start_ms") - 900,
+        "aesthetic": C("aesthetic") * 1.5 - 0.2, "confidence": C("confidence") * 2, "start_ms": C("start_ms") - C("candidate_id") % 2 * 900,
         "peak_ms": F.expr("case candidate_id % 4 when 0 then null when 1 then 0 else start_ms + (candidate_id * 11) % 4000 end"),
     })
     raw = ordered_scan(raw, ["video_id"], [C("candidate_id")], F.floor(C("candidate_id") / 65536), rank="raw_index")

@@ -168,18 +168,19 @@ def wrap_text(text: Column, maximum_units: int = 28) -> Column:
     normal = squeeze(text)
     spaced = F.contains(normal, F.lit(" "))
     tokens = F.when(spaced, F.split(normal, " ")).otherwise(F.filter(F.split(normal, ""), lambda c: c != ""))
-    gap = F.when(spaced, 1).otherwise(0)
+    # The separator rides in the accumulator: an outer expression would be evaluated once per token.
     sep = F.when(spaced, " ").otherwise("")
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(0).alias("units"))
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(0).alias("units"), sep.alias("sep"))
 
     def step(acc: Column, token: Column) -> Column:
         width = display_units(token).cast("int")
-        joined = acc["units"] + gap + width
+        joined = acc["units"] + F.char_length(acc["sep"]) + width
         breaks = (acc["line"] != "") & (joined > maximum_units)
         return F.struct(
             F.when(breaks, F.concat(acc["done"], acc["line"], F.lit("\n"))).otherwise(acc["done"]).alias("done"),
-            F.when(breaks | (acc["line"] == ""), token).otherwise(F.concat(acc["line"], sep, token)).alias("line"),
+            F.when(breaks | (acc["line"] == ""), token).otherwise(F.concat(acc["line"], acc["sep"], token)).alias("line"),
             F.when(breaks | (acc["line"] == ""), width).otherwise(joined).alias("units"),
+            acc["sep"].alias("sep"),
         )
 
     wrapped = F.aggregate(tokens, start, step, lambda acc: F.concat(acc["done"], acc["line"]))

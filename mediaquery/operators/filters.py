@@ -85,7 +85,7 @@ def overlay_clips(
         F.min(F.when(shown, F.col("pos"))).alias("__first"),
     )
     room = F.greatest(F.lit(0), F.col("__endcard") - guard_ms - F.col("start_ms"))
-    cut = F.coalesce(F.least(F.col("dur_ms"), room), F.col("dur_ms"))
+    cut = F.when(F.col("__endcard").isNull(), F.col("dur_ms")).otherwise(F.least(F.col("dur_ms"), room))
     first = F.col("pos") == F.col("__first")
     if not (intro or cover_logo):
         length = cut
