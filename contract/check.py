@@ -56,7 +56,8 @@ def compare(spark, con, sf: str, name: str, fn, sql: str | None):
         return False, f"rows {len(got)} != {len(exp)} extra={extra} lack={lack}"
     bad = [(g, e) for g, e in zip(got, exp) if g != e]
     if bad:
-        return False, f"{len(bad)}/{len(got)} differ {got_cols} e.g. spark={bad[0][0]} duckdb={bad[0][1]}"
+        extra, lack = sorted(set(got) - set(exp), key=str), sorted(set(exp) - set(got), key=str)
+        return False, f"{len(extra)}/{len(got)} differ {got_cols} spark={extra[:2]} duckdb={lack[:2]}"
     if not got:
         return False, "both empty"
     for col, g, e in zip(got_cols, zip(*got), zip(*exp)):
