@@ -1,2 +1,2 @@
-from contract import filters, intervals  # noqa: F401
+from contract import audio, filters, intervals  # noqa: F401
 from contract.base import ORACLES, QUERIES, SURVEY_IDS  # noqa: F401

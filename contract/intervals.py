@@ -164,7 +164,7 @@ def _(s, sf):
 
 
 @query("segment_windows", "E09", with_views("material", more={"m": "SELECT video_id, dur_ms * 3 AS d FROM material"}, body="""
-SELECT video_id, i + 1 AS segment_index, i * 110000 AS start_ms, least(d, i * 110000 + 115000) AS end_ms
+SELECT video_id, i + 1 AS segment_index, i * 110000 AS start_ms, CASE WHEN d <= 120000 THEN d ELSE least(d, i * 110000 + 115000) END AS end_ms
 FROM (SELECT video_id, d, unnest(range(0, CASE WHEN d <= 120000 THEN 1 ELSE ceil((d - 115000) / 110000)::BIGINT + 1 END)) AS i FROM m)"""))
 def _(s, sf):
     m = views.material(s, sf).select("video_id", (C("dur_ms") * 3).alias("dur_ms"))
@@ -255,7 +255,7 @@ def _(s, sf):
     "r": "SELECT creative_id, least(start_ms, lim) AS start_ms, least(end_ms, lim) AS end_ms FROM mute JOIN bed USING (creative_id) WHERE least(end_ms, lim) > least(start_ms, lim)",
     "mm": ISLANDS,
     "p": """SELECT creative_id, unnest(range(0, greatest(1, ceil((lim - 1) / lp)::BIGINT))) * lp AS t FROM bed UNION SELECT creative_id, lim FROM bed
-      UNION SELECT creative_id, unnest([start_ms, end_ms]) FROM mm UNION SELECT creative_id, unnest([least(start_ms, lim), greatest(0, least(end_ms, lim))]) FROM duck JOIN bed USING (creative_id)""",
+      UNION SELECT creative_id, unnest([start_ms, end_ms]) FROM mm UNION SELECT creative_id, unnest([least(start_ms, lim), greatest(0, least(end_ms, lim))]) FROM duck JOIN bed USING (creative_id) WHERE end_ms > start_ms""",
     "q": "SELECT creative_id, t AS a, lead(t) OVER (PARTITION BY creative_id ORDER BY t) AS b FROM p"}, body="""
 SELECT creative_id, a AS start_ms, b AS end_ms, EXISTS (SELECT 1 FROM duck d WHERE d.creative_id = q.creative_id AND 2 * d.start_ms <= a + b AND a + b < 2 * d.end_ms) AS ducked, a % lp AS source_ms
 FROM q JOIN bed USING (creative_id) WHERE b - a > 10 AND NOT EXISTS (SELECT 1 FROM mm m WHERE m.creative_id = q.creative_id AND 2 * m.start_ms <= a + b AND a + b < 2 * m.end_ms)"""))
