@@ -108,12 +108,12 @@ def _(s, sf):
     lines = table(s, sf, "lineitem").join(table(s, sf, "orders"), C("o_orderkey") == C("l_orderkey")).selectExpr("l_partkey candidate_id", "o_custkey run_id", "l_orderkey creative_id", "o_orderstatus st")
     reserved = lines.selectExpr("candidate_id", "run_id", "creative_id", "'reserved' action", "1 seq")
     closed = lines.where("st <> 'O'").selectExpr("candidate_id", "run_id", "creative_id", "if(st = 'F', 'committed', 'released') action", "2 seq")
-    reserved.unionByName(closed).coalesce(4).write.parquet(f"{root}/in")
-    source = s.readStream.schema("candidate_id long, run_id long, creative_id long, action string, seq int").parquet(f"{root}/in")
-    changes = streams.stream_usage_state(source)
-    changes.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).outputMode("update").option(
+    reserved.unionByName(closed).repartition(4).write.parquet(f"{root}/in")
+    source = s.readStream.schema("candidate_id long, run_id long, creative_id long, action string, seq int").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    streams.stream_usage_state(source).writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).outputMode("update").option(
         "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return streams.usage_counts(s.read.parquet(f"{root}/out"))
+    latest = s.read.parquet(f"{root}/out").groupBy("candidate_id", "run_id", "creative_id").agg(F.max_by("state", "batch").alias("state"))
+    return streams.usage_counts(latest)
 
 
 @query("stream_run_monitor", "S03", """SELECT user_id AS run_id, epoch_us(ts) // 15000000 * 15 AS window_start, count(*) AS events, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS committed,

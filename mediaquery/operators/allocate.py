@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mediaquery.session import cut_lineage
+
 TRIM_SHARE = 0.8
 SECOND_SECTION_MS = 7_200
 
@@ -47,8 +49,8 @@ def _leaders(rows: DataFrame, keys: list[str], member: str, worth: Column, k: in
 
 
 def _fresh(rows: DataFrame) -> DataFrame:
-    """The same rows under new column identities, so that slots derived from the pool can meet it again."""
-    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+    """The few slot rows as a stage table: read three times, and free of any shared lineage with the pool."""
+    return cut_lineage(rows)
 
 
 def eligible_pool(pool: DataFrame, slots: DataFrame, picks: int, *, key: str, by_fit: bool, authors: bool, trim: bool = True) -> DataFrame:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mediaquery.operators.ledger import register_candidates
 from mediaquery.sources.tables import SnapshotTable
@@ -32,37 +28,26 @@ def stream_register(batches: DataFrame, table: SnapshotTable, empty: DataFrame,
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _fold_entry(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of one (candidate, run, creative) entry; transitions out of order are ignored."""
-    actions = pd.concat(list(frames)).sort_values("seq", kind="stable")["action"]
-    before = current = state.get[0] if state.exists else ""
-    for action in actions:
-        if current == "" and action == "reserved":
-            current = "reserved"
-        elif current == "reserved" and action in ("committed", "released"):
-            current = action
-    if current != before:
-        state.update((current,))
-        yield pd.DataFrame({
-            "candidate_id": [key[0]], "run_id": [key[1]], "creative_id": [key[2]], "state": [current],
-            "selected": [int(before == "")], "exported": [int(current == "committed")]})
-
-
 def stream_usage_state(events: DataFrame) -> DataFrame:
-    """Ledger entries folded to their state, with the increments each change gives its candidate.
+    """Current state of every ledger entry: reserved once, then closed by the first later decision.
 
-    State is kept per ledger entry, not per candidate, so a hot candidate spreads over all tasks; its
-    counts are sums of the increments.
+    A built-in streaming aggregate per (candidate, run, creative): a hot candidate spreads over all
+    tasks, nothing leaves the JVM, and replayed events fall into the same set. Decisions before the
+    reservation and second reservations have no effect.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    keys = ["candidate_id", "run_id", "creative_id"]
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", state string, selected long, exported long"
-    return events.groupBy(*keys).applyInPandasWithState(_fold_entry, schema, "state string", "update", GroupStateTimeout.NoTimeout)
-
-
-def usage_counts(changes: DataFrame) -> DataFrame:
-    """Selected and exported counts per candidate from the change rows."""
-    return changes.groupBy("candidate_id").agg(F.sum("selected").alias("selected_count"), F.sum("exported").alias("exported_count"))
+    close = F.col("action").isin("committed", "released")
+    folded = events.groupBy("candidate_id", "run_id", "creative_id").agg(
+        F.min(F.when(F.col("action") == "reserved", F.col("seq"))).alias("__r"),
+        F.collect_set(F.when(close, F.struct("seq", "action"))).alias("__c"))
+    first = F.array_min(F.filter("__c", lambda c: c["seq"] > F.col("__r")))["action"]
+    return folded.where(F.col("__r").isNotNull()).select(
+        "candidate_id", "run_id", "creative_id", F.coalesce(first, F.lit("reserved")).alias("state"))
+
+
+def usage_counts(entries: DataFrame) -> DataFrame:
+    """Selected and exported counts per candidate from the latest row of every entry."""
+    return entries.groupBy("candidate_id").agg(
+        F.count(F.lit(1)).alias("selected_count"), F.count_if(F.col("state") == "committed").alias("exported_count"))
 
 
 def stream_run_monitor(events: DataFrame, window: str = "15 seconds", lateness: str = "1 minute") -> DataFrame:
