@@ -150,7 +150,7 @@ SELECT clip_id, audio_type, round(music, 4) AS music_probability, round(speech,
 def _(s, sf):
     tags = views.tags(s, sf).withColumn("score", F.expr("if(label in ('Scrape, ambient', 'Rap', 'Singing'), score * cast(0.2 as double), score)"))
     groups = audio.tag_group_scores(tags)
-    docs = table(s, sf, "documents").select(C("doc_id").cast("string").alias("__d"), text.text_density(C("text"), F.lit(300.0)).alias("density"))
+    docs = views.texts(s, sf).select(C("doc_id").cast("string").alias("__d"), text.text_density(C("text"), F.lit(300.0)).alias("density"))
     texts = groups.select("clip_id", F.split_part("clip_id", F.lit("/"), F.lit(1)).alias("__d")).join(docs, "__d")
     return audio.classify_audio(groups, texts)
 

@@ -154,7 +154,7 @@ TITLES = "SELECT 'p' || p_partkey AS id, p_name AS title FROM part UNION ALL SEL
 
 def titles(s, sf):
     part = table(s, sf, "part").selectExpr("concat('p', p_partkey) id", "p_name title")
-    return part.unionByName(table(s, sf, "documents").selectExpr("concat('d', doc_id) id", "text title"))
+    return part.unionByName(views.texts(s, sf).selectExpr("concat('d', doc_id) id", "text title"))
 
 
 @query("validate_cover_titles", "B12", f"""WITH t AS ({TITLES}),
@@ -199,7 +199,7 @@ def _(s, sf):
 SELECT doc_id, n::BIGINT AS sentences, concat_ws('; ', CASE WHEN {STRIP('text')} = '' THEN 'continuous two-sentence product voiceover is required' END,
   CASE WHEN n < 2 THEN 'voiceover must contain at least two sentences' END) AS errors FROM m""")
 def _(s, sf):
-    return table(s, sf, "documents").select(
+    return views.texts(s, sf).select(
         "doc_id", text.sentence_count(C("text")).cast("long").alias("sentences"),
         F.array_join(text.voiceover_errors(C("text")), "; ").alias("errors"))
 
@@ -254,11 +254,11 @@ SCRIPT = """SELECT doc_id, CASE WHEN lang = 'de' THEN translate(lower(text), 'ab
  '春夏秋冬山水火木金土日月星云风雨雪花鸟鱼虫草石田心手，。') ELSE text END AS text FROM documents"""
 
 
-def script(s, sf):
+def script(s, sf, *more):
     """Documents as voice scripts; one language is moved to CJK letters so both paths get work."""
-    d = table(s, sf, "documents")
+    d = views.texts(s, sf)
     cjk = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz,.", "春夏秋冬山水火木金土日月星云风雨雪花鸟鱼虫草石田心手，。")
-    return d.select("doc_id", F.when(C("lang") == "de", cjk).otherwise(C("text")).alias("text"))
+    return d.select("doc_id", F.when(C("lang") == "de", cjk).otherwise(C("text")).alias("text"), *more)
 
 
 @query("display_units", "H08", f"""WITH d AS ({SCRIPT})
@@ -430,7 +430,7 @@ def _(s, sf):
 SELECT doc_id, det AS detected, CASE WHEN det THEN 'voiceover' WHEN lyric THEN 'lyrics_or_vocal_bgm' ELSE 'no_voiceover' END AS classification,
   n::BIGINT AS text_length, left(text, 120) AS sample_text, coalesce(array_to_string(list_sort(reasons), ','), '') AS reasons FROM z"""))
 def _(s, sf):
-    d = table(s, sf, "documents").join(risk_rows(s, sf).select(C("bgm_id").alias("doc_id"), "r"), "doc_id")
+    d = views.texts(s, sf).join(risk_rows(s, sf).select(C("bgm_id").alias("doc_id"), "r"), "doc_id")
     v = scoring.asr_voice_decision(C("text"), C("doc_id") % 5, C("r.risk_score"), C("r.reasons"), min_chars=40, min_segments=2)
     return d.select("doc_id", v.alias("v")).select("doc_id", "v.detected", "v.classification", C("v.text_length").cast("long").alias("text_length"),
                                                    "v.sample_text", F.array_join("v.reasons", ",").alias("reasons"))

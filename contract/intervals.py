@@ -98,8 +98,8 @@ RANGES = {"mute": "SELECT creative_id, start_ms + 100 AS start_ms, end_ms - 100
           "duck": "SELECT creative_id, start_ms, end_ms - 250 AS end_ms FROM timeline WHERE flag = 'A'"}
 
 
-def ranges(s, sf, flag, head, tail):
-    t = views.timeline(s, sf).where(C("flag") == flag)
+def ranges(clips, flag, head, tail):
+    t = clips.where(C("flag") == flag)
     return t.select("creative_id", (C("start_ms") + head).alias("start_ms"), (C("end_ms") - tail).alias("end_ms"))
 
 
@@ -107,8 +107,9 @@ def ranges(s, sf, flag, head, tail):
 SELECT clip_id, EXISTS (SELECT 1 FROM mute m WHERE m.creative_id = t.creative_id AND 2 * m.start_ms <= t.start_ms + t.end_ms AND t.start_ms + t.end_ms < 2 * m.end_ms) AS muted
 FROM timeline t"""))
 def _(s, sf):
-    points = views.timeline(s, sf).select("creative_id", "clip_id", (C("start_ms") + C("end_ms")).alias("at"))
-    mute = ranges(s, sf, "R", 100, 100).select("creative_id", (C("start_ms") * 2).alias("start"), (C("end_ms") * 2).alias("end"))
+    clips = views.staged(views.timeline(s, sf))
+    points = clips.select("creative_id", "clip_id", (C("start_ms") + C("end_ms")).alias("at"))
+    mute = ranges(clips, "R", 100, 100).select("creative_id", (C("start_ms") * 2).alias("start"), (C("end_ms") * 2).alias("end"))
     return iv.intervals_at_point(points, mute, "muted").select("clip_id", "muted")
 
 
@@ -260,9 +261,10 @@ def _(s, sf):
 SELECT creative_id, a AS start_ms, b AS end_ms, EXISTS (SELECT 1 FROM duck d WHERE d.creative_id = q.creative_id AND 2 * d.start_ms <= a + b AND a + b < 2 * d.end_ms) AS ducked, a % lp AS source_ms
 FROM q JOIN bed USING (creative_id) WHERE b - a > 10 AND NOT EXISTS (SELECT 1 FROM mm m WHERE m.creative_id = q.creative_id AND 2 * m.start_ms <= a + b AND a + b < 2 * m.end_ms)"""))
 def _(s, sf):
-    beds = views.timeline(s, sf).groupBy("creative_id").agg((F.least(F.lit(20_000), F.max("end_ms")) - 40).alias("limit_ms")).withColumn(
+    clips = views.staged(views.timeline(s, sf))
+    beds = clips.groupBy("creative_id").agg((F.least(F.lit(20_000), F.max("end_ms")) - 40).alias("limit_ms")).withColumn(
         "loop_ms", 3000 + C("creative_id") % 17 * 500)
-    return iv.slice_at_boundaries(beds, ranges(s, sf, "R", 100, 100), ranges(s, sf, "A", 0, 250))
+    return iv.slice_at_boundaries(beds, ranges(clips, "R", 100, 100), ranges(clips, "A", 0, 250))
 
 
 KIND = "CASE flag WHEN 'A' THEN 'fixed_openpage' WHEN 'N' THEN 'fixed_screenshot' ELSE 'fixed_tail_sticker' END"
@@ -278,7 +280,7 @@ KIND = "CASE flag WHEN 'A' THEN 'fixed_openpage' WHEN 'N' THEN 'fixed_screenshot
     "y": "SELECT creative_id, line, coalesce(pr, greatest(0, tail - total)) + off AS start_ms, tail, audio_ms FROM x JOIN an USING (creative_id)"}, body="""
 SELECT creative_id, line, start_ms, least(tail, start_ms + audio_ms) AS end_ms FROM y WHERE least(tail, start_ms + audio_ms) > start_ms"""))
 def _(s, sf):
-    t = views.timeline(s, sf)
+    t = views.staged(views.timeline(s, sf))
     clips = t.select("creative_id", "pos", "start_ms", F.expr(f"case when pos % 2 = 0 then 'highlight' else {KIND} end").alias("clip_type"))
     lines = t.select("creative_id", C("pos").alias("line"), (C("dur_ms") - 400).alias("audio_ms"))
     return iv.voiceover_ranges(lines, clips, 20_000).select("creative_id", "line", "start_ms", "end_ms")

@@ -184,7 +184,7 @@ def _(s, sf):
 @query("shared_candidates", "G02", with_views("usage", more={"a": "SELECT DISTINCT candidate_id FROM usage WHERE state = 'reserved' AND pos > 6", "b": "SELECT DISTINCT candidate_id FROM usage WHERE state = 'released'"}, body="""
 SELECT candidate_id, (SELECT count(*) FROM a) AS left_size, (SELECT count(*) FROM b) AS right_size, (SELECT count(*) FROM a JOIN b USING (candidate_id)) AS shared FROM a JOIN b USING (candidate_id)"""))
 def _(s, sf):
-    u = views.usage(s, sf)
+    u = views.staged(views.usage(s, sf))
     a, b = u.where("state = 'reserved' and pos > 6"), u.where("state = 'released'")
     sizes = ranking.overlap_sizes(a, b)
     return ranking.shared_candidates(a, b).select("candidate_id", *[sizes.select(c).scalar().alias(c) for c in ("left_size", "right_size", "shared")])
@@ -199,7 +199,7 @@ def _(s, sf):
 @query("ordered_distinct", "G04", f"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[{text.SPACE}]+', ' ', 'g')), ' ') AS l FROM documents)
 SELECT doc_id, len(list_distinct(list_append(l, lang)))::BIGINT AS n, (list_append(l, lang))[1] AS first FROM w JOIN documents USING (doc_id)""")
 def _(s, sf):
-    d = table(s, sf, "documents").select("doc_id", ranking.ordered_distinct(F.split(text.squeeze(C("text")), " "), F.array("lang")).alias("w"))
+    d = views.texts(s, sf).select("doc_id", ranking.ordered_distinct(F.split(text.squeeze(C("text")), " "), F.array("lang")).alias("w"))
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.get("w", F.lit(0)).alias("first"))
 
 
@@ -268,7 +268,7 @@ SELECT run_id, creative_count, selected_candidate_count, unique_candidate_count,
  (SELECT run_id, count(DISTINCT creative_id) AS creative_count FROM usage GROUP BY 1) JOIN (SELECT run_id, sum(n)::BIGINT AS selected_candidate_count, count(*) AS unique_candidate_count,
  max(n) AS maximum_candidate_use_count, round(sum(CASE WHEN coalesce(exported_count, 0) = 0 THEN n ELSE 0 END) / sum(n), 4) AS never_used_candidate_ratio FROM n LEFT JOIN registry USING (candidate_id) GROUP BY 1) USING (run_id)"""))
 def _(s, sf):
-    return reports.diversity_summary(views.usage(s, sf), views.registry(s, sf))
+    return reports.diversity_summary(views.staged(views.usage(s, sf)), views.registry(s, sf))
 
 
 PAIRS = {
@@ -280,7 +280,7 @@ PAIRS = {
 
 @query("pairwise_overlap", "D05", with_views("usage", more=PAIRS, body="SELECT * FROM pairs"))
 def _(s, sf):
-    return reports.pairwise_overlap(views.usage(s, sf))
+    return reports.pairwise_overlap(views.staged(views.usage(s, sf)))
 
 
 ERRS = "CASE WHEN creative_id % 9 = 0 THEN ['gap: a/b 1.000-2.000', 'voiceover must contain at least two sentences'] ELSE [] END"
@@ -298,14 +298,14 @@ UNION ALL SELECT run_id, 'yellow', '历史未使用候选占比为 ' || round(ra
 UNION ALL SELECT run_id, 'red', creative_id || '：时间线存在空隙：a/b 1.000-2.000；口播文案必须至少包含两句话' FROM r WHERE creative_id % 9 = 0
 UNION ALL SELECT run_id, 'yellow', creative_id || '：Image2 生成失败，当前使用备用封面' FROM r WHERE creative_id % 11 = 0"""))
 def _(s, sf):
-    u = views.usage(s, sf)
+    u = views.staged(views.usage(s, sf))
     summary = reports.run_summary(u, results(s, sf), fails(s, sf))
     totals = u.groupBy("run_id").agg(F.count("*").alias("c"))
     sources = u.groupBy("run_id", "video_id").agg(F.count("*").alias("n")).join(totals, "run_id").select(
         "run_id", F.concat(F.lit("s"), C("video_id").cast("string")).alias("author"), F.round(C("n") / C("c"), 4).alias("candidate_ratio"))
     creatives = results(s, sf).select("run_id", "creative_id", F.expr(
         "if(creative_id % 9 = 0, array('gap: a/b 1.000-2.000', 'voiceover must contain at least two sentences'), array())").cast("array<string>").alias("errors"), F.expr("creative_id % 11 <> 0").alias("cover_ok"))
-    return reports.run_alerts(summary, sources, reports.pairwise_overlap(u), reports.diversity_summary(u, views.registry(s, sf)), creatives)
+    return reports.run_alerts(summary, sources, views.staged(reports.pairwise_overlap(u)), reports.diversity_summary(u, views.registry(s, sf)), creatives)
 
 
 ROUTE = "CASE event_type WHEN 'view' THEN 'gemma_only' WHEN 'click' THEN 'marlin_then_gemma_candidate_windows' WHEN 'purchase' THEN 'cache_hit:gemma_only' WHEN 'signup' THEN 'marlin_failed_gemma_fallback' ELSE 'marlin_segmented_then_gemma_candidate_windows' END"
@@ -360,7 +360,7 @@ SELECT o_orderkey AS creative_id, CASE WHEN o_orderstatus = 'F' THEN 'committed'
 FROM orders LEFT JOIN a ON creative_id = o_orderkey"""))
 def _(s, sf):
     plans = table(s, sf, "orders").selectExpr("o_orderkey creative_id", "o_totalprice > 100000 has_plan")
-    picked = views.usage(s, sf).withColumn("video_path", F.expr("if(video_id % 3 = 0, concat('/v/', video_id, '.mp4'), concat('/v/x_@n', video_id % 7, '_', video_id, '.mp4'))"))
+    picked = views.staged(views.usage(s, sf)).withColumn("video_path", F.expr("if(video_id % 3 = 0, concat('/v/', video_id, '.mp4'), concat('/v/x_@n', video_id % 7, '_', video_id, '.mp4'))"))
     out = reports.creative_report(plans, results(s, sf).where("status = 'committed'"), picked)
     return out.withColumn("authors", F.array_join("authors", ","))
 

@@ -87,9 +87,8 @@ def _(s, sf):
 SELECT c.doc_id AS script_id, c.i::INTEGER AS line, c.t AS text, round(a.b, 3) AS start, round(CASE WHEN c.i = c.n THEN us.total ELSE z.b END, 3) AS "end" FROM cw c JOIN us ON us.doc_id = c.doc_id
 JOIN walk a ON a.doc_id = c.doc_id AND a.i = c.i - 1 LEFT JOIN walk z ON z.doc_id = c.doc_id AND z.i = c.i"""))
 def _(s, sf):
-    size = F.char_length("text")
-    raw = table(s, sf, "documents").select(C("doc_id").alias("script_id"), (size * 0.07).alias("audio_seconds"), F.when(
-        F.floor(size * 70 / 1310) >= 1, F.transform(F.sequence(F.lit(1).cast("long"), F.floor(size * 70 / 1310)), lambda k: k * 1310 / 1000)).otherwise(
-        F.array().cast("array<double>")).alias("silences"), F.lit("S01").alias("speaker"))
-    scripts = script(s, sf).withColumnRenamed("doc_id", "script_id").join(raw, "script_id")
+    size = C("chars")
+    quiet = F.when(F.floor(size * 70 / 1310) >= 1, F.transform(F.sequence(F.lit(1).cast("long"), F.floor(size * 70 / 1310)), lambda k: k * 1310 / 1000))
+    scripts = script(s, sf, F.char_length("text").alias("chars")).select(
+        C("doc_id").alias("script_id"), "text", (size * 0.07).alias("audio_seconds"), F.coalesce(quiet, F.array().cast("array<double>")).alias("silences"), F.lit("S01").alias("speaker"))
     return subtitles.align_subtitles(scripts).select("script_id", "line", "text", "start", "end")

@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaquery.functions.ordered import ordered_scan
+from mediaquery.session import cut_lineage, widen
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for CPU-heavy text work: the small test file is one split, so it is spread first."""
+    return widen(table(spark, sf, "documents"))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """A derived view as the stage table an operator that reads it several times would be given."""
+    return cut_lineage(df)
+
+
 def cand(spark, sf):
     return table(spark, sf, "events").selectExpr(
         "event_id candidate_id", "user_id video_id", "user_id % 5 category", "event_type event",
@@ -47,7 +58,7 @@ def clip(spark, sf):
     )
     order = [F.col("l_linenumber"), F.col("candidate_id"), F.col("video_id")]
     return ordered_scan(
-        lines, ["creative_id"], order, F.col("l_linenumber"), rank="pos", running_sum={"until_ms": F.col("dur_ms")}
+        lines, ["creative_id"], order, F.floor(F.col("l_linenumber") / 8), rank="pos", running_sum={"until_ms": F.col("dur_ms")}
     )
 
 

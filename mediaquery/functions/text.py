@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes, patterns, labels and messages that results must carry unchanged.
-SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CJK = r"\x{4e00}-\x{9fff}"
+WIDE = rf"[{CJK}\x{{10000}}-\x{{10ffff}}]"
 DIGIT = r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
 NAME_ERROR = "expected filename: 一级品类-二级品类_@作者_市场_语言_note_id.mp4"
 NOTE_ERROR = "missing note_id"
@@ -160,7 +161,7 @@ def localized_message(error: Column) -> Column:
 
 
 def display_units(text: Column) -> Column:
-    return F.char_length(text) + F.regexp_count(text, F.lit(rf"[{CJK}\x{{10000}}-\x{{10ffff}}]"))
+    return F.char_length(text) + F.regexp_count(text, F.lit(WIDE))
 
 
 def wrap_text(text: Column, maximum_units: int = 28) -> Column:
@@ -168,19 +169,20 @@ def wrap_text(text: Column, maximum_units: int = 28) -> Column:
     normal = squeeze(text)
     spaced = F.contains(normal, F.lit(" "))
     tokens = F.when(spaced, F.split(normal, " ")).otherwise(F.filter(F.split(normal, ""), lambda c: c != ""))
-    # The separator rides in the accumulator: an outer expression would be evaluated once per token.
+    # Facts of the whole text ride in the accumulator: an outer expression would be evaluated per token.
     sep = F.when(spaced, " ").otherwise("")
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(0).alias("units"), sep.alias("sep"))
+    wide = F.regexp_like(normal, F.lit(WIDE))
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(0).alias("units"), sep.alias("sep"), wide.alias("wide"))
 
     def step(acc: Column, token: Column) -> Column:
-        width = display_units(token).cast("int")
+        width = F.when(acc["wide"], display_units(token)).otherwise(F.char_length(token)).cast("int")
         joined = acc["units"] + F.char_length(acc["sep"]) + width
         breaks = (acc["line"] != "") & (joined > maximum_units)
         return F.struct(
             F.when(breaks, F.concat(acc["done"], acc["line"], F.lit("\n"))).otherwise(acc["done"]).alias("done"),
             F.when(breaks | (acc["line"] == ""), token).otherwise(F.concat(acc["line"], acc["sep"], token)).alias("line"),
             F.when(breaks | (acc["line"] == ""), width).otherwise(joined).alias("units"),
-            acc["sep"].alias("sep"),
+            acc["sep"].alias("sep"), acc["wide"].alias("wide"),
         )
 
     wrapped = F.aggregate(tokens, start, step, lambda acc: F.concat(acc["done"], acc["line"]))

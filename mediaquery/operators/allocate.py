@@ -107,6 +107,10 @@ def assign_single(slots: DataFrame, candidates: DataFrame, *, key: str = "pool_i
     return slots.groupBy(key).cogroup(pool.groupBy(key)).applyInPandas(fill, schema)
 
 
+class _NeedsMoreSources(Exception):
+    """The sources at hand cannot prove which group comes first."""
+
+
 class _Filler:
     """State of one pool while its creatives are filled; candidates are arrays in rank order."""
 
@@ -120,6 +124,8 @@ class _Filler:
         self.event, self.author = pool["event"].to_numpy(), pool["author"].to_numpy()
         self.trim, self.worth = pool["trim_ms"].to_numpy(), pool["worth"].to_numpy()
         self.stock = pool.groupby(self.video)["source_candidates"].first().to_numpy() if len(pool) else np.array([])
+        outside = pool["outside_stock"].iloc[0] if len(pool) else None
+        self.outside = None if pd.isna(outside) else int(outside)
         self.uses, self.source_uses = np.zeros(len(pool), dtype=int), np.zeros(len(self.names), dtype=int)
         self.spent = np.zeros(len(self.names), dtype=int)
         self.openers: set[int] = set()
@@ -176,6 +182,8 @@ class _Filler:
         open_ = np.flatnonzero((self.source_uses < self.q.source_uses) & (self.stock - self.spent > 0))
         size = self.q.target_sources
         if len(open_) < size:
+            if self.outside is not None:
+                raise _NeedsMoreSources
             return
         facts = sorted((int(self.source_uses[v]), -int(self.stock[v] - self.spent[v]), int(v)) for v in open_)
 
@@ -187,6 +195,12 @@ class _Filler:
         heap, seen = [(key(first), first)], {first}
         while heap:
             ordered, members = heapq.heappop(heap)
+            if self.outside is not None:
+                # A group with a source that was left out sorts no earlier than this.
+                used = sorted(f[0] for f in facts)[:size - 1]
+                rich = sorted(f[1] for f in facts)[:size - 1]
+                if ordered[:3] >= (sum(used), max(used, default=0), sum(rich) - self.outside):
+                    raise _NeedsMoreSources
             yield np.array(ordered[3])
             for j in range(size):
                 step = members[j] + 1
@@ -232,27 +246,60 @@ def assign_batch(slots: DataFrame, candidates: DataFrame, quotas: Quotas, *, key
     worth = F.col("final_score") - F.when(used > 0, quotas.previous_penalty).otherwise(0.0) - used * quotas.history_penalty
     ready = candidates.where(~F.coalesce("reserved", F.lit(False))).withColumn("worth", worth).select(
         key, "candidate_id", "video_id", "author", "event", "trim_ms", "position", "worth")
-    picks = quotas.creatives * most_slots
     if quotas.target_sources:
-        # Any source may belong to the winning group: keep all sources, but only their best candidates.
-        lengths = slots.select(key, (F.col("end_ms") - F.col("start_ms")).alias("slot_ms")).distinct()
-        stock = ready.groupBy(key, "video_id").agg(F.count(F.lit(1)).alias("source_candidates"))
-        fits = ready.join(lengths, key).where(F.col("trim_ms") >= F.col("slot_ms") * TRIM_SHARE).withColumn("__fit", F.abs(F.col("trim_ms") - F.col("slot_ms")))
-        pool = _best(fits, [key, "slot_ms", "event", "video_id"], [F.col("__fit"), F.col("worth").desc(), F.col("position")], picks)
-        pool = pool.select(*ready.columns).distinct().join(stock, [key, "video_id"])
-    else:
-        pool = eligible_pool(ready, slots, picks, key=key, by_fit=True, authors=quotas.group_authors).withColumn("source_candidates", F.lit(0).cast("long"))
+        return _assign_groups(slots, ready, quotas, key, quotas.creatives * most_slots)
+    pool = eligible_pool(ready, slots, quotas.creatives * most_slots, key=key, by_fit=True, authors=quotas.group_authors)
+    unused = {"source_candidates": F.lit(0).cast("long"), "outside_stock": F.lit(None).cast("long")}
+    return _fill_pools(slots, pool.withColumns(unused), quotas, key)
+
+
+def _assign_groups(slots: DataFrame, ready: DataFrame, quotas: Quotas, key: str, picks: int, most_sources: int = 64) -> DataFrame:
+    """Fills with an exact number of sources per creative.
+
+    Groups are tried from the least used and richest sources on, so a pool is first filled from its
+    ``most_sources`` richest sources. A pool whose order of groups cannot be proved from those is
+    filled again from sixteen times as many, until its sources are complete.
+    """
+    ready = cut_lineage(ready)
+    lengths = slots.select(key, (F.col("end_ms") - F.col("start_ms")).alias("slot_ms")).distinct()
+    stock = cut_lineage(ready.groupBy(key, "video_id").agg(F.count(F.lit(1)).alias("source_candidates")))
+    fits = ready.join(lengths, key).where(F.col("trim_ms") >= F.col("slot_ms") * TRIM_SHARE).withColumn("__fit", F.abs(F.col("trim_ms") - F.col("slot_ms")))
+    best = _best(fits, [key, "slot_ms", "event", "video_id"], [F.col("__fit"), F.col("worth").desc(), F.col("position")], picks)
+    # One row of every source stays even if nothing of it is long enough: it may still be in a group.
+    named = _best(ready, [key, "video_id"], [F.col("position")], 1)
+    best = cut_lineage(best.select(*ready.columns).unionByName(named).distinct())
+    open_slots, result = slots, None
+    while True:
+        ranked = stock.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(F.col("source_candidates").desc(), "video_id"))).where(F.col("__k") <= most_sources + 1)
+        outside = ranked.where(F.col("__k") == most_sources + 1).select(key, F.col("source_candidates").alias("outside_stock"))
+        near = ranked.where(F.col("__k") <= most_sources).drop("__k")
+        pool = best.join(near, [key, "video_id"]).join(outside, key, "left")
+        filled = cut_lineage(_fill_pools(open_slots, pool, quotas, key))
+        done = filled.where(F.col("creative_index") > 0)
+        result = done if result is None else result.unionByName(done)
+        undecided = filled.where(F.col("creative_index") < 0).select(key)
+        if undecided.isEmpty():
+            return result
+        open_slots = cut_lineage(open_slots.join(undecided, key, "left_semi"))
+        most_sources *= 16
+
+
+def _fill_pools(slots: DataFrame, pool: DataFrame, quotas: Quotas, key: str) -> DataFrame:
+    """One row per pick; a pool that needs more sources gives a single row with creative -1."""
+    kinds = {f.name: f.dataType.simpleString() for f in [*slots.schema, *pool.schema]}
 
     def fill(gaps: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         columns = [key, "creative_index", "slot_index", "candidate_id", "video_id"]
         if gaps.empty or group.empty:
             return pd.DataFrame(columns=columns)
         filler, numbers, rows = _Filler(gaps, group, quotas), gaps["slot_index"].sort_values().to_numpy(), []
-        for creative in range(1, quotas.creatives + 1):
-            for number, p in zip(numbers, filler.creative()):
-                rows.append((gaps[key].iloc[0], creative, number, filler.ids[p], filler.names[filler.video[p]]))
+        try:
+            for creative in range(1, quotas.creatives + 1):
+                for number, p in zip(numbers, filler.creative()):
+                    rows.append((gaps[key].iloc[0], creative, number, filler.ids[p], filler.names[filler.video[p]]))
+        except _NeedsMoreSources:
+            rows = [(gaps[key].iloc[0], -1, None, None, None)]
         return pd.DataFrame(rows, columns=columns)
 
-    kinds = {f.name: f.dataType.simpleString() for f in [*slots.schema, *candidates.schema]}
     schema = f"{key} {kinds[key]}, creative_index int, slot_index {kinds['slot_index']}, candidate_id {kinds['candidate_id']}, video_id {kinds['video_id']}"
     return slots.groupBy(key).cogroup(pool.groupBy(key)).applyInPandas(fill, schema)

@@ -186,15 +186,15 @@ def slice_at_boundaries(beds: DataFrame, muted: DataFrame, ducked: DataFrame, mi
                         lambda k: k * F.col("loop_ms"))
     fixed = beds.select("creative_id", F.explode(F.array_union(loops, F.array("limit_ms"))).alias("t"), F.lit(0).alias("m"), F.lit(0).alias("d"))
 
-    def edges(ranges: DataFrame, mute: int, duck: int) -> DataFrame:
-        inside = ranges.where(F.col("end_ms") > F.col("start_ms")).join(beds.select("creative_id", "limit_ms"), "creative_id")
-        clamp = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.col("limit_ms")))
-        points = F.array(F.struct(clamp("start_ms").alias("t"), F.lit(1).alias("x")), F.struct(clamp("end_ms").alias("t"), F.lit(-1).alias("x")))
-        return inside.select("creative_id", F.explode(points).alias("p")).select(
-            "creative_id", F.col("p.t").alias("t"), (F.col("p.x") * mute).alias("m"), (F.col("p.x") * duck).alias("d"))
-
-    merged = coalesce_intervals(muted.join(beds.select("creative_id", "limit_ms"), "creative_id")).select("creative_id", "start_ms", "end_ms")
-    points = fixed.unionByName(edges(merged, 1, 0)).unionByName(edges(ducked, 0, 1))
+    def tagged(ranges: DataFrame, mute: int, duck: int) -> DataFrame:
+        return ranges.where(F.col("end_ms") > F.col("start_ms")).select("creative_id", "start_ms", "end_ms", F.lit(mute).alias("m"), F.lit(duck).alias("d"))
+
+    # Touching muted ranges need no merging: the slices between them are shorter than any kept slice.
+    inside = tagged(muted, 1, 0).unionByName(tagged(ducked, 0, 1)).join(beds.select("creative_id", "limit_ms"), "creative_id")
+    clamp = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.col("limit_ms")))
+    edges = inside.select("creative_id", F.explode(F.array(
+        F.struct(clamp("start_ms").alias("t"), F.col("m"), F.col("d")), F.struct(clamp("end_ms").alias("t"), (-F.col("m")).alias("m"), (-F.col("d")).alias("d")))).alias("p"))
+    points = fixed.unionByName(edges.select("creative_id", "p.*"))
     points = points.groupBy("creative_id", "t").agg(F.sum("m").alias("m"), F.sum("d").alias("d"))
     swept = ordered_scan(points, ["creative_id"], [F.col("t")], F.floor(F.col("t") / BIN_MS),
                          running_sum={"muted": F.col("m"), "ducked": F.col("d")}, lead={"end_ms": F.col("t")})

@@ -243,6 +243,20 @@ def test_fill_keeps_every_possible_pick(spark, name):
     assert got == want
 
 
+def test_source_groups_widen_until_proved(spark, monkeypatch):
+    """With two sources at first, every pool must come back for more and end as if it had them all."""
+    from functools import partial
+
+    rng = random.Random(9)
+    data = [(1, i, f"v{rng.randrange(8)}", "a", rng.choice("xy"), rng.randrange(900, 3_000, 50), rng.randrange(9) / 9, i, 0, False) for i in range(90)]
+    df = spark.createDataFrame(data, "pool_id int, candidate_id int, video_id string, author string, event string, trim_ms long, final_score double, position int, exported_count int, reserved boolean")
+    gaps = spark.createDataFrame([(1, i + 1, i * 1_400, i * 1_400 + 1_400) for i in range(5)], "pool_id int, slot_index int, start_ms long, end_ms long")
+    quotas = allocate.Quotas(creatives=3, per_source=2, candidate_uses=1, source_uses=4, target_sources=3)
+    full = sorted(map(tuple, allocate.assign_batch(gaps, df, quotas, most_slots=5).collect()))
+    monkeypatch.setattr(allocate, "_assign_groups", partial(allocate._assign_groups, most_sources=2))
+    assert sorted(map(tuple, allocate.assign_batch(gaps, df, quotas, most_slots=5).collect())) == full
+
+
 def test_stream_state_ignores_bad_order(spark):
     from mediaquery.streaming.streams import stream_usage_state, usage_counts
 
