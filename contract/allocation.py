@@ -36,8 +36,8 @@ def pool(s, sf):
     "walk": """SELECT pool_id, 0::BIGINT AS i, []::BIGINT[] AS ids, []::BIGINT[] AS vids, NULL::BIGINT AS lv, NULL::VARCHAR AS le FROM (SELECT DISTINCT pool_id FROM k) UNION ALL
   SELECT pool_id, i + 1, list_append(ids, b.c), list_append(vids, b.v), b.v, b.e FROM (SELECT w.pool_id, w.i, w.ids, w.vids,
    (SELECT struct_pack(c := k.candidate_id, v := k.video_id, e := k.event) FROM k JOIN sl ON sl.pool_id = k.pool_id AND sl.slot_index = w.i + 1 WHERE k.pool_id = w.pool_id AND NOT list_contains(w.ids, k.candidate_id)
-     AND len(list_filter(w.vids, lambda x: x = k.video_id)) < 2 AND (w.lv IS NULL OR k.video_id <> w.lv) AND k.trim_ms >= sl.len * 0.8
-     ORDER BY coalesce(k.event = w.le, FALSE), k.score DESC, k.candidate_id LIMIT 1) AS b FROM walk w WHERE w.i < 8) WHERE b IS NOT NULL"""}, body="""
+     AND len(list_filter(w.vids, lambda x: x = k.video_id)) < 2
+     ORDER BY (w.lv IS NULL OR k.video_id <> w.lv) AND k.trim_ms >= sl.len * 0.8 DESC, coalesce(k.event = w.le, FALSE), k.score DESC, k.candidate_id LIMIT 1) AS b FROM walk w WHERE w.i < 8) WHERE b IS NOT NULL"""}, body="""
 SELECT pool_id, i AS slot_index, ids[i] AS candidate_id, vids[i] AS video_id FROM walk WHERE i > 0"""))
 def _(s, sf):
     p = pool(s, sf)

@@ -79,12 +79,12 @@ def _(s, sf):
 
 @query("estimate_bpm", "E04", chain("tempo", "SELECT audio_id, coalesce(lag, 0)::INTEGER AS lag, round(bpm, 3) AS bpm FROM tempo"))
 def _(s, sf):
-    return audio.estimate_bpm(frames(s, sf), KEY, FR).select("audio_id", "lag", F.round("bpm", 3).alias("bpm"))
+    return audio.estimate_bpm(staged(s, sf), KEY, FR).select("audio_id", "lag", F.round("bpm", 3).alias("bpm"))
 
 
 @query("local_peaks", "E05", chain("pk", "SELECT audio_id, frame_idx, round(onset, 9) AS onset FROM pk"))
 def _(s, sf):
-    return audio.local_peaks(frames(s, sf), KEY).select("audio_id", "frame_idx", F.round("onset", 9).alias("onset"))
+    return audio.local_peaks(staged(s, sf), KEY).select("audio_id", "frame_idx", F.round("onset", 9).alias("onset"))
 
 
 @query("track_beats", "E06", chain("walk", "SELECT audio_id, fr_at::BIGINT AS frame_idx, round(fr_at * 50 / 2205, 3) AS beat FROM walk"))
@@ -124,7 +124,7 @@ def _(s, sf):
 
 @query("best_window", "E24")
 def _(s, sf):
-    return audio.best_window(views.pcm(s, sf), "audio_id", FR, target=1_500, step=500, slack=100)
+    return audio.best_window(views.pcm(s, sf), "audio_id", FR, target=1_500, step=500, slack=100, final_gap=150)
 
 
 @query("tag_group_scores", "D10", with_views("tags", more={"t": "SELECT clip_id, lower(label) AS l, score FROM tags"}, body="""

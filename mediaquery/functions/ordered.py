@@ -54,7 +54,10 @@ def ordered_scan(
     per_bin += [F.max(f"__maxv_{n}").alias(f"__bm_{n}") for n in prior_max]
     per_bin += [F.max(F.when(F.col("__rn") == 1, F.col(f"__leadv_{n}"))).alias(f"__first_{n}") for n in lead]
     per_bin += [F.max(F.when(F.col("__last"), F.col(f"__lagv_{n}"))).alias(f"__end_{n}") for n in lag]
-    bins = rows.groupBy(*keys, BIN).agg(*per_bin)
+    # Reading every column here keeps both uses of ``rows`` on one shuffle: were the columns of this
+    # side pruned, the exchanges would differ and everything upstream would run twice.
+    per_bin.append(F.max(F.xxhash64(*columns)).alias("__all"))
+    bins = rows.groupBy(*keys, BIN).agg(*per_bin).where(F.col("__all").isNotNull())
 
     across = W.partitionBy(*keys).orderBy(BIN)
     earlier = across.rowsBetween(W.unboundedPreceding, -1)

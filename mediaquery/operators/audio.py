@@ -290,40 +290,34 @@ def audio_features(samples: DataFrame, keys: Sequence[str], framing: Framing, *,
     ).select(*base.columns, "raw_score", F.col("voice.risk_score").alias("voice_risk"), "score")
 
 
-def window_starts(tracks: DataFrame, target: int, step: int) -> DataFrame:
-    """Start offsets (in samples) of the windows tried for the best part of a track.
-
-    ``length`` is the number of samples; ``slack`` and the whole-track rule follow the unit of seconds.
-    """
-    span = F.col("length") - target
-    grid = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), span), F.lit(step).cast("long"))
-    final = F.greatest(F.lit(0).cast("long"), span)
-    return tracks.select("*", F.explode(F.array_union(grid, F.array(final))).alias("start"))
-
-
-def best_window(samples: DataFrame, key: str, framing: Framing, *, target: int, step: int, slack: int) -> DataFrame:
-    """Best-scoring stretch of ``target`` samples per track, earliest on ties; short tracks stay whole.
+def best_window(
+    samples: DataFrame, key: str, framing: Framing, *, target: int, step: int, slack: int, final_gap: int | None = None
+) -> DataFrame:
+    """Best-scoring stretch of ``target`` samples per track, earliest on ties.
 
-    A sample is copied only to the windows that hold it, and the copies collapse into hop sums in the
-    same stage.
+    Starts lie ``step`` samples apart; the last possible start is added when it is more than
+    ``final_gap`` (one second) behind them. Tracks within ``slack`` of the target stay whole. A sample
+    is copied only to the windows that hold it, and the copies collapse into hop sums in that stage.
     """
+    final_gap = framing.sample_rate if final_gap is None else final_gap
+    none = F.array().cast("array<bigint>")
     lengths = samples.groupBy(key).agg(F.count(F.lit(1)).alias("length"))
-    whole = F.col("length") <= target + slack
-    spans = window_starts(lengths.where(~whole), target, step).select(key, "start", F.lit(target).cast("long").alias("size"), "length").unionByName(
-        lengths.where(whole).select(key, F.lit(0).cast("long").alias("start"), F.col("length").alias("size"), "length"))
-    cut = spans.groupBy(key).agg(F.max("length").alias("length"), F.max("size").alias("size"), F.max("start").alias("final"))
-    i = F.col("idx")
-    low = F.greatest(F.lit(0).cast("long"), F.ceil((i - F.col("size") + 1) / step))
-    grid_top = F.floor(F.greatest(F.lit(0).cast("long"), F.col("length") - F.col("size")) / step)
-    high = F.least(F.floor(i / step), grid_top)
-    grid = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * step)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.when((i >= F.col("final")) & (i < F.col("final") + F.col("size")), F.array("final")).otherwise(F.array().cast("array<bigint>"))
-    placed = samples.join(cut, key).select(key, "idx", "sample", F.explode(F.array_union(grid, tail)).alias("start"))
-    windows = placed.select(key, "start", (F.col("idx") - F.col("start")).alias("idx"), "sample")
+    whole, span = F.col("length") <= target + slack, F.col("length") - target
+    cut = lengths.select(
+        key, F.when(whole, F.col("length")).otherwise(target).alias("size"),
+        F.when(whole, 0).otherwise(F.floor(span / step)).alias("top"),
+        F.when(~whole & (span - F.floor(span / step) * step > final_gap), span).alias("final"))
+    i, size = F.col("idx"), F.col("size")
+    low = F.greatest(F.lit(0).cast("long"), F.ceil((i - size + 1) / step))
+    high = F.least(F.floor(i / step), F.col("top"))
+    grid = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * step)).otherwise(none)
+    tail = F.when((i >= F.col("final")) & (i < F.col("final") + size), F.array("final")).otherwise(none)
+    placed = samples.join(cut, key).select(key, "idx", "sample", F.explode(F.concat(grid, tail)).alias("start"))
+    windows = placed.select(key, "start", (i - F.col("start")).alias("idx"), "sample")
     scored = audio_features(windows, [key, "start"], framing, minimum_seconds=0.0)
     top = scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("start")).alias("back"))).alias("t"))
-    return top.join(cut.select(key, "size"), key).select(
-        key, (-F.col("t.back")).alias("start"), (-F.col("t.back") + F.col("size")).alias("end"), F.col("t.score").alias("score"))
+    start = -F.col("t.back")
+    return top.join(cut, key).select(key, start.alias("start"), (start + size).alias("end"), F.col("t.score").alias("score"))
 
 
 def tag_group_scores(tags: DataFrame, key: str = "clip_id") -> DataFrame:

@@ -115,6 +115,27 @@ def test_frames_across_chunks(spark):
         assert np.allclose(onset, smooth)
 
 
+def test_best_window_is_the_best_slice(spark):
+    framing = audio.Framing(sample_rate=2_205)
+    rng = np.random.default_rng(10)
+    tracks = {1: rng.random(4_300) - 0.5, 2: (rng.random(2_600) - 0.5) * np.linspace(0.1, 1, 2_600), 3: rng.random(900) - 0.5}
+    df = spark.createDataFrame([(k, i, float(v)) for k, t in tracks.items() for i, v in enumerate(t)], "audio_id int, idx long, sample double")
+    target, step, slack, gap = 1_500, 700, 100, 150
+    slices = []
+    for k, t in tracks.items():
+        span = len(t) - target
+        starts = [0] if len(t) <= target + slack else list(range(0, span + 1, step))
+        if len(t) > target + slack and span - starts[-1] > gap:
+            starts.append(span)
+        slices += [(k, s, i, float(v)) for s in starts for i, v in enumerate(t[s:s + (target if len(t) > target + slack else len(t))])]
+    one_by_one = audio.audio_features(spark.createDataFrame(slices, "audio_id int, start long, idx long, sample double"), ["audio_id", "start"], framing, minimum_seconds=0.0).collect()
+    got = {r["audio_id"]: (r["start"], r["end"], r["score"]) for r in audio.best_window(df, "audio_id", framing, target=target, step=step, slack=slack, final_gap=gap).collect()}
+    for k, t in tracks.items():
+        score, start = max((r["score"], -r["start"]) for r in one_by_one if r["audio_id"] == k)
+        assert got[k] == (-start, -start + min(len(t), target), score)
+    assert {r["start"] for r in one_by_one if r["audio_id"] == 1} == {0, 700, 1_400, 2_100, 2_800}
+
+
 def test_hash_neighbours(spark):
     rng = random.Random(7)
     prior = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
