@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,17 +15,18 @@ MINIMUM_SEGMENT = 0.45
 
 
 def _choose(ideal: np.ndarray, silences: np.ndarray, total: float, least: float) -> list[float]:
-    usable = np.sort(silences[(silences >= least) & (silences <= total - least)])
+    usable = np.sort(silences[(silences >= least) & (silences <= total - least)]).tolist()
     chosen, previous = [], 0.0
-    for i, want in enumerate(ideal):
+    for i, want in enumerate(ideal.tolist()):
         latest = total - least * (len(ideal) - i)
-        lo, hi = np.searchsorted(usable, previous + least), np.searchsorted(usable, latest, side="right")
+        lo, hi = bisect_left(usable, previous + least), bisect_right(usable, latest)
         if lo < hi:
-            at = lo + np.searchsorted(usable[lo:hi], want)
-            near = [j for j in (at - 1, at) if lo <= j < hi]
-            previous = float(usable[min(near, key=lambda j: (abs(usable[j] - want), j))])
+            at = bisect_left(usable, want, lo, hi)
+            if at == hi or (at > lo and want - usable[at - 1] <= usable[at] - want):
+                at -= 1
+            previous = usable[at]
         else:
-            previous = max(previous + least, min(float(want), latest))
+            previous = max(previous + least, min(want, latest))
         chosen.append(previous)
     return chosen
 
@@ -62,6 +65,8 @@ def align_subtitles(scripts: DataFrame) -> DataFrame:
     weighed = chunked.withColumn("weights", F.transform("chunks", speech_weight))
     cut = weighed.withColumn("cuts", chunk_cuts(F.col("weights"), F.col("silences"), F.col("audio_seconds")))
     points = F.concat(F.array(F.lit(0.0)), F.col("cuts"), F.array(F.col("audio_seconds")))
-    lines = cut.select("script_id", F.coalesce("speaker", F.lit("S01")).alias("speaker"), points.alias("p"), F.posexplode("chunks").alias("line", "text"))
-    return lines.select("script_id", (F.col("line") + 1).alias("line"), "speaker", "text", F.round(F.get("p", F.col("line")), 3).alias("start"),
+    # The outer form keeps the optimizer from testing ``size(chunks) > 0`` below, which would cut every
+    # text into chunks a second time.
+    lines = cut.select("script_id", F.coalesce("speaker", F.lit("S01")).alias("speaker"), points.alias("p"), F.posexplode_outer("chunks").alias("line", "text"))
+    return lines.where(F.col("line").isNotNull()).select("script_id", (F.col("line") + 1).alias("line"), "speaker", "text", F.round(F.get("p", F.col("line")), 3).alias("start"),
                         F.round(F.get("p", F.col("line") + 1), 3).alias("end"))
