@@ -1,11 +1,10 @@
-"""Row-wise selection, validation and labelling operators. None of them shuffles."""
+"""Row-wise selection, validation and labelling operators; only `overlay_clips` and `select_materials` shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaquery.functions import scoring, text
@@ -96,10 +95,3 @@ def overlay_clips(
     joined = clips.where(shown).join(facts, "creative_id").withColumn("overlay_ms", length)
     return joined.where(F.col("overlay_ms") > 0).drop("__endcard", "__first")
 
-
-def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns(columns)
-
-
-def any_of(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
