@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaquery.llm import bpe, langid, linededup, packing, quality, simhash, toxicity, warc
+from mediaquery.llm import bpe, embeddings, langid, linededup, lm, packing, quality, simhash, toxicity, warc
 from mediaquery.llm.common import fold, table
 from mediaquery.session import scratch_path
 
@@ -121,3 +121,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(fold(F.col("doc_id"), 4) != 2))
     found = langid.predict(docs, model)
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
+@query("op7_embedding_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
