@@ -43,7 +43,7 @@ def _(s, sf):
     p = pool(s, sf)
     gaps = p.select("pool_id").distinct().select("pool_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("slot_index")).select(
         "pool_id", "slot_index", F.lit(0).cast("long").alias("start_ms"), (900 + (C("pool_id") * 331 + C("slot_index") * 577) % 2600).alias("end_ms"))
-    return allocate.assign_single(gaps, p, most_slots=8)
+    return allocate.assign_single(gaps, p)
 
 
 @query("assign_batch", "F06")

@@ -156,11 +156,11 @@ def _(s, sf):
 
 
 @query("transcript_text", "D12", with_views("transcript", more={
-    "h": f"SELECT conv_id, text, lang FROM (SELECT DISTINCT conv_id FROM transcript) LEFT JOIN documents ON doc_id = conv_id AND n_chars < 500",
+    "h": f"SELECT conv_id, text, lang FROM (SELECT DISTINCT conv_id FROM transcript) LEFT JOIN documents ON doc_id = conv_id",
     "j": f"SELECT conv_id, string_agg(x, ' ' ORDER BY turn) AS t FROM (SELECT conv_id, turn, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') AS x FROM conversations) WHERE x <> '' GROUP BY 1"}, body=f"""
 SELECT conv_id, coalesce(nullif(regexp_replace(coalesce(nullif(text, ''), lang, ''), '^[{WS}]+|[{WS}]+$', '', 'g'), ''), t, '') AS text FROM h LEFT JOIN j USING (conv_id)"""))
 def _(s, sf):
-    docs = table(s, sf, "documents").where("n_chars < 500").selectExpr("doc_id conv_id", "text", "lang transcript")
+    docs = table(s, sf, "documents").selectExpr("doc_id conv_id", "text", "lang transcript")
     heads = table(s, sf, "conversations").select("conv_id").distinct().join(docs, "conv_id", "left")
     segments = table(s, sf, "conversations").select("conv_id", C("turn").alias("ord"), "text")
     return audio.transcript_text(heads, segments, "conv_id")

@@ -319,9 +319,9 @@ def _(s, sf):
 
 @query("parse_timestamped_transcript", "H12", with_views("transcript", body=f"""
 SELECT conv_id, turn, start_ms / 1000 AS start, end_ms / 1000 AS "end", CASE speaker WHEN 'user' THEN 'S01' ELSE 'S02' END AS speaker,
- {STRIP('text')} AS text FROM transcript WHERE NOT contains(text, '[')"""))
+ {STRIP("replace(text, '[', '(')")} AS text FROM transcript"""))
 def _(s, sf):
-    t = views.transcript(s, sf).where(~F.contains("text", F.lit("[")))
+    t = views.transcript(s, sf).withColumn("text", F.translate("text", "[", "("))
     sec = lambda c: F.format_string("%d.%03d", (C(c) / 1000).cast("long"), C(c) % 1000)
     marked = F.concat(F.lit("["), sec("start_ms"), F.lit("]["), F.when(C("speaker") == "user", "S01").otherwise("S02"), F.lit("] "),
                       C("text"), F.lit(" ["), sec("end_ms"), F.lit("]"))

@@ -39,17 +39,17 @@ def _(s, sf):
 
 
 @query("exclude_reserved", "C04", with_views("usage", body="""SELECT p_partkey AS candidate_id FROM part
-WHERE p_partkey NOT IN (SELECT candidate_id FROM usage WHERE state = 'reserved' AND pos >= 9)"""))
+WHERE p_partkey NOT IN (SELECT 2 * candidate_id FROM usage WHERE state = 'reserved')"""))
 def _(s, sf):
-    ledger = views.usage(s, sf).where("pos >= 9")
+    ledger = views.usage(s, sf).withColumn("candidate_id", 2 * C("candidate_id"))
     return joins.exclude_reserved(views.registry(s, sf), ledger).select("candidate_id")
 
 
 @query("missing_media", "C05", with_views("material", body="""SELECT path FROM material WHERE enabled AND video_id NOT IN
- (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80)"""))
+ (SELECT 2 * user_id FROM events WHERE event_type = 'purchase')"""))
 def _(s, sf):
     m = views.material(s, sf)
-    found = table(s, sf, "events").where("event_type = 'purchase' and value > 80").select(C("user_id").alias("video_id"))
+    found = table(s, sf, "events").where("event_type = 'purchase'").select((2 * C("user_id")).alias("video_id"))
     listing = m.join(found, "video_id", "left_semi").select("path")
     return joins.missing_media(m, listing).select("path")
 

@@ -119,18 +119,22 @@ def _(s, sf):
 # ---- rankings ---------------------------------------------------------------------------------------
 
 BGM_KEY = "round(music_score - exported_count * 0.15::DOUBLE - least(0.3::DOUBLE, least(abs(bpm - 122), abs(bpm * 2 - 122), abs(bpm / 2 - 122)) / 100), 9) DESC, music_score DESC, round(music_score - exported_count * 0.15::DOUBLE, 9) DESC, updated_at DESC"
-FIT = "music_score >= 0.3 AND speech_risk <= 0.3 AND duration_ms >= 5000"
+FIT = "bgm_id % 7 <> 0 AND music_score >= 0.3 AND speech_risk <= 0.3 AND duration_ms >= 5000"
 
 
-@query("rank_bgms", "F02", with_views("bgm", body=f"""SELECT category, bgm_id, row_number() OVER (PARTITION BY category ORDER BY {BGM_KEY})::INTEGER AS rank FROM bgm WHERE {FIT} QUALIFY rank <= 20"""))
+def marked_bgm(s, sf):
+    return views.bgm(s, sf).withColumn("eligible", C("bgm_id") % 7 != 0)
+
+
+@query("rank_bgms", "F02", with_views("bgm", body=f"""SELECT category, bgm_id, row_number() OVER (PARTITION BY category ORDER BY {BGM_KEY}) AS rank FROM bgm WHERE {FIT}"""))
 def _(s, sf):
-    kept = ranking.eligible_bgms(views.bgm(s, sf), minimum_score=0.3, maximum_risk=0.3)
-    return ranking.top_per_key(kept, "category", ranking.bgm_rank_order(122), 20).select("category", "bgm_id", "rank")
+    kept = ranking.eligible_bgms(marked_bgm(s, sf), minimum_score=0.3, maximum_risk=0.3)
+    return ranking.rank_bgms(kept, 122).select("category", "bgm_id", "rank")
 
 
 @query("dedupe_by_fingerprint", "F03", with_views("bgm", body=f"""SELECT category, fingerprint, bgm_id FROM bgm WHERE {FIT} QUALIFY row_number() OVER (PARTITION BY category, fingerprint ORDER BY {BGM_KEY}) = 1"""))
 def _(s, sf):
-    kept = ranking.eligible_bgms(views.bgm(s, sf), minimum_score=0.3, maximum_risk=0.3)
+    kept = ranking.eligible_bgms(marked_bgm(s, sf), minimum_score=0.3, maximum_risk=0.3)
     return ranking.dedupe_by_fingerprint(kept, 122).select("category", "fingerprint", "bgm_id")
 
 
@@ -139,7 +143,7 @@ def _(s, sf):
     "r": f"SELECT *, row_number() OVER (PARTITION BY category ORDER BY {BGM_KEY}) AS rk FROM u",
     "x": "SELECT category, bgm_id, c::INTEGER AS copy, row_number() OVER (PARTITION BY category ORDER BY c, rk)::INTEGER AS slot FROM (SELECT *, unnest([1, 2]) AS c FROM r)"}, body="SELECT * FROM x WHERE slot <= 25"))
 def _(s, sf):
-    return ranking.select_bgms(views.bgm(s, sf), 25, minimum_score=0.3, maximum_risk=0.3).select("category", "bgm_id", "copy", "slot")
+    return ranking.select_bgms(marked_bgm(s, sf), 25, minimum_score=0.3, maximum_risk=0.3).select("category", "bgm_id", "copy", "slot")
 
 
 SCORED = "SELECT *, round((aesthetic + payoff) / 2, 4) AS final_score, candidate_id AS position FROM cand"
@@ -181,19 +185,19 @@ def _(s, sf):
     return ranking.latest_runs(table(s, sf, "orders").selectExpr("o_orderkey run_id", "unix_millis(cast(o_orderdate as timestamp)) modified_at"))
 
 
-@query("shared_candidates", "G02", with_views("usage", more={"a": "SELECT DISTINCT candidate_id FROM usage WHERE state = 'reserved' AND pos > 6", "b": "SELECT DISTINCT candidate_id FROM usage WHERE state = 'released'"}, body="""
+@query("shared_candidates", "G02", with_views("usage", more={"a": "SELECT DISTINCT candidate_id FROM usage WHERE state = 'reserved'", "b": "SELECT DISTINCT candidate_id FROM usage WHERE state = 'released'"}, body="""
 SELECT candidate_id, (SELECT count(*) FROM a) AS left_size, (SELECT count(*) FROM b) AS right_size, (SELECT count(*) FROM a JOIN b USING (candidate_id)) AS shared FROM a JOIN b USING (candidate_id)"""))
 def _(s, sf):
     u = views.staged(views.usage(s, sf))
-    a, b = u.where("state = 'reserved' and pos > 6"), u.where("state = 'released'")
+    a, b = u.where("state = 'reserved'"), u.where("state = 'released'")
     sizes = ranking.overlap_sizes(a, b)
     return ranking.shared_candidates(a, b).select("candidate_id", *[sizes.select(c).scalar().alias(c) for c in ("left_size", "right_size", "shared")])
 
 
-@query("fresh_candidates", "G03", with_views("usage", body="""SELECT creative_id, candidate_id FROM usage WHERE state = 'reserved' AND candidate_id NOT IN (SELECT candidate_id FROM usage WHERE state = 'committed' AND pos > 7)"""))
+@query("fresh_candidates", "G03", with_views("usage", body="""SELECT creative_id, candidate_id FROM usage WHERE state = 'reserved' AND candidate_id NOT IN (SELECT 2 * candidate_id FROM usage WHERE state = 'committed')"""))
 def _(s, sf):
     u = views.usage(s, sf)
-    return ranking.fresh_candidates(u.where("state = 'reserved'"), u.where("state = 'committed' and pos > 7")).select("creative_id", "candidate_id")
+    return ranking.fresh_candidates(u.where("state = 'reserved'"), u.where("state = 'committed'").withColumn("candidate_id", 2 * C("candidate_id"))).select("creative_id", "candidate_id")
 
 
 @query("ordered_distinct", "G04", f"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[{text.SPACE}]+', ' ', 'g')), ' ') AS l FROM documents)
@@ -231,13 +235,13 @@ def _(s, sf):
 FAIL = "SELECT video_id, path, CASE WHEN video_id % 4 = 0 THEN NULL ELSE 'boom ' || video_id END AS error FROM material WHERE dur_ms < 60000"
 
 
-@query("source_summary", "C13", with_views("cand", "material", more={"good": "SELECT * FROM cand WHERE event <> 'error' AND value > 95",
+@query("source_summary", "C13", with_views("cand", "material", more={"good": "SELECT * FROM cand WHERE event <> 'error'",
     "e": "SELECT video_id, event, count(*) AS n FROM good GROUP BY 1, 2",
     "roll": "SELECT video_id, sum(n)::BIGINT AS candidate_count, round(sum(n) / (SELECT count(*) FROM good), 4) AS candidate_ratio FROM e GROUP BY 1", "f": FAIL}, body="""
 SELECT video_id, candidate_count, candidate_ratio, NULL::VARCHAR AS error, NULL::VARCHAR AS filename FROM roll UNION ALL
 SELECT video_id, 0, 0, coalesce(error, 'analysis failed'), regexp_extract(path, '[^/]*$') FROM f WHERE video_id NOT IN (SELECT video_id FROM roll)"""))
 def _(s, sf):
-    good = views.cand(s, sf).where("event <> 'error' and value > 95").withColumn("position", C("candidate_id"))
+    good = views.cand(s, sf).where("event <> 'error'").withColumn("position", C("candidate_id"))
     lost = views.material(s, sf).where("dur_ms < 60000").selectExpr("video_id", "path", "if(video_id % 4 = 0, null, concat('boom ', video_id)) error")
     return reports.source_summary(reports.source_rollup(good), lost).select("video_id", "candidate_count", "candidate_ratio", "error", "filename")
 
@@ -347,11 +351,11 @@ def _(s, sf):
     return reports.merged_review_rows(reviews(s, sf)).select("video_id", "window_index", "candidate", "raw_index")
 
 
-@query("candidate_shortfall", "D22", with_views("cand", "material", more={"g": "SELECT * FROM cand WHERE value > 95",
+@query("candidate_shortfall", "D22", with_views("cand", "material", more={"g": "SELECT * FROM cand",
     "n": """SELECT video_id, count(*) AS n, '[' || string_agg('{"start":' || start_ms || ',"end":' || end_ms || ',"event":"' || event || '"}', ',' ORDER BY start_ms, end_ms, event) || ']' AS x FROM g GROUP BY 1"""}, body="""
-SELECT video_id, coalesce(n, 0) AS usable, greatest(0, 4 - coalesce(n, 0)) AS shortfall, coalesce(n, 0) >= 4 AS satisfied, CASE WHEN coalesce(n, 0) < 4 THEN coalesce(x, '[]') END AS existing FROM material LEFT JOIN n USING (video_id)"""))
+SELECT video_id, coalesce(n, 0) AS usable, greatest(0, 12 - coalesce(n, 0)) AS shortfall, coalesce(n, 0) >= 12 AS satisfied, CASE WHEN coalesce(n, 0) < 12 THEN coalesce(x, '[]') END AS existing FROM material LEFT JOIN n USING (video_id)"""))
 def _(s, sf):
-    return reports.candidate_shortfall(views.material(s, sf), views.cand(s, sf).where("value > 95"), 4)
+    return reports.candidate_shortfall(views.material(s, sf), views.cand(s, sf), 12)
 
 
 @query("creative_report", "C14", with_views("usage", more={

@@ -53,6 +53,12 @@ def _fresh(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows)
 
 
+def _most_slots(slots: DataFrame, key: str) -> int:
+    """Slots of the pool that has most: the pruning of candidates must allow a pick for each."""
+    counted = slots.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def eligible_pool(pool: DataFrame, slots: DataFrame, picks: int, *, key: str, by_fit: bool, authors: bool, trim: bool = True) -> DataFrame:
     """The candidates of each pool that can be picked within ``picks`` picks; see the module text."""
     lengths = slots.select(key, (F.col("end_ms") - F.col("start_ms")).alias("slot_ms")).distinct()
@@ -70,13 +76,14 @@ def eligible_pool(pool: DataFrame, slots: DataFrame, picks: int, *, key: str, by
     return kept.select(*pool.columns).distinct()
 
 
-def assign_single(slots: DataFrame, candidates: DataFrame, *, key: str = "pool_id", per_source: int = 2, most_slots: int = 32) -> DataFrame:
+def assign_single(slots: DataFrame, candidates: DataFrame, *, key: str = "pool_id", per_source: int = 2) -> DataFrame:
     """One creative per pool: no source twice in a row, a new event first, then the best score.
 
     When nothing is long enough or the only source left was just used, those two rules are dropped for
-    the slot. ``most_slots`` must be at least the number of slots of a pool.
+    the slot.
     """
     slots = _fresh(slots)
+    most_slots = _most_slots(slots, key)
     ready = candidates.withColumns({"worth": F.col("final_score"), "author": F.lit("")})
     strict = eligible_pool(ready, slots, most_slots, key=key, by_fit=False, authors=False)
     loose = eligible_pool(ready, slots, most_slots, key=key, by_fit=False, authors=False, trim=False)
@@ -235,13 +242,14 @@ class _Filler:
         return picks
 
 
-def assign_batch(slots: DataFrame, candidates: DataFrame, quotas: Quotas, *, key: str = "pool_id", most_slots: int = 16) -> DataFrame:
+def assign_batch(slots: DataFrame, candidates: DataFrame, quotas: Quotas, *, key: str = "pool_id") -> DataFrame:
     """All creatives of each pool under candidate, source and author quotas.
 
     ``candidates`` needs candidate_id, video_id, author, event, trim_ms, final_score, position,
-    exported_count and reserved; ``most_slots`` is at least the number of slots per creative.
+    exported_count and reserved.
     """
     slots = _fresh(slots)
+    most_slots = _most_slots(slots, key)
     used = F.coalesce("exported_count", F.lit(0))
     worth = F.col("final_score") - F.when(used > 0, quotas.previous_penalty).otherwise(0.0) - used * quotas.history_penalty
     ready = candidates.where(~F.coalesce("reserved", F.lit(False))).withColumn("worth", worth).select(

@@ -20,10 +20,15 @@ def _oversized(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bound).select(key)
 
 
+def _strength() -> Column:
+    """A missing confidence is the weakest, whichever path ranks it."""
+    return F.coalesce(F.col("confidence"), F.lit(0.0))
+
+
 def _greedy(rows: DataFrame, key: str, ratio: float) -> DataFrame:
     """Greedy keep per key, strongest first; groups must be small enough to gather."""
     columns = [c for c in rows.columns if c != key]
-    entry = F.struct((-F.col("confidence")).alias("__c"), F.col("position").alias("__p"), F.struct(*columns).alias("row"))
+    entry = F.struct((-_strength()).alias("__c"), F.col("position").alias("__p"), F.struct(*columns).alias("row"))
     ranked = rows.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("__r"))
     none = F.slice("__r", F.lit(1), F.lit(0))
 
@@ -47,7 +52,7 @@ def suppress_overlaps(
     """Keep a candidate unless a stronger kept one covers ``ratio`` of the shorter interval.
 
     Needs candidate id, start_ms, end_ms, confidence and position (input order, breaks ties).
-    Oversized videos: the ``bound`` strongest are settled, everything they suppress is removed by a
+    A null confidence counts as 0. Oversized videos: the ``bound`` strongest are settled, everything they suppress is removed by a
     time-binned semi join, and the remainder goes to the next round; kept intervals of one video are
     few because they may not cover each other.
     """
@@ -57,7 +62,7 @@ def suppress_overlaps(
     result = _greedy(candidates.join(hot, key, "left_anti"), key, ratio)
     rest = cut_lineage(candidates.join(hot, key, "left_semi"))
     while not rest.isEmpty():
-        head = cut_lineage(top_per_key(rest, key, [F.col("confidence").desc(), F.col("position")], bound, "__rank").drop("__rank"))
+        head = cut_lineage(top_per_key(rest, key, [_strength().desc(), F.col("position")], bound, "__rank").drop("__rank"))
         kept = cut_lineage(_greedy(head, key, ratio))
         result = result.unionByName(kept)
         later = rest.join(head.select(key, id), [key, id], "left_anti")

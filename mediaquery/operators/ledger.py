@@ -19,6 +19,9 @@ BGM_REFRESH = ("selected_audio_path", "audio_type", "music_score", "speech_risk"
                "separation_quality", "eligible", "status", "payload", "updated_at")
 CACHE_REFRESH = ("video_path", "candidate_count", "payload", "analyzed_at", "last_accessed_at")
 
+#: Columns of a table that takes batches in any order: the sequence numbers its rows come from.
+SEEN = ("first_seq", "last_seq")
+
 
 def upsert(
     table: DataFrame, batch: DataFrame, key: str, refresh: Sequence[str], *, seq: str = "seq",
@@ -28,25 +31,31 @@ def upsert(
 
     ``counter`` starts at 1 on insert and grows by ``increment`` per conflicting row.
     """
-    columns = [c for c in table.columns if c != key]
+    columns = [c for c in table.columns if c not in (key, *SEEN)]
     incoming = [c for c in batch.columns if c in columns]
     latest = [c for c in incoming if c in refresh]
     grouped = batch.groupBy(key).agg(
         F.count(F.lit(1)).alias("__n"), F.min_by(F.struct(*incoming), seq).alias("__first"),
-        F.max_by(F.struct(*(latest or incoming)), seq).alias("__last"))
+        F.max_by(F.struct(*(latest or incoming)), seq).alias("__last"), F.min(seq).alias("__from"), F.max(seq).alias("__to"))
     merged = table.withColumn("__old", F.lit(True)).join(grouped, key, "full")
     old, touched = F.col("__old").isNotNull(), F.col("__n").isNotNull()
+    # a table that keeps the first and last sequence number takes batches in any order
+    ordered = set(SEEN) <= set(table.columns)
+    newer = ~old | (F.col("__to") > F.col("last_seq")) if ordered else F.lit(True)
+    older = ~old | (F.col("__from") < F.col("first_seq")) if ordered else ~old
     out: list[Column] = [F.col(key)]
     for c in columns:
         if c == counter:
             value = F.when(~touched, F.col(c)).when(old, F.col(c) + F.col("__n") * increment).otherwise(1 + (F.col("__n") - 1) * increment)
         elif c in latest:
-            value = F.when(touched, F.col(f"__last.{c}")).otherwise(F.col(c))
+            value = F.when(touched & newer, F.col(f"__last.{c}")).otherwise(F.col(c))
         elif c in incoming:
-            value = F.when(old, F.col(c)).otherwise(F.col(f"__first.{c}"))
+            value = F.when(touched & older, F.col(f"__first.{c}")).otherwise(F.col(c))
         else:
             value = F.when(old, F.col(c)).otherwise(F.lit((defaults or {}).get(c)))
         out.append(value.cast(table.schema[c].dataType).alias(c))
+    if ordered:
+        out += [F.least("first_seq", "__from").alias("first_seq"), F.greatest("last_seq", "__to").alias("last_seq")]
     return merged.select(*out)
 
 
@@ -86,9 +95,10 @@ def finalize(
     """Reserved rows of the decided creatives become committed or released; commits raise exported_count.
 
     ``decisions`` has run_id, creative_id and decision; a null creative_id decides the whole run.
+    Repeated decisions count once; of contradicting ones ``committed`` holds.
     """
-    whole = decisions.where(F.col("creative_id").isNull()).select("run_id", F.col("decision").alias("__run"))
-    single = decisions.where(F.col("creative_id").isNotNull()).select("run_id", "creative_id", F.col("decision").alias("__one"))
+    whole = decisions.where(F.col("creative_id").isNull()).groupBy("run_id").agg(F.min("decision").alias("__run"))
+    single = decisions.where(F.col("creative_id").isNotNull()).groupBy("run_id", "creative_id").agg(F.min("decision").alias("__one"))
     joined = ledger.join(single, ["run_id", "creative_id"], "left").join(whole, "run_id", "left")
     decision = F.coalesce("__one", "__run")
     changed = (F.col("state") == "reserved") & decision.isin("committed", "released")

@@ -44,8 +44,15 @@ def bgm_rank_order(target_bpm: float) -> list[Column]:
     return [F.round(fit, 9).desc(), F.col("music_score").desc(), F.round(adjusted, 9).desc(), F.col("updated_at").desc()]
 
 
+def rank_bgms(assets: DataFrame, target_bpm: float) -> DataFrame:
+    """Every track's rank in its category; a category is cut into bins of the rounded fit, so a hot one is not one task."""
+    fit = F.col("music_score") - F.col("exported_count") * 0.15 - F.least(F.lit(0.3), octave_bpm_distance(F.col("bpm"), target_bpm) / 100)
+    return ordered_scan(assets, ["category"], bgm_rank_order(target_bpm), -F.floor(F.round(fit, 9) * 100), rank="rank")
+
+
 def eligible_bgms(assets: DataFrame, *, minimum_score: float, maximum_risk: float, minimum_ms: int = 5_000) -> DataFrame:
-    return assets.where((F.col("music_score") >= minimum_score) & (F.col("speech_risk") <= maximum_risk) & (F.col("duration_ms") >= minimum_ms))
+    """Assets marked ``eligible`` that pass the thresholds; a null mark is not eligible."""
+    return assets.where(F.coalesce(F.col("eligible").cast("boolean"), F.lit(False))).where((F.col("music_score") >= minimum_score) & (F.col("speech_risk") <= maximum_risk) & (F.col("duration_ms") >= minimum_ms))
 
 
 def dedupe_by_fingerprint(assets: DataFrame, target_bpm: float) -> DataFrame:

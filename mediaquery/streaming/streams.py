@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mediaquery.operators.ledger import register_candidates
+from mediaquery.operators.ledger import SEEN, register_candidates
 from mediaquery.sources.tables import SnapshotTable
 
+
 def stream_register(batches: DataFrame, table: SnapshotTable, empty: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
     """Upserts every arriving micro-batch into the registry; a replayed batch changes nothing.
 
-    The snapshot carries the last batch id it contains, so a restart skips batches already applied.
+    Rows are merged by ``seq``, not by arrival: the snapshot keeps the first and last number per candidate, so
+    files that arrive in any order give the same table. It also carries the last batch id it contains, so a restart skips batches already applied.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         current = table.read()
         if current is None:
-            current = empty.withColumn("applied_batch", F.lit(-1).cast("long"))
+            seen = {name: F.lit(None).cast(batch.schema["seq"].dataType) for name in SEEN}
+            current = empty.withColumns(seen).withColumn("applied_batch", F.lit(-1).cast("long"))
         done = current.agg(F.max("applied_batch")).first()[0]
         if done is not None and done >= batch_id:
             return

@@ -67,8 +67,8 @@ def test_audio_classes(spark):
 
 
 def test_short_track_is_not_chosen(spark):
-    b = spark.createDataFrame([("short", "c", "f1", 122.0, 0.99, 0.0, 4_900, 0, 1), ("long", "c", "f2", 122.0, 0.70, 0.0, 5_000, 0, 2)],
-                              "bgm_id string, category string, fingerprint string, bpm double, music_score double, speech_risk double, duration_ms long, exported_count int, updated_at int")
+    b = spark.createDataFrame([("short", "c", "f1", 122.0, 0.99, 0.0, 4_900, 0, 1, 1), ("long", "c", "f2", 122.0, 0.70, 0.0, 5_000, 0, 2, 1)],
+                              "bgm_id string, category string, fingerprint string, bpm double, music_score double, speech_risk double, duration_ms long, exported_count int, updated_at int, eligible int")
     assert [r[0] for r in rows(ranking.select_bgms(b, 3).select("bgm_id"), "bgm_id")] == ["long", "long"]
 
 
