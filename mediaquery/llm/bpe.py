@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaquery.llm.common import batched_rows
 
@@ -60,9 +61,8 @@ def encode(enc, text: str | None) -> list[int]:
 
 def encode_table(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` plus ``ids``, the token ids of each whole text."""
-    fields = docs.select(*keep)
     source = docs.select(*keep, F.col(text).alias("_text"))
-    schema = fields.schema.add("ids", "array<int>")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
@@ -104,7 +104,7 @@ def digest_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
 def decode_table(tokens: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` plus ``raw``, the bytes of ``ids``; null ids give null."""
-    schema = tokens.select(*keep).schema.add("raw", "binary")
+    schema = T.StructType([*tokens.select(*keep).schema.fields, T.StructField("raw", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)

@@ -42,8 +42,9 @@ def tokens(texts: list[str | None], classes: int = CLASSES) -> tuple[np.ndarray,
     begins = np.nonzero(inside[1:] & ~inside[:-1])[0] + 1
     if not len(begins):
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    # a word's hash sums the hashes of its neighbouring character pairs, the blank before it included
+    # a word's hash sums the hashes of its neighbouring character pairs; all blanks before it are alike
     mixed = points * np.uint32(0x85EBCA6B)
+    mixed *= inside
     mixed[1:] = mixed[:-1] + points[1:]
     mixed *= np.uint32(0x9E3779B1)
     mixed ^= mixed >> np.uint32(15)
