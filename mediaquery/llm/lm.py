@@ -26,8 +26,6 @@ CLASSES = 40
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 1024
-#: Training masks every so many-th token of a document, counted over a batch of texts; scoring masks all.
-MASK_EVERY = 4
 ROUNDS = 2
 RATE = 0.4
 _BLOCK = 4096
@@ -214,9 +212,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> np.ndarr
             for _, texts in _texts(batches, 0):
                 ids, counts = tokens(texts, net.classes)
                 around = windows(ids, counts, net.size)
-                around, masked = around[:, turn::MASK_EVERY], ids[turn::MASK_EVERY]
-                for k in range(0, len(masked), BATCH):
-                    trainer.step(around[:, k : k + BATCH], masked[k : k + BATCH])
+                for k in range(0, len(ids), BATCH):
+                    trainer.step(around[:, k : k + BATCH], ids[k : k + BATCH])
             if trainer.seen:
                 result, part = net.flat(), TaskContext.get().partitionId() % 64
                 for at in range(0, len(result), _BLOCK):
