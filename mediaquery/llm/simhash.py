@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaquery.llm.common import cut_lineage
 from mediaquery.llm.components import connected_components
@@ -25,6 +26,8 @@ from mediaquery.llm.components import connected_components
 SEED = 42
 #: Fingerprints in a tile, about.
 TILE = 512
+#: Shingles of all texts of a tile of ``near_duplicates``, about; bounds what an exact check of the tile holds.
+TILE_SHINGLES = 1_000_000
 
 
 def shingle_hashes(raw: bytes, n: int) -> np.ndarray:
@@ -141,15 +144,21 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def closest_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of a spanning forest of the links between two tiles, nearest links first."""
-    gap = np.zeros((len(a), len(b)), np.uint8)
+def _within(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes and differing bits of all links between two tiles of wide fingerprints."""
+    gap = np.zeros((len(a), len(b)), np.uint16)
     for k in range(a.shape[1]):
         gap += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
     i, j = np.nonzero(gap <= radius)
     if same:
         i, j = i[i < j], j[i < j]
-    far, label = gap[i, j], np.arange(len(a) + (0 if same else len(b)))
+    return i, j, gap[i, j]
+
+
+def closest_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of a spanning forest of the links between two tiles, nearest links first."""
+    i, j, far = _within(a, b, radius, same)
+    label = np.arange(len(a) + (0 if same else len(b)))
     other, keep = (j if same else j + len(a)), []
     while len(i):  # every tree takes its nearest link outwards; ties by place, so no cycles
         x, y = label[i], label[other]
@@ -177,30 +186,84 @@ def closest_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tup
     return found[:, 0], found[:, 1]
 
 
-def _jaccard(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of keys whose texts' shingle sets are at least so similar."""
-    near = pairs.join(texts.select(F.col("key").alias("a"), F.col("raw").alias("ra")), "a").join(texts.select(F.col("key").alias("b"), F.col("raw").alias("rb")), "b").select("a", "b", "ra", "rb")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _similar(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Have two sorted arrays of distinct shingle hashes at least this Jaccard similarity?"""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= similarity * (len(p) + len(q) - both)
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, ...) of keys with ``good``: are their texts' shingle sets at least so similar."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    near = pairs.join(texts.select(F.col("key").alias("a"), F.col("raw").alias("ra")), "a").join(texts.select(F.col("key").alias("b"), F.col("raw").alias("rb")), "b").select("a", "b", *rest, "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.unique(shingle_hashes(t.as_py(), shingle)) for t in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both >= similarity * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], schema=out)
+            n = batch.num_columns - 2
+            good = [_similar(*(np.unique(shingle_hashes(t.as_py(), shingle)) for t in two), similarity) for two in zip(batch.column(n), batch.column(n + 1), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(good, pa.bool_())], names=[*batch.schema.names[:n], "good"])
+
+    return near.mapInArrow(run, T.StructType([*near.schema.fields[:-2], T.StructField("good", T.BooleanType())]))
 
-    return near.mapInArrow(run, "a long, b long")
 
+def late_links(marks: np.ndarray, label: list, hashes: list, left: np.ndarray, right: np.ndarray, radius: int, similarity: float, same: bool) -> list[tuple[int, int]]:
+    """Links of rows ``left`` to rows ``right`` that join different labels, each checked exactly, nearest first."""
+    root = {x: x for x in label}
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 2, radius: int = 30, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    i, j, far = _within(marks[left], marks[right], radius, same)
+    order, found = np.argsort(far, kind="stable"), []
+    for p, q in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
+        x, y = find(label[p]), find(label[q])
+        if x != y and _similar(hashes[p], hashes[q], similarity):
+            root[x] = y
+            found.append((p, q))
+    return found
+
+
+def _links_behind_failures(checked: DataFrame, marks: DataFrame, texts: DataFrame, known: DataFrame, radius: int, words: int, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that the forests left out because a nearer link, which then failed its check, closed a cycle.
+
+    Both ends of such a link lie on the forest of a tile pair with a failure. These texts alone meet again, by tile
+    pair, and every candidate that joins two components so far is checked in the task; failures never leave it.
+    """
+    failed = checked.where(~F.col("good")).select("at").distinct()
+    ends = checked.join(failed, "at", "left_semi").select("at", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("key")), F.struct(F.lit(1).alias("side"), F.col("b").alias("key")))).alias("x")).select("at", "x.*").distinct()
+    label = F.coalesce("component", "key").alias("label")
+    rows = ends.join(known.select(F.col("node").alias("key"), "component"), "key", "left").select("at", "side", "key", label)
+    rows = rows.join(marks.select("key", "marks"), "key").join(texts, "key")
+    tiles = rows.groupBy("at").agg(F.collect_list(F.struct("side", "key", "label", "marks", "raw")).alias("rows")).select("rows", F.col("at.same").alias("same"))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, same in zip(*batch.columns, strict=True):
+                own = {r["key"]: r for r in group.as_py()} if same.as_py() else {(r["side"], r["key"]): r for r in group.as_py()}
+                tile = list(own.values())
+                side = np.array([r["side"] for r in tile])
+                every = np.arange(len(tile))
+                left, right = (every, every) if same.as_py() else (every[side == 0], every[side == 1])
+                wide = np.array([r["marks"] for r in tile], dtype=np.int64).view(np.uint64).reshape(-1, words)
+                hashes = [np.unique(shingle_hashes(r["raw"], shingle)) for r in tile]
+                found = late_links(wide, [r["label"] for r in tile], hashes, left, right, radius, similarity, same.as_py())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([tile[p]["key"] for p, _ in found], pa.int64()), pa.array([tile[q]["key"] for _, q in found], pa.int64())], schema=out)
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, radius: int = 60, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, component_id) by links of texts whose ``shingle``-word sets have Jaccard ``similarity`` or more.
 
     ``words`` 64-bit fingerprints within ``radius`` bits give candidates. At this similarity sizes of the sets
     differ by a factor of 1/similarity at most, so tiles are cut by size and only near sizes meet, besides the
     population counts that skip pairs of tiles. A tile pair passes on its nearest spanning forest; the exact
-    check of those links follows on the texts. Equal texts are one text from the start; texts without words are equal.
+    check of those links follows on the texts, and where one fails the links that it hid are checked too. Equal texts are one text from the start; texts without words are equal.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).withColumn("key", F.xxhash64("raw"))
     members = cut_lineage(keyed.select("id", "key"))
@@ -216,30 +279,36 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     reach = 4
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) * reach / float(-np.log(similarity)) + 1e-9).cast("int")
     sized = marks.withColumn("size", size)
-    parts = sized.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / (2 * TILE)).cast("int").alias("parts"))
+    parts = sized.groupBy("size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (2 * TILE), F.sum("n") / TILE_SHINGLES, F.lit(1))).cast("int").alias("parts"))
     tiles = cut_lineage(sized.join(parts, "size").groupBy("size", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("key", "marks")).alias("rows")))
     tiles = tiles.select("size", "part", F.struct(F.col("rows.key").alias("keys"), F.flatten("rows.marks").alias("marks")).alias("tile"))
     visits = tiles.select("tile", "part", "size", F.explode(F.sequence("size", F.col("size") + reach)).alias("at"))
     home = tiles.select(F.col("size").alias("at"), F.col("part").alias("home_part"), F.col("tile").alias("home"))
     met = visits.join(home, "at").where((F.col("size") != F.col("at")) | (F.col("part") <= F.col("home_part")))
-    met = met.select("tile", "home", ((F.col("size") == F.col("at")) & (F.col("part") == F.col("home_part"))).alias("same"))
-    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    same = ((F.col("size") == F.col("at")) & (F.col("part") == F.col("home_part"))).alias("same")
+    met = met.select("tile", "home", F.struct("size", "part", F.col("at").alias("home_size"), "home_part", same).alias("at"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, same in zip(*batch.columns, strict=True):
+            for k, (a, b) in enumerate(zip(*batch.columns[:2], strict=True)):
+                at = batch.column(2).slice(k, 1)
                 (ka, ma), (kb, mb) = ((x["keys"].values.to_numpy(), x["marks"].values.to_numpy().view(np.uint64).reshape(-1, words)) for x in (a, b))
                 pa_, pb = (np.bitwise_count(m).sum(1) for m in (ma, mb))
                 if pa_.min() > pb.max() + radius or pb.min() > pa_.max() + radius:
                     continue
-                i, j = closest_forest(ma, mb, radius, same.as_py())
+                i, j = closest_forest(ma, mb, radius, at[0].as_py()["same"])
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j])], schema=pair_schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j]), at.take(pa.array(np.zeros(len(i), np.int64)))], names=["a", "b", "at"])
 
-    pairs = cut_lineage(met.mapInArrow(compare, "a long, b long").distinct())
+    pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), met.schema["at"]])
+    pairs = cut_lineage(met.mapInArrow(compare, pair_schema))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = keyed.select("key", "raw").join(needed, "key", "left_semi").groupBy("key").agg(F.first("raw").alias("raw"))
-    linked = connected_components(_jaccard(pairs, cut_lineage(texts), shingle, similarity))
+    texts = cut_lineage(texts)
+    checked = cut_lineage(_checked(pairs, texts, shingle, similarity))
+    good = checked.where("good").select("a", "b")
+    more = _links_behind_failures(checked, marks, texts, connected_components(good), radius, words, shingle, similarity)
+    linked = connected_components(good.unionByName(more))
     heads = members.groupBy("key").agg(F.min("id").alias("head")).join(linked.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = heads.groupBy("component").agg(F.min("head").alias("component_id"))
     return members.join(heads.join(least, "component").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id")

@@ -233,6 +233,26 @@ def test_near_duplicates_equal_all_pairs(spark, docs):
     assert [got[k] for k, _ in rows] == [rows[r][0] for r in roots(len(rows), links)]
 
 
+def test_links_behind_failed_links_are_found(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # copies of one text whose similarities lie on both sides of the threshold
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, ODD_DDL)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert [got[k] for k, _ in rows] == roots(len(rows), links)
+    # rows 0 and 2 link, but 1 is nearer to both and similar to neither
+    hashes = [np.arange(10, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64)]
+    marks, every = np.array([[0b0001], [0b0000], [0b1110]], dtype=np.uint64), np.arange(3)
+    assert {frozenset(x) for x in simhash.late_links(marks, [0, 1, 2], hashes, every, every, 4, 0.8, True)} == {frozenset((0, 2))}
+    assert simhash.late_links(marks, [0, 1, 0], hashes, every, every, 4, 0.8, True) == []
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 340)] + [(400, i) for i in range(401, 500)]
