@@ -32,6 +32,10 @@ TRAIN_ROWS = 30_000
 ENTRIES = 4_000
 #: Context words at most, the most frequent around hits.
 CONTEXT_WORDS = 2_000
+#: Letters of the word beginnings that may become entries; longer ones tell rarer stems apart.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Different words that a beginning needs to count as a stem.
+FORMS = 2
 _QUOTES = "\"'`“”„‟‘’«»‹›"
 _TOKEN = re.compile(r"[^\W_]+")
 _MEMO = 400_000
@@ -199,11 +203,11 @@ def learn(train: DataFrame) -> Model:
     counts = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     counts = cut_lineage(counts.where("t > 0 or length(w) >= 4"))
     # every beginning counts texts at most as often as its words do
-    heads = counts.select("t", "c", F.explode(F.filter(F.array(*[F.struct(F.substring("w", 1, n).alias("h"), F.lit(n).alias("n")) for n in (4, 5, 6)]), lambda x: F.length(x["h"]) == x["n"])).alias("x"))
+    heads = counts.select("t", "c", F.explode(F.filter(F.array(*[F.struct(F.substring("w", 1, n).alias("h"), F.lit(n).alias("n")) for n in BEGINNINGS]), lambda x: F.length(x["h"]) == x["n"])).alias("x"))
     heads = heads.groupBy("x.h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("forms"))
     need = max(8, toxic // 50)
     sure = f"t >= {need} and t >= 0.9 * (t + c * {max(1e-9, toxic / max(1, clean)):.6f} * 10)"
-    chosen = counts.where(sure).select(F.col("w").alias("term"), F.lit(False).alias("open"), "t").unionByName(heads.where(sure).where("forms >= 5").select(F.col("h").alias("term"), F.lit(True).alias("open"), "t"))
+    chosen = counts.where(sure).select(F.col("w").alias("term"), F.lit(False).alias("open"), "t").unionByName(heads.where(sure).where(f"forms >= {FORMS}").select(F.col("h").alias("term"), F.lit(True).alias("open"), "t"))
     found = chosen.orderBy(F.desc("t"), "term", "open").limit(ENTRIES).collect()
     begins = {r["term"] for r in found if r["open"]}
     covered = lambda term, own: any(term[:n] in begins for n in range(1, len(term) + (0 if own else 1)))
