@@ -15,7 +15,7 @@ def _minima(pairs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _minima(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,18 +32,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     smallest nodes; a star's hub is reduced to one minimum before its edges meet it. Self loops drop out.
     """
     now = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen = _digest(now)
     while True:
-        new = cut_lineage(_small_star(_large_star(now)))
-        if _same(now, new):
+        now = cut_lineage(_small_star(_large_star(now)))
+        before, seen = seen, _digest(now)
+        if seen == before:
             break
-        now = new
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    """Equal edge sets, by count and an order-free sum of hashes."""
-    def digest(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    return digest(x) == digest(y)
+def _digest(edges: DataFrame) -> tuple:
+    """Count and order-free sum of hashes: equal for equal edge sets."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -155,8 +155,8 @@ def _within(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
     return i, j, gap[i, j]
 
 
-def closest_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of a spanning forest of the links between two tiles, nearest links first."""
+def closest_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes and differing bits of a spanning forest of the links between two tiles, nearest links first."""
     i, j, far = _within(a, b, radius, same)
     label = np.arange(len(a) + (0 if same else len(b)))
     other, keep = (j if same else j + len(a)), []
@@ -170,7 +170,7 @@ def closest_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tup
         i, j, other, far, x, y = i[rank], j[rank], other[rank], far[rank], x[rank], y[rank]
         _, first = np.unique(np.stack([x, y], 1).ravel(), return_index=True)
         use = np.unique(first // 2)
-        keep.append(np.stack([i[use], j[use]], 1))
+        keep.append(np.stack([i[use], j[use], far[use]], 1))
         low, high = np.minimum(x[use], y[use]), np.maximum(x[use], y[use])
         while True:  # merge the trees that the chosen links join
             before = label.copy()
@@ -182,8 +182,8 @@ def closest_forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tup
                 label = label[label]
             if (label == before).all():
                 break
-    found = np.concatenate(keep) if keep else np.zeros((0, 2), np.int64)
-    return found[:, 0], found[:, 1]
+    found = np.concatenate(keep) if keep else np.zeros((0, 3), np.int64)
+    return found[:, 0], found[:, 1], found[:, 2]
 
 
 def _similar(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
@@ -226,31 +226,84 @@ def late_links(marks: np.ndarray, label: list, hashes: list, left: np.ndarray, r
     return found
 
 
-def _links_behind_failures(checked: DataFrame, marks: DataFrame, texts: DataFrame, known: DataFrame, radius: int, words: int, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): links that the forests left out because a nearer link, which then failed its check, closed a cycle.
+def _labelled(rows: DataFrame, col: str, known: DataFrame, name: str) -> DataFrame:
+    """``name``: the component of ``col``, itself for a lone key."""
+    found = known.select(F.col("node").alias(col), F.col("component").alias(name))
+    return rows.join(found, col, "left").withColumn(name, F.coalesce(name, col))
 
-    Both ends of such a link lie on the forest of a tile pair with a failure. These texts alone meet again, by tile
-    pair, and every candidate that joins two components so far is checked in the task; failures never leave it.
+
+def _tile_components(links: DataFrame) -> DataFrame:
+    """(node, component) by links (a, b, at) inside tiles; a tile's links are a forest, fewer than its rows."""
+    grouped = links.groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("links")).select("links")
+    out = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs in batch.column(0):
+                nodes, ends = np.unique(np.stack([pairs.values.field(c).to_numpy() for c in "ab"]), return_inverse=True)
+                a, b = ends.reshape(2, -1)
+                label = np.arange(len(nodes))
+                while (label[a] != label[b]).any():
+                    low = np.minimum(label[a], label[b])
+                    np.minimum.at(label, a, low)
+                    np.minimum.at(label, b, low)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], schema=out)
+
+    return cut_lineage(grouped.mapInArrow(run, "node long, component long"))
+
+
+def _between(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of the pairs of a tile pair that join two components so far, one for each two components, the nearest."""
+    both = _labelled(_labelled(pairs, "a", known, "la"), "b", known, "lb").where("la <> lb")
+    best = both.groupBy("at", F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")).agg(F.min(F.struct("far", "a", "b")).alias("x"))
+    return best.select("x.a", "x.b", "at")
+
+
+def _tile_sides(batch: pa.RecordBatch, words: int) -> Iterator[tuple]:
+    """(at, same, rows, marks, left, right) of each collected tile pair; a tile that meets itself has its rows once."""
+    for at, group, same in zip(*batch.columns, strict=True):
+        same = same.as_py()
+        rows = list({(0 if same else r["side"], r["key"]): r for r in group.as_py()}.values())
+        side, every = np.array([r["side"] for r in rows]), np.arange(len(rows))
+        wide = np.array([r["marks"] for r in rows], dtype=np.int64).view(np.uint64).reshape(-1, words)
+        yield at, same, rows, wide, (every if same else every[side == 0]), (every if same else every[side == 1])
+
+
+def _links_behind_failures(failed: DataFrame, pairs: DataFrame, marks: DataFrame, texts: DataFrame, known: DataFrame, radius: int, words: int, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that were left out because a nearer link, which then failed its check, closed a cycle.
+
+    Both ends of such a link lie on the forest of a tile pair with a failure. These fingerprints alone meet again, by
+    tile pair; texts with a candidate in another component follow, and every candidate that joins two components so
+    far is checked in the task. Failures never leave it.
     """
-    failed = checked.where(~F.col("good")).select("at").distinct()
-    ends = checked.join(failed, "at", "left_semi").select("at", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("key")), F.struct(F.lit(1).alias("side"), F.col("b").alias("key")))).alias("x")).select("at", "x.*").distinct()
-    label = F.coalesce("component", "key").alias("label")
-    rows = ends.join(known.select(F.col("node").alias("key"), "component"), "key", "left").select("at", "side", "key", label)
-    rows = rows.join(marks.select("key", "marks"), "key").join(texts, "key")
-    tiles = rows.groupBy("at").agg(F.collect_list(F.struct("side", "key", "label", "marks", "raw")).alias("rows")).select("rows", F.col("at.same").alias("same"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("key")), F.struct(F.lit(1).alias("side"), F.col("b").alias("key")))
+    ends = pairs.join(failed, "at", "left_semi").select("at", F.explode(sides).alias("x")).select("at", "x.*").distinct()
+    rows = _labelled(ends, "key", known, "label")
+    mixed = rows.groupBy("at").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("at")
+    rows = rows.join(mixed, "at", "left_semi").join(marks.select("key", "marks"), "key")
+    tiles = rows.groupBy("at").agg(F.collect_list(F.struct("side", "key", "label", "marks")).alias("rows")).select("at", "rows", F.col("at.same").alias("same"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, same, tile, wide, left, right in _tile_sides(batch, words):
+                i, j, _ = _within(wide[left], wide[right], radius, same)
+                _, label = np.unique(np.array([r["label"] for r in tile], dtype=np.int64), return_inverse=True)
+                apart = label[left[i]] != label[right[j]]
+                kept = [tile[k] for k in np.unique(np.r_[left[i[apart]], right[j[apart]]])]
+                if kept:
+                    cols = [pa.array([r[c] for r in kept], t) for c, t in (("side", pa.int32()), ("key", pa.int64()), ("label", pa.int64()), ("marks", pa.list_(pa.int64())))]
+                    yield pa.RecordBatch.from_arrays([pa.array([at.as_py()] * len(kept), at.type), *cols], names=["at", "side", "key", "label", "marks"])
+
+    fields = [T.StructField("at", tiles.schema["at"].dataType), T.StructField("side", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("label", T.LongType()), T.StructField("marks", T.ArrayType(T.LongType()))]
+    left_open = cut_lineage(tiles.mapInArrow(open_rows, T.StructType(fields))).join(texts, "key")
+    tiles = left_open.groupBy("at").agg(F.collect_list(F.struct("side", "key", "label", "marks", "raw")).alias("rows")).select("at", "rows", F.col("at.same").alias("same"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group, same in zip(*batch.columns, strict=True):
-                own = {r["key"]: r for r in group.as_py()} if same.as_py() else {(r["side"], r["key"]): r for r in group.as_py()}
-                tile = list(own.values())
-                side = np.array([r["side"] for r in tile])
-                every = np.arange(len(tile))
-                left, right = (every, every) if same.as_py() else (every[side == 0], every[side == 1])
-                wide = np.array([r["marks"] for r in tile], dtype=np.int64).view(np.uint64).reshape(-1, words)
+            for _, same, tile, wide, left, right in _tile_sides(batch, words):
                 hashes = [np.unique(shingle_hashes(r["raw"], shingle)) for r in tile]
-                found = late_links(wide, [r["label"] for r in tile], hashes, left, right, radius, similarity, same.as_py())
+                found = late_links(wide, [r["label"] for r in tile], hashes, left, right, radius, similarity, same)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([tile[p]["key"] for p, _ in found], pa.int64()), pa.array([tile[q]["key"] for _, q in found], pa.int64())], schema=out)
 
@@ -263,7 +316,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     ``words`` 64-bit fingerprints within ``radius`` bits give candidates. At this similarity sizes of the sets
     differ by a factor of 1/similarity at most, so tiles are cut by size and only near sizes meet, besides the
     population counts that skip pairs of tiles. A tile pair passes on its nearest spanning forest; the exact
-    check of those links follows on the texts, and where one fails the links that it hid are checked too. Equal texts are one text from the start; texts without words are equal.
+    check of those links follows on the texts, inside tiles first, and where one fails the links that it hid are
+    checked too. Equal texts are one text from the start; texts without words are equal.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).withColumn("key", F.xxhash64("raw"))
     members = cut_lineage(keyed.select("id", "key"))
@@ -296,19 +350,29 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
                 pa_, pb = (np.bitwise_count(m).sum(1) for m in (ma, mb))
                 if pa_.min() > pb.max() + radius or pb.min() > pa_.max() + radius:
                     continue
-                i, j = closest_forest(ma, mb, radius, at[0].as_py()["same"])
+                i, j, far = closest_forest(ma, mb, radius, at[0].as_py()["same"])
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j]), at.take(pa.array(np.zeros(len(i), np.int64)))], names=["a", "b", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j]), at.take(pa.array(np.zeros(len(i), np.int64))), pa.array(far.astype(np.int32))], names=["a", "b", "at", "far"])
 
-    pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), met.schema["at"]])
+    pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), met.schema["at"], T.StructField("far", T.IntegerType())])
     pairs = cut_lineage(met.mapInArrow(compare, pair_schema))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = keyed.select("key", "raw").join(needed, "key", "left_semi").groupBy("key").agg(F.first("raw").alias("raw"))
     texts = cut_lineage(texts)
-    checked = cut_lineage(_checked(pairs, texts, shingle, similarity))
+    # links inside tiles are checked first; between tiles one for each two components is then enough, so that a
+    # large group does not send its texts through every tile pair
+    inner = cut_lineage(_checked(pairs.where("at.same").select("a", "b", "at"), texts, shingle, similarity))
+    cross = _between(pairs.where("not at.same"), _tile_components(inner.where("good")))
+    checked = inner.unionByName(cut_lineage(_checked(cross, texts, shingle, similarity)))
     good = checked.where("good").select("a", "b")
-    more = _links_behind_failures(checked, marks, texts, connected_components(good), radius, words, shingle, similarity)
-    linked = connected_components(good.unionByName(more))
+    failed = checked.where(~F.col("good")).select("at").distinct()
+    known = cut_lineage(connected_components(good))
+    more = cut_lineage(_links_behind_failures(failed, pairs, marks, texts, known, radius, words, shingle, similarity))
+    # the late links join components as nodes of a smaller graph
+    joins = _labelled(_labelled(more, "a", known, "la"), "b", known, "lb").select("la", "lb")
+    late = connected_components(joins, "la", "lb").withColumnsRenamed({"node": "label", "component": "joined"})
+    nodes = known.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti").withColumn("component", F.col("node")))
+    linked = nodes.withColumnRenamed("component", "label").join(late, "label", "left").select("node", F.coalesce("joined", "label").alias("component"))
     heads = members.groupBy("key").agg(F.min("id").alias("head")).join(linked.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = heads.groupBy("component").agg(F.min("head").alias("component_id"))
     return members.join(heads.join(least, "component").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id")
