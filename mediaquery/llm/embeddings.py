@@ -3,9 +3,11 @@
 Equal vectors collapse to one representative. Every representative keeps a short list of near neighbours, started
 from windows over random-projection orders and refined by joins: around each vector its list and the lists it is
 in meet, members are compared, and better neighbours enter. When few entries change, list edges over the
-threshold (checked in double precision) give components. A list full of links may have lost some, so the lists of
-a component grow to all its members, compared in exact blocks. An audit compares a bounded set of queries with
-all vectors; too few of their links found means more orders and another descent.
+threshold (checked in double precision) give components. A list full of links may have lost some, and a link that
+both its ends' lists lost has two such ends: their lists double among themselves, and what stays full is compared in
+exact blocks, which join components. Links are counted over all members of a component, in exact blocks too. An audit
+compares a bounded set of queries with all vectors; too few of their links found means more orders and another
+descent, and after the last try exact blocks of all vectors.
 
 Search compares vectors as bytes; only exact cosines count as links. Vectors that are null, empty, zero or hold
 null or non-finite values, and rows without a label, link with nothing and are their own component. Repeated
@@ -30,6 +32,8 @@ NEIGHBOURS = 8
 ORDERS, SPAN = 4, 48
 #: Members of a join group or of an exact block.
 GROUP, BLOCK = 48, 256
+#: Cosines of bytes are off by far less. Lists full of links double up to LONGEST while they are more than FEW.
+MARGIN, LONGEST, FEW = 0.05, 64, 8_192
 #: Audited queries, wanted share of their links, and tries.
 QUERIES, RECALL, TRIES = 512, 0.95, 4
 _BITS = 48
@@ -166,9 +170,32 @@ def descend(packed: DataFrame, lists: DataFrame, k: int = NEIGHBOURS, rounds: in
     return lists
 
 
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(u): vectors whose list is full and ends in what may be a link, so further links may be missing."""
+    ends = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s"))
+    return cut_lineage(ends.where((F.col("n") >= k) & (F.col("s") >= threshold - MARGIN)).select("u"))
+
+
+def enlarge(packed: DataFrame, lists: DataFrame, orders: range, threshold: float, few: int = FEW, most: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """Lists with longer ones for saturated vectors, and the vectors (u) that stay saturated.
+
+    The list of a vector that is not saturated holds all its links, so longer lists are searched among saturated ones only.
+    """
+    k = NEIGHBOURS
+    full = _saturated(lists, k, threshold)
+    while k < most and full.count() > few:
+        k *= 2
+        some = cut_lineage(packed.join(full.withColumnRenamed("u", "rep"), "rep"))
+        known = lists.join(full, "u").join(full.withColumnRenamed("u", "v"), "v").select("u", "v", "s")
+        longer = descend(some, start_lists(some, orders, k).unionByName(known), k)
+        lists = cut_lineage(lists.unionByName(longer))
+        full = _saturated(longer, k, threshold)
+    return lists, full
+
+
 def _edges(lists: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """List entries whose exact cosine reaches the threshold; bytes are off by far less than the margin."""
-    near = lists.where(F.col("s") >= threshold - 0.05).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    near = lists.where(F.col("s") >= threshold - MARGIN).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     with_a = near.join(reps.select(F.col("rep").alias("a"), F.col("vec").alias("x")), "a")
     both = with_a.join(reps.select(F.col("rep").alias("b"), F.col("vec").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -183,6 +210,50 @@ def _edges(lists: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the given pairs connect, one for each node but the smallest of its group."""
+    ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = places[: len(a)], places[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[p], label[q])
+        new = label.copy()
+        for side in (p, q):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            moved = label != np.arange(len(ids))
+            return ids[moved], ids[label[moved]]
+        label = new
+
+
+def join_components(reps: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """``groups`` with components joined where two of ``reps`` link, all compared in exact blocks."""
+    home = groups.select(F.col("node").alias("rep"), "component")
+    known = reps.select("rep", F.concat_ws(":", F.size("vec"), F.col("label").cast("string")).alias("key"), "vec").join(home, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = known.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    # dealt by block, or a label's blocks would stay in the one task that the join by key leaves them in
+    cut = known.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).repartition("key", "part")
+    blocks = cut_lineage(cut.groupBy("key", "parts", "part").agg(F.collect_list(F.struct("component", "vec")).alias("x")).select("key", "parts", "part", F.col("x.component").alias("c"), F.flatten("x.vec").alias("v")))
+    left = blocks.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1)))
+    right = blocks.select("key", F.col("part").alias("other"), F.col("c").alias("c2"), F.col("v").alias("v2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, va, b, vb in zip(*batch.columns, strict=True):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                x, y = (_unit(v.values.to_numpy().reshape(len(c), -1)) for c, v in ((a, va), (b, vb)))
+                i, j = np.nonzero((x @ y.T >= threshold) & (a[:, None] != b[None, :]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in _stars(a[i], b[j])], names=["a", "b"])
+
+    found = cut_lineage(left.join(right, ["key", "other"]).select("c", "v", "c2", "v2").mapInArrow(run, "a long, b long"))
+    if found.isEmpty():
+        return groups
+    return cut_lineage(connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)))
+
+
 def audit_recall(reps: DataFrame, groups: DataFrame, threshold: float, queries: int = QUERIES) -> float:
     """Share of true links of a bounded, hashed set of queries whose ends are in one component (a superset of links found)."""
     asked = reps.orderBy(F.xxhash64("rep"), "rep").limit(queries).select("rep", F.col("label").cast("string").alias("label"), "vec").collect()
@@ -247,9 +318,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         orders = range(attempt * ORDERS, (attempt + 1) * ORDERS)
         begin = start_lists(packed, orders)
         lists = descend(packed, begin if lists is None else begin.unionByName(lists))
+        lists, full = enlarge(packed, lists, orders, threshold)
         groups = cut_lineage(connected_components(_edges(lists, reps, threshold)))
+        groups = join_components(reps.join(full.withColumnRenamed("u", "rep"), "rep"), groups, threshold)
         if audit_recall(reps, groups, threshold) >= RECALL:
             break
+    else:  # lists still miss too much
+        groups = join_components(reps, groups, threshold)
     found = reps.select("rep", "copies", "label", "vec").join(_link_counts(reps, groups, threshold), "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     same = F.transform(F.col("vec").cast("array<double>"), lambda x: x + 0.0)
     keyed = able.select("id", "label", same.alias("vec")).select("id", "label", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))

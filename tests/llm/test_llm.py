@@ -290,6 +290,39 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def two_clusters():
+    """Two tight clusters with links between single members only, and what all pairs give."""
+    rng = np.random.default_rng(3)
+    axis = np.eye(32)
+    angle = np.arccos(0.92)
+    heads = [axis[0], np.cos(angle) * axis[0] + np.sin(angle) * axis[1]]
+    x = np.concatenate([h + rng.normal(size=(300, 32)) * 0.011 for h in heads]).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    assert linked[:300, :300].all() and linked[300:, 300:].all() and 0 < linked[:300, 300:].mean() < 0.3
+    np.fill_diagonal(linked, False)
+    return [(i, [float(v) for v in row], 0) for i, row in enumerate(x)], linked.sum(axis=1)
+
+
+@pytest.mark.parametrize("few", [embeddings.FEW, 0])
+def test_links_between_full_lists(spark, monkeypatch, few):
+    enlarge = embeddings.enlarge
+    monkeypatch.setattr(embeddings, "enlarge", lambda *a: enlarge(*a, few=few))
+    rows, degree = two_clusters()
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(r["component_id"] == 0 and r["kept"] == (i == 0) for i, r in got.items())
+    assert [got[i]["n_links"] for i in range(len(rows))] == degree.tolist()
+
+
+def test_short_audit_ends_in_exact_blocks(spark, monkeypatch):
+    descend = embeddings.descend
+    monkeypatch.setattr(embeddings, "descend", lambda *a: descend(*a, rounds=0).limit(0))
+    monkeypatch.setattr(embeddings, "TRIES", 1)
+    rows, degree = two_clusters()
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert {r["component_id"] for r in got.values()} == {0} and [got[i]["n_links"] for i in range(len(rows))] == degree.tolist()
+
+
 # ---- 8: line dedup ----------------------------------------------------------------------------------
 
 def plain_runs(rows, least):
