@@ -203,15 +203,18 @@ def learn(train: DataFrame) -> Model:
     counts = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     counts = cut_lineage(counts.where("t > 0 or length(w) >= 4"))
     # every beginning counts texts at most as often as its words do
-    heads = counts.select("t", "c", F.explode(F.filter(F.array(*[F.struct(F.substring("w", 1, n).alias("h"), F.lit(n).alias("n")) for n in BEGINNINGS]), lambda x: F.length(x["h"]) == x["n"])).alias("x"))
-    heads = heads.groupBy("x.h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("forms"))
+    heads = counts.select("w", "t", "c", F.explode(F.filter(F.array(*[F.struct(F.substring("w", 1, n).alias("h"), F.lit(n).alias("n")) for n in BEGINNINGS]), lambda x: F.length(x["h"]) == x["n"])).alias("x"))
+    heads = heads.groupBy("x.h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("forms"), F.max_by("w", F.struct("t", "w")).alias("form"))
     need = max(8, toxic // 50)
     sure = f"t >= {need} and t >= 0.9 * (t + c * {max(1e-9, toxic / max(1, clean)):.6f} * 10)"
-    chosen = counts.where(sure).select(F.col("w").alias("term"), F.lit(False).alias("open"), "t").unionByName(heads.where(sure).where(f"forms >= {FORMS}").select(F.col("h").alias("term"), F.lit(True).alias("open"), "t"))
+    stems = heads.where(sure).where(f"forms >= {FORMS}")
+    chosen = counts.where(sure).select(F.col("w").alias("term"), F.lit(False).alias("open"), "t").unionByName(stems.select(F.col("h").alias("term"), F.lit(True).alias("open"), "t"))
+    # a stem tolerates no edits, so its most frequent form is matched as a whole word, too
+    chosen = chosen.unionByName(stems.select(F.col("form").alias("term"), F.lit(False).alias("open"), "t")).groupBy("term", "open").agg(F.max("t").alias("t"))
     found = chosen.orderBy(F.desc("t"), "term", "open").limit(ENTRIES).collect()
     begins = {r["term"] for r in found if r["open"]}
-    covered = lambda term, own: any(term[:n] in begins for n in range(1, len(term) + (0 if own else 1)))
-    model.entries = [(r["term"], r["open"]) for r in found if not covered(r["term"], r["open"])]
+    covered = lambda term: any(term[:n] in begins for n in range(1, len(term)))
+    model.entries = [(r["term"], r["open"]) for r in found if not (r["open"] and covered(r["term"]))]
     _weigh(model, train, toxic)
     return model
 

@@ -98,6 +98,14 @@ def test_toxicity_scores(spark):
     assert scored[1] >= 0.7 > scored[2]
 
 
+def test_learned_stems_keep_misspellings(spark):
+    """Two forms make a stem; edits inside its letters are found as before."""
+    words = [(f"fine words here number{i % 7} and more", 0) for i in range(200)] + [(f"what grumblork{'s' * (i % 2)} thing number{i}", 1) for i in range(100)]
+    matcher = toxicity.Matcher(toxicity.learn(spark.createDataFrame(words, "text string, y int")).entries)
+    assert any(o and "grumblork".startswith(t) for t, o in matcher.entries) and matcher.match("grumblorky")[1] == 0
+    assert all(matcher.match(w) and matcher.match(w)[1] >= 1 for w in ("grunblork", "rgumblork", "gumblorks", "grvmblork"))
+
+
 # ---- 3: language model ------------------------------------------------------------------------------
 
 def test_language_model_prefers_its_corpus(spark):
