@@ -4,7 +4,8 @@ The lexicon (whole words and word beginnings that mark toxic training texts) is
 the Levenshtein automaton of every entry at once: states are sets of (trie node, edits), made when first needed
 and kept, so a word costs one dictionary step per character and most die after a few. Each hit has the
 precision of its (entry, edits) on the training texts; its window adds what the words around it and quotation
-marks say about abuse or mention. Hits combine to 1 - prod(1 - p).
+marks (the entry's own habit of being quoted, where known) say about abuse or mention. Hits that are then more likely
+abuse than not combine to 1 - prod(1 - p).
 
 Null and empty texts have no hit and get the base rate. Labels that are null are not learned from; a text with
 several labels counts with each. Without training rows or without any entry every score is the base rate.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaquery.llm.common import cut_lineage, to_batch
@@ -28,8 +29,11 @@ from mediaquery.llm.common import cut_lineage, to_batch
 WINDOW = 5
 #: Labelled training rows at most; more are thinned by hash.
 TRAIN_ROWS = 30_000
-#: Lexicon entries at most, those in most toxic texts first.
+#: Lexicon entries at most, those with most evidence first.
 ENTRIES = 4_000
+#: What an entry needs, however many labels there are: toxic texts, log-likelihood ratio against chance (25: about one in
+#: two million), and its rate in toxic texts over that in clean ones. Precision, context and quotation do the rest.
+LEAST, EVIDENCE, LIFT = 3, 25.0, 3.0
 #: Context words at most, the most frequent around hits.
 CONTEXT_WORDS = 2_000
 #: Letters of the word beginnings that may become entries; longer ones tell rarer stems apart.
@@ -49,6 +53,7 @@ class Model:
     precision: dict[tuple[int, int], float] = field(default_factory=dict)  # (entry, edits)
     context: dict[str, float] = field(default_factory=dict)
     quoted: float = -1.5
+    marks: dict[tuple[int, bool], float] = field(default_factory=dict)  # (entry, quoted): weight in place of the general one
     base: float = 0.01
 
 
@@ -92,7 +97,7 @@ class Matcher:
                     items.add((nxt, e + 1))
                     todo.append((nxt, e + 1))
         for node, e in items:
-            if node in self.open and e == 0 and best is None:
+            if node in self.open and e == 0:  # the longest beginning says most
                 best = (self.open[node], 0)
         key = (frozenset(items), best)
         if key not in self.ids:
@@ -173,10 +178,12 @@ def score(model: Model, found: list[Hit]) -> float:
     keep = 1.0
     for h in found:
         p = model.precision.get((h.entry, h.edits), 0.0)
-        if p < 0.5:
+        if p <= 0:
             continue
-        z = math.log(p / (1 - p)) + model.quoted * h.quoted
+        z = math.log(p / (1 - p)) + model.marks.get((h.entry, h.quoted), model.quoted * h.quoted)
         z += max(-1.0, min(1.0, sum(model.context.get(w, 0.0) for w in h.near)))
+        if z < 0:
+            continue
         keep *= 1 - 1 / (1 + math.exp(-z))
     return max(model.base, 1 - keep) if keep < 1 else model.base
 
@@ -199,26 +206,37 @@ def learn(train: DataFrame) -> Model:
     model = Model(base=(0.5 + 0.01 * toxic) / (1 + toxic + clean))
     if not toxic:
         return model
+    sure = f"t >= {LEAST} and t * {clean}D >= {LIFT} * c * {toxic}D"
     words = train.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("w"))
     counts = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     counts = cut_lineage(counts.where("t > 0 or length(w) >= 4"))
     # every beginning counts texts at most as often as its words do
     heads = counts.select("w", "t", "c", F.explode(F.filter(F.array(*[F.struct(F.substring("w", 1, n).alias("h"), F.lit(n).alias("n")) for n in BEGINNINGS]), lambda x: F.length(x["h"]) == x["n"])).alias("x"))
+    forms = heads.select("w", "t", "c", "x.h").where(sure)
     heads = heads.groupBy("x.h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("forms"), F.max_by("w", F.struct("t", "w")).alias("form"))
-    need = max(8, toxic // 50)
-    sure = f"t >= {need} and t >= 0.9 * (t + c * {max(1e-9, toxic / max(1, clean)):.6f} * 10)"
-    stems = heads.where(sure).where(f"forms >= {FORMS}")
-    chosen = counts.where(sure).select(F.col("w").alias("term"), F.lit(False).alias("open"), "t").unionByName(stems.select(F.col("h").alias("term"), F.lit(True).alias("open"), "t"))
-    # a stem tolerates no edits, so its most frequent form is matched as a whole word, too
-    chosen = chosen.unionByName(stems.select(F.col("form").alias("term"), F.lit(False).alias("open"), "t")).groupBy("term", "open").agg(F.max("t").alias("t"))
-    found = chosen.orderBy(F.desc("t"), "term", "open").limit(ENTRIES).collect()
-    begins = {r["term"] for r in found if r["open"]}
-    covered = lambda term: any(term[:n] in begins for n in range(1, len(term)))
-    model.entries = [(r["term"], r["open"]) for r in found if not (r["open"] and covered(r["term"]))]
+    counts, heads = (d.withColumn("g", _evidence(toxic, clean)).withColumn("p", F.expr("t / (t + c)")).where(sure).where(f"g >= {EVIDENCE}") for d in (counts, heads))
+    stems = cut_lineage(heads.where(f"forms >= {FORMS}"))
+    chosen = counts.select(F.col("w").alias("term"), F.lit(False).alias("open"), "g", "p").unionByName(stems.select(F.col("h").alias("term"), F.lit(True).alias("open"), "g", "p"))
+    # a stem tolerates no edits, so its forms are matched as whole words, too; their evidence is the stem's
+    chosen = chosen.unionByName(forms.select("w", "h").join(stems.select("h", "g", "p"), "h").select(F.col("w").alias("term"), F.lit(False).alias("open"), "g", "p"))
+    chosen = chosen.unionByName(stems.select(F.col("form").alias("term"), F.lit(False).alias("open"), "g", "p")).groupBy("term", "open").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    found = chosen.orderBy(F.desc("g"), "term", "open").limit(ENTRIES).collect()
+    begins = {r["term"]: r["p"] for r in found if r["open"]}
+    covered = lambda term, p: any(begins.get(term[:n], -1.0) >= p for n in range(1, len(term)))
+    kept = [(r["term"], r["open"]) for r in found if not (r["open"] and covered(r["term"], r["p"]))]
+    model.entries = sorted(kept, key=lambda e: e[1])  # of equal edits the whole word comes first
     _weigh(model, train, toxic)
     return model
 
 
+def _evidence(toxic: int, clean: int) -> Column:
+    """Twice the log-likelihood ratio of a term in t toxic and c clean texts against one rate for both."""
+    t, c = F.least("t", F.lit(toxic)).cast("double"), F.least("c", F.lit(clean)).cast("double")
+    rate = (t + c) / (toxic + clean)
+    part = lambda n, want: F.when(n > 0, n * F.log(n / want)).otherwise(0.0)
+    return 2 * (part(t, rate * toxic) + part(toxic - t, (1 - rate) * toxic) + part(c, rate * clean) + part(clean - c, (1 - rate) * clean))
+
+
 def _weigh(model: Model, train: DataFrame, toxic: int) -> None:
     """Precision of hits by entry and edits, and the weights of their context, on the training texts."""
     entries = model.entries
@@ -233,7 +251,7 @@ def _weigh(model: Model, train: DataFrame, toxic: int) -> None:
                 keys = [("entry", str(h.entry), h.edits, y) for h in found]
                 for key in set(keys) | ({("none", "", 0, y)} if not found else set()):
                     seen[key] = seen.get(key, 0) + 1
-                for key in [("quoted", str(h.quoted), 0, y) for h in found] + [("word", w, 0, y) for h in found for w in set(h.near)]:
+                for key in [("quoted", str(h.entry), int(h.quoted), y) for h in found] + [("word", w, 0, y) for h in found for w in set(h.near)]:
                     seen[key] = seen.get(key, 0) + 1
             if seen:
                 yield to_batch([(*k, n) for k, n in seen.items()], out)
@@ -246,6 +264,7 @@ def _weigh(model: Model, train: DataFrame, toxic: int) -> None:
             model.precision[(k, e)] = prior[e]
     none = {"t": 0, "c": 0}
     quoted = {True: dict(none), False: dict(none)}
+    own: dict[tuple[int, bool], dict] = {}
     for r in rows:
         if r["kind"] == "entry":
             p = prior[r["edits"]]
@@ -253,10 +272,20 @@ def _weigh(model: Model, train: DataFrame, toxic: int) -> None:
         elif r["kind"] == "none":
             model.base = min(0.5, (r["t"] + 0.01) / (r["t"] + r["c"] + 1))
         else:
-            quoted[r["key"] == "True"] = {"t": r["t"], "c": r["c"]}
+            own[int(r["key"]), r["edits"] == 1] = {"t": r["t"], "c": r["c"]}
+            for x in "tc":
+                quoted[r["edits"] == 1][x] += r[x]
     clean_hits, toxic_hits = (sum(q[x] for q in quoted.values()) for x in "ct")
     if clean_hits >= 20 and quoted[True]["t"] + quoted[True]["c"] >= 20:
         model.quoted = max(-3.0, min(3.0, math.log((quoted[True]["t"] + 1) / (toxic_hits + 2)) - math.log((quoted[True]["c"] + 1) / (clean_hits + 2))))
+    share = {q: ((quoted[q]["t"] + 1) / (toxic_hits + 2), (quoted[q]["c"] + 1) / (clean_hits + 2)) for q in quoted}
+    for k in {k for k, _ in own}:
+        t, c = (sum(own.get((k, q), none)[x] for q in (True, False)) for x in "tc")
+        if c >= 20:  # few mentions say little about how a term is mentioned
+            for q in (True, False):
+                n = own.get((k, q), none)
+                weight = math.log((n["t"] + 10 * share[q][0]) / (t + 10)) - math.log((n["c"] + 10 * share[q][1]) / (c + 10))
+                model.marks[k, q] = max(-3.0, min(3.0, weight))
     if clean_hits >= 20:
         for r in sums.where("kind = 'word' and t + c >= 20").orderBy(F.desc(F.col("t") + F.col("c")), "key").limit(CONTEXT_WORDS).collect():
             weight = math.log((r["t"] + 1) / (toxic_hits + 2)) - math.log((r["c"] + 1) / (clean_hits + 2))

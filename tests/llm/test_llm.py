@@ -98,6 +98,19 @@ def test_toxicity_scores(spark):
     assert scored[1] >= 0.7 > scored[2]
 
 
+def test_rare_and_ambiguous_terms_are_learned(spark):
+    """Sixty terms that mark a sixtieth of the toxic texts each, and one that clean texts quote as often."""
+    rng = random.Random(4)
+    names = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(60)]
+    rows = [(f"some {names[i % 60]} here number{i}", 1) for i in range(1_200)] + [(f"fine words here number{i}", 0) for i in range(5_000)]
+    rows += [(f"you zorgblat number{i}", 1) for i in range(300)] + [(f'he wrote "zorgblat" number{i}', 0) for i in range(300)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, y int"))
+    matcher = toxicity.Matcher(model.entries)
+    score = lambda text: toxicity.score(model, toxicity.hits(matcher, text))
+    assert all(score(f"such {n} again") >= 0.7 for n in names)
+    assert score("you zorgblat again") >= 0.7 > score('he wrote "zorgblat" again')
+
+
 def test_learned_stems_keep_misspellings(spark):
     """Two forms make a stem; edits inside its letters are found as before."""
     words = [(f"fine words here number{i % 7} and more", 0) for i in range(200)] + [(f"what grumblork{'s' * (i % 2)} thing number{i}", 1) for i in range(100)]
