@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 #: Nats that a change of language between words costs.
 SWITCH = 6.0
-#: Languages at most, those with most training texts first.
-LANGUAGES = 200
+#: Languages at most; more are an error, as every task counts a table of them all.
+LANGUAGES = 500
 #: Words in a padded block of the recursion, about.
 BLOCK = 200_000
 #: First code points of script ranges (fixed values of the Unicode blocks) and a number for each script.
@@ -65,7 +65,9 @@ class Model:
 
 def learn(train: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Model of the rows with a language and a text; every one is counted."""
-    langs = sorted(r["lang"] for r in train.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in train.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang")).distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     if not langs:
         return Model([], *[np.zeros((1, 0))] * 3)
     out = pa.schema([("kind", pa.int32()), ("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -96,7 +98,7 @@ def learn(train: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 def viterbi(emission: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best labels (texts, words) of padded emissions (words, texts, labels); words past a text's length score nothing."""
     steps, n, k = emission.shape
-    back = np.zeros((steps, n, k), dtype=np.uint8)
+    back = np.zeros((steps, n, k), dtype=np.uint8 if k <= 256 else np.uint16)
     value, own = emission[0].copy(), np.arange(k)
     for t in range(1, steps):
         top = value.argmax(axis=1)
@@ -104,7 +106,7 @@ def viterbi(emission: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -
         stay = value >= change[:, None]
         back[t] = np.where(stay, own, top[:, None])
         value = np.where(stay, value, change[:, None]) + emission[t]
-    labels = np.zeros((n, steps), dtype=np.uint8)
+    labels = np.zeros((n, steps), dtype=back.dtype)
     now = value.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         labels[:, t] = now

@@ -438,6 +438,21 @@ def test_language_predictions(spark):
     assert {r["lang_pred"] for r in langid.predict(mixed, none).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for k in range(270):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6)]
+        rows += [(k, " ".join(words), f"l{k:03d}")] * (1 if k >= 250 else 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    model = langid.learn(df)
+    assert len(model.langs) == 270
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03d}" for r in langid.predict(df, model).collect())
+    monkeypatch.setattr(langid, "LANGUAGES", 269)
+    with pytest.raises(ValueError):
+        langid.learn(df)
+
+
 # ---- queries and pipeline ---------------------------------------------------------------------------
 
 def plain_rows(df):
