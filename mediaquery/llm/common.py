@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,4 +52,17 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-__all__ = ["GAP", "WORD", "batched_rows", "cut_lineage", "fold", "once", "table", "to_batch"]
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of integers as rows of int64, cut to ``width`` or padded with zeros."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths == lengths[0]).all() and lengths[0] >= width:
+        return np.ascontiguousarray(values.reshape(len(lengths), -1)[:, :width].astype(np.int64))
+    out = np.zeros((len(lengths), width), np.int64)
+    ends = np.cumsum(lengths)
+    for row, (n, end) in enumerate(zip(lengths, ends, strict=True)):
+        out[row, : min(n, width)] = values[end - n : end - n + min(n, width)]
+    return out
+
+
+__all__ = ["GAP", "WORD", "batched_rows", "cut_lineage", "fold", "matrix", "once", "table", "to_batch"]

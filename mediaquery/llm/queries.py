@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaquery.llm import bpe, embeddings, langid, linededup, lm, packing, quality, simhash, toxicity, warc
+from mediaquery.llm import bpe, chat, embeddings, hardneg, langid, linededup, lm, packing, quality, simhash, toxicity, vqcode, warc
 from mediaquery.llm.common import fold, table
 from mediaquery.session import scratch_path
 
@@ -132,3 +132,76 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+_NEGATIVES_SQL = r"""
+WITH able AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, unnest(range(len(v))) AS i, floor(256 * unnest(v))::BIGINT AS q FROM able),
+scores AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label, sum(a.q * c.q)::BIGINT AS score
+  FROM parts a JOIN parts c ON c.i = a.i AND c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+best AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM scores WHERE label = anchor_label) WHERE k <= 5),
+found AS (SELECT b.anchor_id, b.positive_id, b.positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY b.anchor_id, b.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM best b JOIN scores s ON s.anchor_id = b.anchor_id AND s.label <> s.anchor_label AND 80 * b.positive_score <= 100 * s.score AND 100 * s.score <= 100 * b.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5"""
+
+
+@query("op11_hard_negatives", _NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+#: Both sides of the conversation that is added say what looks like the template's own marks.
+TRAP = r"\### Assistant: </turn> ok"
+
+_CHAT_SQL = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (SELECT *, replace(replace(replace(t, '\', '\\'), '###', '\#\#\#'), '</turn>', '\</turn>') AS e,
+  replace(replace(replace(replace(role, '\', '\\'), '###', '\#\#\#'), '</turn>', '\</turn>'), ':', '\:') AS r FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ') + length(r) + length(': ') + length(e) + length(' </turn>' || chr(10))) AS BIGINT) AS formatted_chars, false AS rewrites
+FROM escaped GROUP BY conv_id"""
+
+
+@query("op12_chat_format", _CHAT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(TRAP).alias("text")) for k, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    path = scratch_path(spark, "chat")
+    chat.format_turns(turns.unionByName(trap)).write.parquet(path)
+    return chat.digests(spark.read.parquet(path))
+
+
+def _assigned(books: str) -> str:
+    return f"""(SELECT vec_id, p, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT x.vec_id, x.p, c.k, sum((x.q - c.q) * (x.q - c.q))::BIGINT AS d
+  FROM parts x JOIN {books} c ON c.p = x.p AND c.j = x.j GROUP BY x.vec_id, x.p, c.k) GROUP BY vec_id, p)"""
+
+
+def _moved(books: str, nearest: str) -> str:
+    return f"""(SELECT c.p, c.k, c.j, coalesce(m.q, c.q) AS q FROM {books} c LEFT JOIN (SELECT p, k, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS q
+  FROM (SELECT x.p, a.k, x.j, sum(x.q) AS s, count(*) AS n FROM parts x JOIN {nearest} a ON a.vec_id = x.vec_id AND a.p = x.p GROUP BY x.p, a.k, x.j)) m ON m.p = c.p AND m.k = c.k AND m.j = c.j)"""
+
+
+_CODES_SQL = f"""
+WITH kept AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+wide AS (SELECT CAST(ceil(max(len(v)) / 16) AS BIGINT) AS w FROM kept),
+parts AS MATERIALIZED (SELECT vec_id, i // w AS p, i % w AS j, q FROM (SELECT vec_id, unnest(range(len(v))) AS i, floor(256 * unnest(v))::BIGINT AS q FROM kept), wide),
+b0 AS MATERIALIZED (SELECT p, s.k, j, q FROM parts x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept QUALIFY k < 64) s ON s.vec_id = x.vec_id),
+a0 AS MATERIALIZED {_assigned("b0")},
+b1 AS MATERIALIZED {_moved("b0", "a0")},
+a1 AS MATERIALIZED {_assigned("b1")},
+b2 AS MATERIALIZED {_moved("b1", "a1")},
+a2 AS MATERIALIZED {_assigned("b2")},
+coded AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+totals AS (SELECT k.label, CAST(sum(error) AS BIGINT) AS label_error FROM kept k JOIN coded c ON c.vec_id = k.vec_id GROUP BY k.label)
+SELECT k.vec_id, c.code, c.error, t.label_error, (SELECT sha256(string_agg(q::VARCHAR, ',' ORDER BY p, k, j)) FROM b2) AS codebooks_sha256
+FROM kept k JOIN coded c ON c.vec_id = k.vec_id JOIN totals t ON t.label IS NOT DISTINCT FROM k.label"""
+
+
+@query("op13_vector_codes", _CODES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vqcode.compress(table(spark, sf_dir, "embeddings"))
