@@ -22,7 +22,7 @@ def vectors(n=230, seed=3):
     """Ties, repeated rows and ids, unequal lengths, and every kind of null."""
     rng = random.Random(seed)
     rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), [rng.randrange(-3, 4) / 4 for _ in range(rng.choice([20, 20, 20, 7, 0]))], 1, "x", 2) for i in range(n)]
-    rows += [rows[0], rows[100], (100, 2, [0.5] * 20, 1, "x", 2), (None, 1, [1.0] * 20, 1, "x", 2), (n, 1, None, 1, "x", 2), (n + 1, 2, [NAN] + [1.0] * 19, 1, "x", 2)]
+    rows += [rows[0], rows[n // 2], (100, 2, [0.5] * 20, 1, "x", 2), (None, 1, [1.0] * 20, 1, "x", 2), (n, 1, None, 1, "x", 2), (n + 1, 2, [NAN] + [1.0] * 19, 1, "x", 2)]
     return rows + [(n + 2, 2, [INF], 1, "x", 2), (n + 3, 1, [None, 1.0], 1, "x", 2), (-100, 1, [0.25] * 33, 1, "x", 2)]
 
 
