@@ -76,6 +76,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut_lineage`` returned, once nothing reads it any more.
+
+    Without this, a loop's old tables stay until the driver's garbage collection meets them, or for good.
+    """
+    plan = df._jdf.queryExecution().logical()
+    name = plan.rdd().getCheckpointFile()
+    if name.isDefined():
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(name.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def forget_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder below ``scratch_path``, once nothing reads it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a scan with fewer splits than cores before CPU-heavy row work.
 
