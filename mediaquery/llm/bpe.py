@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut where no match of the split pattern can cross: between a letter or digit and a space. Each
-part is encoded alone, so the encoder never holds a whole long text's matches. Decoding joins raw token bytes;
+Long texts are pre-split by the split pattern itself: a part ends where a match does, so no match crosses, and is
+encoded alone, so the encoder never holds a whole long text's matches. Decoding joins raw token bytes;
 text is only made from them by the caller, so ids that end inside a character are safe.
 
 Null and empty texts give no ids. Repeated rows and ties need no rule: rows are independent. Extra columns are
@@ -37,18 +37,26 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def safe_parts(text: str, size: int = PART) -> Iterator[str]:
-    """Consecutive parts of a text, each at least ``size`` long but the last; encoding them one by one is exact."""
+@lru_cache(maxsize=4)
+def _splitter(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def safe_parts(text: str, size: int, pattern: str) -> Iterator[str]:
+    """Consecutive parts of a text, each at least ``size`` long but the last; encoding them one by one is exact.
+
+    A part ends with a match of the split pattern that doesn't end in white space: only runs of white space look at
+    what follows them. A single match longer than ``size`` stays whole, as its merges may reach from end to end.
+    """
     start, n = 0, len(text)
     while n - start > size:
-        at = text.find(" ", start + size)
-        while at > 0 and not text[at - 1].isalnum():
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        yield text[start:at]
-        start = at
-    yield text[start:]
+        end = next((m.end() for m in _splitter(pattern).finditer(text, start) if m.end() - start >= size and not text[m.end() - 1].isspace()), n)
+        yield text[start:end]
+        start = end
+    if start < n:
+        yield text[start:]
 
 
 def encode(enc, text: str | None) -> list[int]:
@@ -56,7 +64,7 @@ def encode(enc, text: str | None) -> list[int]:
         return []
     if len(text) <= PART:
         return enc.encode_ordinary(text)
-    return [i for part in safe_parts(text) for i in enc.encode_ordinary(part)]
+    return [i for part in safe_parts(text, PART, enc._pat_str) for i in enc.encode_ordinary(part)]
 
 
 def encode_table(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,22 +36,40 @@ PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
-    """The vocabulary of a byte-level tokenizer file as ranks: its merges are in id order, so ids come out the same."""
+    """The vocabulary of a byte-level tokenizer file as ranks, and its added tokens.
+
+    The file's merges are in id order, so ranks give the same ids. Added tokens are found in a text before anything
+    else, as the tokenizers library does; what stands between them is encoded piece by piece.
+    """
     import json
 
     import tiktoken
 
+    added: dict[str, int] = {}
     if path.endswith(".tiktoken"):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     else:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec["added_tokens"]}
+        if spec["normalizer"] or any(x[flag] for x in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path} changes texts before it splits them")
+        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    marks = re.compile("(" + "|".join(sorted(map(re.escape, added), key=len, reverse=True)) + ")") if added else None
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), added, marks
+
+
+def token_ids(encoder, text: str | None) -> list[int]:
+    """The ids that the tokenizers library gives with add_special_tokens=False."""
+    from mediaquery.llm.bpe import encode
+
+    enc, added, marks = encoder
+    if marks is None or not text or not marks.search(text):
+        return encode(enc, text)
+    return [i for part in marks.split(text) if part for i in ([added[part]] if part in added else encode(enc, part))]
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
@@ -62,14 +81,13 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the end id."""
-    from mediaquery.llm.bpe import encode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, pattern)
+        encoder = _encoder(path, pattern)
         for batch in batches:
             rows: list[tuple] = []
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.asarray([*encode(enc, value.as_py()), end], dtype="<u4")
+                ids = np.asarray([*token_ids(encoder, value.as_py()), end], dtype="<u4")
                 raw = memoryview(ids.tobytes())
                 key = key.as_py()
                 rows += [(key, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids), limit))]
@@ -101,11 +119,7 @@ def patterns(cells: int, parts: int) -> np.ndarray:
 
 
 def fit(matrix: np.ndarray, target: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """Repeat counts x >= 0 that bring x @ matrix close to target: accelerated projected gradient on least squares.
-
-    Rows of the residual that are short weigh less than rows that are over, so counts seldom ask for lengths that
-    are not there.
-    """
+    """Repeat counts x >= 0 that bring x @ matrix close to target: accelerated projected gradient on least squares."""
     if not target.any():
         return np.zeros(len(matrix))
     scale = float(target.sum())

@@ -44,14 +44,21 @@ def test_bpe_parts_and_round_trip(spark):
     rng = random.Random(1)
     for _ in range(40):
         text = "".join(rng.choice("ab1é漢 \n\t'.!s") for _ in range(400))
-        parts = list(bpe.safe_parts(text, 20))
+        parts = list(bpe.safe_parts(text, 20, pattern))
         assert "".join(parts) == text
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
-    got = {r["doc_id"]: r for r in bpe.digest_table(odd(spark).where("doc_id is not null"), path, pattern).collect()}
-    for key, text in ODD:
+    for text in ("ab\n" * 100_000, "漢字、" * 40_000, "a" * 70_000 + " \n \n b" * 9_000):
+        parts = list(bpe.safe_parts(text, 5_000, pattern))
+        assert len(parts) > 2 and [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    long = [(70, "word, and\n\n more's 12 漢字。" * 45_000), (71, "\n" * 70_000 + "x"), (72, "ab\n" * 40_000)]
+    rows = odd(spark).where("doc_id is not null").select("doc_id", "text").unionByName(spark.createDataFrame(long, ODD_DDL))
+    got = {r["doc_id"]: r for r in bpe.digest_table(rows, path, pattern).collect()}
+    for key, text in ODD + long:
         if key is not None:
+            ids = enc.encode_ordinary(text or "")
             assert got[key]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
-            assert got[key]["n_tokens"] == len(enc.encode_ordinary(text or ""))
+            assert got[key]["n_tokens"] == len(ids)
+            assert got[key]["ids_sha256"] == hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
     tokens = bpe.encode_table(odd(spark), path, pattern, keep=("doc_id", "a"))
     raw = bpe.decode_table(tokens, path, pattern)
     assert sorted(r["raw"].decode() for r in raw.collect()) == sorted(t or "" for _, t in ODD)
@@ -183,8 +190,8 @@ def test_packing_is_whole_and_tight(spark, docs):
 
     path = queries.rank_file("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    all_docs = docs + [(10_000 + i, t) for i, (_, t) in enumerate(ODD)] + [(20_000, "<|endoftext|> it's  x")]
+    marked = ["<|endoftext|> it's  x", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|endoftext| y", "  <|endoftext|>  \n<|endoftext|>"]
+    all_docs = docs + [(10_000 + i, t) for i, (_, t) in enumerate(ODD)] + [(20_000 + i, t) for i, t in enumerate(marked)]
     df = spark.createDataFrame(all_docs, ODD_DDL).repartition(5)
     rows = packing.pack(df, path, queries.split_pattern()).collect()
     import zlib
@@ -280,6 +287,9 @@ def test_components(spark):
     want = roots(500, links)
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: want[x] for a, b in links if a != b for x in (a, b)}
+    for local in (0, 3):  # star steps, to the end or until few edges are left
+        stepped = connected_components(spark.createDataFrame(links, "a long, b long").repartition(4), local=local)
+        assert {r["node"]: r["component"] for r in stepped.collect()} == got and stepped.count() == len(got)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
