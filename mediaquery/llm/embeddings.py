@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquery.llm.common import cut_lineage
-from mediaquery.llm.components import connected_components
+from mediaquery.llm.components import connected_components, stars
 
 #: Length of a neighbour list while the descent runs.
 NEIGHBOURS = 8
@@ -210,24 +210,6 @@ def _edges(lists: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect what the given pairs connect, one for each node but the smallest of its group."""
-    ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
-    p, q = places[: len(a)], places[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[p], label[q])
-        new = label.copy()
-        for side in (p, q):
-            np.minimum.at(new, side, low)
-            np.minimum.at(new, label[side], low)
-        new = new[new]
-        if (new == label).all():
-            moved = label != np.arange(len(ids))
-            return ids[moved], ids[label[moved]]
-        label = new
-
-
 def join_components(reps: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """``groups`` with components joined where two of ``reps`` link, all compared in exact blocks."""
     home = groups.select(F.col("node").alias("rep"), "component")
@@ -246,7 +228,7 @@ def join_components(reps: DataFrame, groups: DataFrame, threshold: float) -> Dat
                 x, y = (_unit(v.values.to_numpy().reshape(len(c), -1)) for c, v in ((a, va), (b, vb)))
                 i, j = np.nonzero((x @ y.T >= threshold) & (a[:, None] != b[None, :]))
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in _stars(a[i], b[j])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in stars(a[i], b[j])], names=["a", "b"])
 
     found = cut_lineage(left.join(right, ["key", "other"]).select("c", "v", "c2", "v2").mapInArrow(run, "a long, b long"))
     if found.isEmpty():

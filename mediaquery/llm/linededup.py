@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquery.llm.common import WORD, cut_lineage, once
+from mediaquery.session import forget
 
 _NONE = -(1 << 63)
 _DOC = ("d", "t")
@@ -111,6 +112,7 @@ def _names(runs: DataFrame, longest: int) -> DataFrame:
         pairs = cut_lineage(level.join(level.select(*at, (F.col("i") - size).alias("i"), F.col("r").alias("s")), [*at, "i"]))
         ranks = _ranked(_repeated(pairs, ["r", "s"]), ["r", "s"], "q")
         level = cut_lineage(pairs.join(ranks, ["r", "s"]).select(*at, "i", F.col("q").alias("r")))
+        forget(pairs)
         k += 1
     # a place inside the document: its stretch and index; later stretches lie further on
     return done.withColumn("i", F.struct("g", "i")).drop("g")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from mediaquery.llm.common import cut_lineage
 from mediaquery.llm.components import connected_components
+from mediaquery.session import forget
 
 SEED = 42
 #: Fingerprints in a tile, about.
@@ -334,8 +335,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) * reach / float(-np.log(similarity)) + 1e-9).cast("int")
     sized = marks.withColumn("size", size)
     parts = sized.groupBy("size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (2 * TILE), F.sum("n") / TILE_SHINGLES, F.lit(1))).cast("int").alias("parts"))
-    tiles = cut_lineage(sized.join(parts, "size").groupBy("size", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("key", "marks")).alias("rows")))
-    tiles = tiles.select("size", "part", F.struct(F.col("rows.key").alias("keys"), F.flatten("rows.marks").alias("marks")).alias("tile"))
+    tile_table = cut_lineage(sized.join(parts, "size").groupBy("size", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("key", "marks")).alias("rows")))
+    tiles = tile_table.select("size", "part", F.struct(F.col("rows.key").alias("keys"), F.flatten("rows.marks").alias("marks")).alias("tile"))
     visits = tiles.select("tile", "part", "size", F.explode(F.sequence("size", F.col("size") + reach)).alias("at"))
     home = tiles.select(F.col("size").alias("at"), F.col("part").alias("home_part"), F.col("tile").alias("home"))
     met = visits.join(home, "at").where((F.col("size") != F.col("at")) | (F.col("part") <= F.col("home_part")))
@@ -356,6 +357,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     pair_schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), met.schema["at"], T.StructField("far", T.IntegerType())])
     pairs = cut_lineage(met.mapInArrow(compare, pair_schema))
+    forget(tile_table)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = keyed.select("key", "raw").join(needed, "key", "left_semi").groupBy("key").agg(F.first("raw").alias("raw"))
     texts = cut_lineage(texts)
@@ -368,6 +370,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     failed = checked.where(~F.col("good")).select("at").distinct()
     known = cut_lineage(connected_components(good))
     more = cut_lineage(_links_behind_failures(failed, pairs, marks, texts, known, radius, words, shingle, similarity))
+    for table in (pairs, texts, inner):
+        forget(table)
     # the late links join components as nodes of a smaller graph
     joins = _labelled(_labelled(more, "a", known, "la"), "b", known, "lb").select("la", "lb")
     late = connected_components(joins, "la", "lb").withColumnsRenamed({"node": "label", "component": "joined"})
