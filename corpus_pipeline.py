@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mediaquery.llm import linededup, packing, quality, queries, simhash, toxicity
-from mediaquery.session import scratch_path
+from mediaquery.session import forget_path, scratch_path
 
 #: Toxic words come with scores that SQL cannot express; a brute-force version in the tests covers the pipeline.
 ORACLE_SQL = None
@@ -46,8 +46,12 @@ STAGES = [("quality_rules", quality_rules), ("toxicity", without_toxic), ("line_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the stage that read it is written
+            forget_path(spark, before)
+        before = path
     return docs
