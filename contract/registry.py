@@ -118,7 +118,7 @@ def _(s, sf):
 
 # ---- rankings ---------------------------------------------------------------------------------------
 
-BGM_KEY = "round(music_score - exported_count * 0.15::DOUBLE - least(0.3::DOUBLE, least(abs(bpm - 122), abs(bpm * 2 - 122), abs(bpm / 2 - 122)) / 100), 9) DESC, music_score DESC, round(music_score - exported_count * 0.15::DOUBLE, 9) DESC, updated_at DESC"
+BGM_KEY = "round(music_score - exported_count * 0.15::DOUBLE - least(0.3::DOUBLE, least(abs(bpm - 122), abs(bpm * 2 - 122), abs(bpm / 2 - 122)) / 100), 9) DESC, music_score DESC, round(music_score - exported_count * 0.15::DOUBLE, 9) DESC, updated_at DESC, bgm_id DESC"
 FIT = "bgm_id % 7 <> 0 AND music_score >= 0.3 AND speech_risk <= 0.3 AND duration_ms >= 5000"
 
 
@@ -235,14 +235,15 @@ def _(s, sf):
 FAIL = "SELECT video_id, path, CASE WHEN video_id % 4 = 0 THEN NULL ELSE 'boom ' || video_id END AS error FROM material WHERE dur_ms < 60000"
 
 
-@query("source_summary", "C13", with_views("cand", "material", more={"good": "SELECT * FROM cand WHERE event <> 'error'",
-    "e": "SELECT video_id, event, count(*) AS n FROM good GROUP BY 1, 2",
-    "roll": "SELECT video_id, sum(n)::BIGINT AS candidate_count, round(sum(n) / (SELECT count(*) FROM good), 4) AS candidate_ratio FROM e GROUP BY 1", "f": FAIL}, body="""
+@query("source_summary", "C13", with_views("cand", "material", more={"e": "SELECT video_id, event, count(*) AS n FROM cand GROUP BY 1, 2",
+    "roll": "SELECT video_id, sum(n)::BIGINT AS candidate_count, round(sum(n) / (SELECT count(*) FROM cand), 4) AS candidate_ratio FROM e GROUP BY 1", "f0": FAIL,
+    "f": "SELECT CASE WHEN video_id % 3 = 0 THEN video_id ELSE video_id + 1000000 END AS video_id, path, error FROM f0"}, body="""
 SELECT video_id, candidate_count, candidate_ratio, NULL::VARCHAR AS error, NULL::VARCHAR AS filename FROM roll UNION ALL
 SELECT video_id, 0, 0, coalesce(error, 'analysis failed'), regexp_extract(path, '[^/]*$') FROM f WHERE video_id NOT IN (SELECT video_id FROM roll)"""))
 def _(s, sf):
-    good = views.cand(s, sf).where("event <> 'error'").withColumn("position", C("candidate_id"))
-    lost = views.material(s, sf).where("dur_ms < 60000").selectExpr("video_id", "path", "if(video_id % 4 = 0, null, concat('boom ', video_id)) error")
+    # failed videos with candidates (from an earlier run) and without any
+    good = views.cand(s, sf).withColumn("position", C("candidate_id"))
+    lost = views.material(s, sf).where("dur_ms < 60000").selectExpr("if(video_id % 3 = 0, video_id, video_id + 1000000) video_id", "path", "if(video_id % 4 = 0, null, concat('boom ', video_id)) error")
     return reports.source_summary(reports.source_rollup(good), lost).select("video_id", "candidate_count", "candidate_ratio", "error", "filename")
 
 
@@ -287,6 +288,17 @@ def _(s, sf):
     return reports.pairwise_overlap(views.staged(views.usage(s, sf)))
 
 
+@query("pairs_over_threshold", "D05 D06", with_views("usage", more=PAIRS, body="""SELECT a.run_id, a.creative_id AS a, b.creative_id AS b, round(len(list_intersect(a.c, b.c)) / least(len(a.c), len(b.c)), 4) AS overlap FROM cs a JOIN cs b ON b.run_id = a.run_id AND a.creative_id < b.creative_id
+ WHERE len(list_intersect(a.c, b.c)) / least(len(a.c), len(b.c)) > 0.2"""))
+def _(s, sf):
+    return reports.pairs_over(views.staged(views.usage(s, sf)))
+
+
+@query("maximum_overlap", "D06", with_views("usage", more=PAIRS, body="SELECT run_id, max(candidate_overlap_ratio) AS overlap FROM pairs WHERE candidate_overlap_ratio > 0.2 GROUP BY 1"))
+def _(s, sf):
+    return reports.maximum_overlap(views.staged(views.usage(s, sf)))
+
+
 ERRS = "CASE WHEN creative_id % 9 = 0 THEN ['gap: a/b 1.000-2.000', 'voiceover must contain at least two sentences'] ELSE [] END"
 
 
@@ -309,7 +321,7 @@ def _(s, sf):
         "run_id", F.concat(F.lit("s"), C("video_id").cast("string")).alias("author"), F.round(C("n") / C("c"), 4).alias("candidate_ratio"))
     creatives = results(s, sf).select("run_id", "creative_id", F.expr(
         "if(creative_id % 9 = 0, array('gap: a/b 1.000-2.000', 'voiceover must contain at least two sentences'), array())").cast("array<string>").alias("errors"), F.expr("creative_id % 11 <> 0").alias("cover_ok"))
-    return reports.run_alerts(summary, sources, views.staged(reports.pairwise_overlap(u)), reports.diversity_summary(u, views.registry(s, sf)), creatives)
+    return reports.run_alerts(summary, sources, reports.maximum_overlap(u), reports.diversity_summary(u, views.registry(s, sf)), creatives)
 
 
 ROUTE = "CASE event_type WHEN 'view' THEN 'gemma_only' WHEN 'click' THEN 'marlin_then_gemma_candidate_windows' WHEN 'purchase' THEN 'cache_hit:gemma_only' WHEN 'signup' THEN 'marlin_failed_gemma_fallback' ELSE 'marlin_segmented_then_gemma_candidate_windows' END"

@@ -58,7 +58,7 @@ def clip(spark, sf):
     )
     order = [F.col("l_linenumber"), F.col("candidate_id"), F.col("video_id")]
     return ordered_scan(
-        lines, ["creative_id"], order, F.floor(F.col("l_linenumber") / 8), rank="pos", running_sum={"until_ms": F.col("dur_ms")}
+        lines, ["creative_id"], order, rank="pos", running_sum={"until_ms": F.col("dur_ms")}
     )
 
 

@@ -1,8 +1,10 @@
 """Ordered windows that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here every key is cut into bins
-along its order; ranks, running sums and neighbours are computed inside (key, bin) and corrected by
-one small row per bin. ``bin_by`` must not decrease along ``order``.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. That is the best plan while no key has more rows
+than a task should sort, which a count per key tells; keys above are scanned in ranges: their rows are dealt along the
+order into partitions whose bounds Spark samples from the data, ranks, running sums and neighbours are computed
+inside (key, partition) and corrected by one small row per key and partition. A caller that knows a good cut of its
+order may name it as ``bin_by``, which must not decrease along ``order``; all keys are then cut by it.
 """
 
 from __future__ import annotations
@@ -13,15 +15,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mediaquery.session import cut_lineage
+
 BIN = "__bin"
+#: Rows of a key that one task may sort.
+HEAVY = 1 << 18
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more than ``HEAVY`` rows, at most one in HEAVY rows; None if there are none."""
+    found = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HEAVY).select(*keys))
+    return None if found.isEmpty() else found
 
 
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    bin_by: Column,
+    bin_by: Column | None = None,
     *,
+    heavy: DataFrame | None | str = "find",
     rank: str | None = None,
     size: str | None = None,
     running_sum: Mapping[str, Column] | None = None,
@@ -29,10 +42,20 @@ def ordered_scan(
     lead: Mapping[str, Column] | None = None,
     lag: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add rank / group size / inclusive running sums / max of earlier rows / next and previous values."""
+    """Add rank / group size / inclusive running sums / max of earlier rows / next and previous values.
+
+    ``heavy`` names the keys that are split (see ``heavy_keys``), found by a count if not given.
+    """
     running_sum, prior_max = dict(running_sum or {}), dict(prior_max or {})
     lead, lag = dict(lead or {}), dict(lag or {})
-    columns = df.columns
+    added = {"rank": rank, "size": size, "running_sum": running_sum, "prior_max": prior_max, "lead": lead, "lag": lag}
+    if bin_by is None:
+        heavy = heavy_keys(df, keys) if isinstance(heavy, str) else heavy
+        if heavy is None:
+            return _whole_keys(df, keys, order, **added)
+        light = _whole_keys(df.join(heavy, list(keys), "left_anti"), keys, order, **added)
+        return light.unionByName(ordered_scan(_ranged(df.join(heavy, list(keys), "left_semi"), keys, order), keys, order, F.col(BIN), **added))
+    columns = [c for c in df.columns if c != BIN]
     binned = df.withColumn(BIN, bin_by)
     inside = W.partitionBy(*keys, BIN).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -87,6 +110,26 @@ def ordered_scan(
     return joined.select(*out)
 
 
+def _whole_keys(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, rank, size, running_sum, prior_max, lead, lag) -> DataFrame:
+    """The same columns by plain windows: one shuffle, a key in one task."""
+    own = W.partitionBy(*keys).orderBy(*order)
+    upto, before = own.rowsBetween(W.unboundedPreceding, W.currentRow), own.rowsBetween(W.unboundedPreceding, -1)
+    out = [F.row_number().over(own).cast("long").alias(rank)] if rank else []
+    out += [F.count(F.lit(1)).over(W.partitionBy(*keys)).alias(size)] if size else []
+    out += [F.sum(c).over(upto).alias(n) for n, c in running_sum.items()]
+    out += [F.max(c).over(before).alias(n) for n, c in prior_max.items()]
+    out += [F.lead(c).over(own).alias(n) for n, c in lead.items()]
+    out += [F.lag(c).over(own).alias(n) for n, c in lag.items()]
+    return df.select("*", *out)
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows with the partition of a range shuffle along (keys, order), written so that a rerun can't deal them anew."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    return cut_lineage(dealt.withColumn(BIN, F.spark_partition_id()))
+
+
 def with_halo(df: DataFrame, idx: str, chunk: int, before: int = 0, after: int = 0) -> DataFrame:
     """Copy each row into its chunk of ``idx`` and into the neighbours whose window reaches it.
 

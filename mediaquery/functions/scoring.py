@@ -21,13 +21,16 @@ SCORE_WEIGHTS = {
     "context_independence": 0.05,
 }
 SUBTITLE_RISK_MARKERS = ("chinese subtitle", "chinese caption", "中文字幕", "简体字幕", "繁体字幕")
-TEMPO_BANDS = (
-    ("slow_lifestyle_emotion", 0.55),
-    ("general_seed", 0.82),
-    ("fast_mix_ads", 1.0),
-    ("impact_sport_transition", 0.72),
-    ("out_of_range", 0.35),
-)
+SLOW_BPM, SEED_BPM, FAST_BPM, FASTEST_BPM, IMPACT_BPM = 60, 90, 120, 150, 180
+SLOW_TEMPO, SEED_TEMPO, FAST_TEMPO = ("slow_lifestyle_emotion", 0.55), ("general_seed", 0.82), ("fast_mix_ads", 1.0)
+IMPACT_TEMPO, OTHER_TEMPO, NO_TEMPO = ("impact_sport_transition", 0.72), ("out_of_range", 0.35), ("unknown", 0.0)
+HIGH_LEVEL, MEDIUM_LEVEL = 0.72, 0.38
+FAST_CUT_QUALITY, SEED_CUT_QUALITY, PEAK_CUT_ENERGY = 0.7, 0.55, 0.72
+FAST_CUT_BEATS, SEED_CUT_BEATS, SOFT_CUT_BEATS = 1, 2, 4
+LONG_AUDIO_S, LONG_AUDIO_RISK, SPEECH_BPM, SPEECH_BPM_RISK = 60, 0.25, 90, 0.25
+STRONG_ONSETS, STRONG_ONSETS_RISK, VOICE_ENERGY, VOICE_ENERGY_RISK = 0.85, 0.20, (0.35, 0.82), 0.15
+STEADY_MUSIC, UNSTEADY_RISK, VOICEOVER_RISK = 0.9, 0.15, 0.7
+LYRIC_RISK, SPOKEN_RISK, SPOKEN_SIGNALS, SAMPLE_CHARS = 0.35, 0.55, 2, 120
 ALLOWED_AUDIO_TYPES = ("instrumental", "song_with_lyrics", "rap_song", "music_with_spoken_overlay")
 STRONG_VOICE_SIGNALS = ("slow_speech_like_bpm", "strong_speech_like_onsets", "less_music_like_stability")
 FEATURE_WEIGHTS = {"beat_quality": 0.4, "energy": 0.25, "stability": 0.2, "bpm_fit": 0.15}
@@ -98,32 +101,39 @@ def gain_to_volume(gain_db: Column) -> Column:
     return F.pow(F.lit(10.0), gain_db / 20.0)
 
 
-def tempo_band(bpm: Column) -> Column:
-    index = (
-        F.when((bpm >= 60) & (bpm < 90), 0).when((bpm >= 90) & (bpm < 120), 1).when((bpm >= 120) & (bpm <= 150), 2)
-        .when((bpm > 150) & (bpm <= 180), 3).otherwise(4)
+def tempo(bpm: Column) -> Column:
+    """Band and fit of a tempo."""
+    pair = lambda x: F.struct(F.lit(x[0]).alias("band"), F.lit(x[1]).alias("fit"))
+    return (
+        F.when(bpm <= 0, pair(NO_TEMPO))
+        .when((bpm >= SLOW_BPM) & (bpm < SEED_BPM), pair(SLOW_TEMPO))
+        .when((bpm >= SEED_BPM) & (bpm < FAST_BPM), pair(SEED_TEMPO))
+        .when((bpm >= FAST_BPM) & (bpm <= FASTEST_BPM), pair(FAST_TEMPO))
+        .when((bpm > FASTEST_BPM) & (bpm <= IMPACT_BPM), pair(IMPACT_TEMPO))
+        .otherwise(pair(OTHER_TEMPO))
     )
-    names = F.array(*[F.lit(n) for n, _ in TEMPO_BANDS])
-    return F.when(bpm <= 0, "unknown").otherwise(F.get(names, index))
+
+
+def tempo_band(bpm: Column) -> Column:
+    return tempo(bpm)["band"]
 
 
 def tempo_fit(bpm: Column) -> Column:
-    fits = literal_map(dict(TEMPO_BANDS))
-    return F.coalesce(fits[tempo_band(bpm)], F.lit(0.0))
+    return tempo(bpm)["fit"]
 
 
 def level(score: Column) -> Column:
-    return F.when(score >= 0.72, "high").when(score >= 0.38, "medium").otherwise("low")
+    return F.when(score >= HIGH_LEVEL, "high").when(score >= MEDIUM_LEVEL, "medium").otherwise("low")
 
 
 def cut_strategy(bpm: Column, beat_quality: Column, energy: Column) -> Column:
-    fast = (beat_quality >= 0.7) & bpm.between(120, 150)
-    seed = (beat_quality >= 0.55) & (bpm >= 90) & (bpm < 120)
-    peak = energy >= 0.72
+    fast = (beat_quality >= FAST_CUT_QUALITY) & bpm.between(FAST_BPM, FASTEST_BPM)
+    seed = (beat_quality >= SEED_CUT_QUALITY) & (bpm >= SEED_BPM) & (bpm < FAST_BPM)
+    peak = energy >= PEAK_CUT_ENERGY
     return F.struct(
         F.when(fast | seed, "beat_driven").when(peak, "energy_peak").otherwise("soft_bgm").alias("mode"),
-        F.when(fast, 1).when(seed, 2).when(peak, F.lit(None).cast("int")).otherwise(4).alias("cut_every_beats"),
-        F.when(fast, "fast_mix_ads").when(seed, "general_seed").otherwise(tempo_band(bpm)).alias("clip_type"),
+        F.when(fast, FAST_CUT_BEATS).when(seed, SEED_CUT_BEATS).when(peak, F.lit(None).cast("int")).otherwise(SOFT_CUT_BEATS).alias("cut_every_beats"),
+        F.when(fast, FAST_TEMPO[0]).when(seed, SEED_TEMPO[0]).otherwise(tempo_band(bpm)).alias("clip_type"),
     )
 
 
@@ -133,16 +143,16 @@ def octave_bpm_distance(bpm: Column, target: float) -> Column:
 
 def voiceover_risk(duration: Column, bpm: Column, energy: Column, beat_quality: Column, stability: Column) -> Column:
     rules = [
-        (duration >= 60, 0.25, "long_audio"),
-        ((bpm != 0) & (bpm < 90), 0.25, "slow_speech_like_bpm"),
-        (beat_quality >= 0.85, 0.20, "strong_speech_like_onsets"),
-        (energy.between(0.35, 0.82), 0.15, "voice_level_energy"),
-        ((duration >= 60) & (stability < 0.9), 0.15, "less_music_like_stability"),
+        (duration >= LONG_AUDIO_S, LONG_AUDIO_RISK, "long_audio"),
+        ((bpm != 0) & (bpm < SPEECH_BPM), SPEECH_BPM_RISK, "slow_speech_like_bpm"),
+        (beat_quality >= STRONG_ONSETS, STRONG_ONSETS_RISK, "strong_speech_like_onsets"),
+        (energy.between(*VOICE_ENERGY), VOICE_ENERGY_RISK, "voice_level_energy"),
+        ((duration >= LONG_AUDIO_S) & (stability < STEADY_MUSIC), UNSTEADY_RISK, "less_music_like_stability"),
     ]
     total = reduce(lambda a, b: a + b, [F.when(test, points).otherwise(0.0) for test, points, _ in rules])
     risk = F.round(F.least(F.lit(1.0), total), 4)
     reasons = F.array_compact(F.array(*[F.when(test, reason) for test, _, reason in rules]))
-    return F.struct(risk.alias("risk_score"), (risk >= 0.7).alias("detected"), reasons.alias("reasons"))
+    return F.struct(risk.alias("risk_score"), (risk >= VOICEOVER_RISK).alias("detected"), reasons.alias("reasons"))
 
 
 def final_audio_score(raw: Column, long_enough: Column, voice_detected: Column) -> Column:
@@ -157,12 +167,12 @@ def asr_voice_decision(
     reasons = F.array_sort(F.array_distinct(F.transform(local_reasons, F.lower)))
     slow = F.array_contains(reasons, "slow_speech_like_bpm")
     strong = F.size(F.array_intersect(reasons, F.array(*[F.lit(s) for s in STRONG_VOICE_SIGNALS])))
-    lyric = vocal & (local_risk <= 0.35) & ~slow
-    detected = vocal & ~lyric & ((local_risk >= 0.55) | (strong >= 2) | slow)
+    lyric = vocal & (local_risk <= LYRIC_RISK) & ~slow
+    detected = vocal & ~lyric & ((local_risk >= SPOKEN_RISK) | (strong >= SPOKEN_SIGNALS) | slow)
     return F.struct(
         detected.alias("detected"), vocal.alias("vocal_text_detected"),
         F.when(detected, "voiceover").when(lyric, "lyrics_or_vocal_bgm").otherwise("no_voiceover").alias("classification"),
-        length.alias("text_length"), F.substring(text, 1, 120).alias("sample_text"), reasons.alias("reasons"),
+        length.alias("text_length"), F.substring(text, 1, SAMPLE_CHARS).alias("sample_text"), reasons.alias("reasons"),
     )
 
 

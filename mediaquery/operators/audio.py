@@ -20,7 +20,8 @@ from mediaquery.functions.ordered import BIN, exact_percentiles, ordered_scan, w
 from mediaquery.session import cut_lineage
 
 CHUNK = 65_536
-# Needles (substring match) behind each tag group.
+# Bounds of the audio types, and needles (substring match) behind each tag group.
+FAINT_MUSIC, CLEAR_MUSIC, SPEECH_ALONE, SPEECH_OVER_MUSIC, RAPPED, SUNG, DENSE_TEXT, LYRIC_DISCOUNT = 0.12, 0.20, 0.25, 0.30, 0.15, 0.15, 0.8, 0.8
 TAG_GROUPS = {
     "music": ("music", "musical instrument"),
     "singing": ("singing", "choir", "vocal music"),
@@ -342,11 +343,11 @@ def classify_audio(groups: DataFrame, texts: DataFrame, key: str = "clip_id") ->
     music, rap, speech, density = F.col("music"), F.col("rap"), F.col("speech"), F.col("density")
     sung = F.greatest("singing", "rap")
     kind = (
-        F.when((music < 0.12) & (speech >= 0.25), "speech_only").when(rap >= 0.15, "rap_song").when(sung >= 0.15, "song_with_lyrics")
-        .when((music >= 0.20) & (speech >= 0.30) & (density >= 0.8), "music_with_spoken_overlay")
-        .when((music >= 0.20) & (speech < 0.30), "instrumental").when(music < 0.12, "ambient_only").otherwise("uncertain")
+        F.when((music < FAINT_MUSIC) & (speech >= SPEECH_ALONE), "speech_only").when(rap >= RAPPED, "rap_song").when(sung >= SUNG, "song_with_lyrics")
+        .when((music >= CLEAR_MUSIC) & (speech >= SPEECH_OVER_MUSIC) & (density >= DENSE_TEXT), "music_with_spoken_overlay")
+        .when((music >= CLEAR_MUSIC) & (speech < SPEECH_OVER_MUSIC), "instrumental").when(music < FAINT_MUSIC, "ambient_only").otherwise("uncertain")
     )
-    risk = F.when(F.col("audio_type").isin("song_with_lyrics", "rap_song"), F.greatest(F.lit(0.0), speech - sung * 0.8)).otherwise(speech)
+    risk = F.when(F.col("audio_type").isin("song_with_lyrics", "rap_song"), F.greatest(F.lit(0.0), speech - sung * LYRIC_DISCOUNT)).otherwise(speech)
     return joined.withColumn("audio_type", kind).select(
         key, "audio_type", F.round(music, 4).alias("music_probability"), F.round(speech, 4).alias("speech_probability"),
         F.round(sung, 4).alias("singing_probability"), F.round(density, 4).alias("text_density"), F.round(risk, 4).alias("speech_risk"))

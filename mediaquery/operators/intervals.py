@@ -1,6 +1,6 @@
 """Interval operators on integer milliseconds.
 
-Ordered steps use time bins (``ordered_scan``), point-in-range tests are sweep lines, and interval
+Ordered steps are scans (``ordered_scan``) that split hot keys, point-in-range tests are sweep lines, and interval
 joins add a time bin to the key, so that one hot video or creative is spread over many tasks.
 """
 
@@ -11,9 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaquery.functions.ordered import ordered_scan
-
-BIN_MS = 60_000
+from mediaquery.functions.ordered import heavy_keys, ordered_scan
 
 
 def _seconds(ms: Column) -> Column:
@@ -115,7 +113,7 @@ def build_slots(beats: DataFrame, start_ms: int, end_ms: int, target_ms: int = 1
 def timeline_errors(timeline: DataFrame, duration_ms: int, tolerance_ms: int = 100) -> DataFrame:
     """One row per violation of a gap-free, overlap-free timeline."""
     nearby = ordered_scan(
-        timeline, ["creative_id"], [F.col("start_ms"), F.col("pos")], F.floor(F.col("start_ms") / BIN_MS), rank="__rk",
+        timeline, ["creative_id"], [F.col("start_ms"), F.col("pos")], rank="__rk",
         lead={"__ns": F.col("start_ms"), "__nid": F.col("clip_id")})
     last = F.col("__nid").isNull()
     pair = F.concat(F.col("clip_id"), F.lit("/"), F.col("__nid"))
@@ -134,7 +132,7 @@ def timeline_errors(timeline: DataFrame, duration_ms: int, tolerance_ms: int = 1
 def repair_gaps(timeline: DataFrame, media: DataFrame, maximum_ms: int = 750) -> DataFrame:
     """Highlights stretched over the small gap behind them; gaps that cannot be closed carry ``error``."""
     nearby = ordered_scan(
-        timeline, ["creative_id"], [F.col("start_ms"), F.col("pos")], F.floor(F.col("start_ms") / BIN_MS),
+        timeline, ["creative_id"], [F.col("start_ms"), F.col("pos")],
         lead={"next_ms": F.col("start_ms"), "next_clip": F.col("clip_id")})
     gaps = nearby.withColumn("gap_ms", F.col("next_ms") - F.col("end_ms")).where(F.col("gap_ms") > 1)
     joined = gaps.join(media.select("video_id", "media_ms"), "video_id", "left").fillna({"media_ms": 0})
@@ -158,10 +156,10 @@ def coalesce_intervals(ranges: DataFrame, key: str = "creative_id", touch_ms: in
         ranges = ranges.withColumn("__s", start).withColumn("end_ms", F.greatest(F.col("__s"), F.least(F.col("end_ms"), F.col("limit_ms"))))
         ranges = ranges.withColumn("start_ms", F.col("__s"))
     kept = ranges.where(F.col("end_ms") > F.col("start_ms")).groupBy(key, "start_ms").agg(F.max("end_ms").alias("end_ms"))
-    slot = F.floor(F.col("start_ms") / BIN_MS)
-    seen = ordered_scan(kept, [key], [F.col("start_ms")], slot, prior_max={"__reach": F.col("end_ms")})
+    heavy = heavy_keys(ranges, [key])
+    seen = ordered_scan(kept, [key], [F.col("start_ms")], heavy=heavy, prior_max={"__reach": F.col("end_ms")})
     fresh = F.when(F.col("__reach").isNull() | (F.col("start_ms") > F.col("__reach") + touch_ms), 1).otherwise(0)
-    islands = ordered_scan(seen.withColumn("__new", fresh), [key], [F.col("start_ms")], slot, running_sum={"island": F.col("__new")})
+    islands = ordered_scan(seen.withColumn("__new", fresh), [key], [F.col("start_ms")], heavy=heavy, running_sum={"island": F.col("__new")})
     return islands.groupBy(key, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
@@ -173,7 +171,7 @@ def intervals_at_point(points: DataFrame, ranges: DataFrame, flag: str, key: str
     edges = edges.groupBy(key, F.col("e.t").alias("__t")).agg(F.sum("e.d").alias("__d")).where(F.col("__d") != 0)
     events = points.select(key, F.col(at).alias("__t"), F.lit(0).cast("long").alias("__d"), F.lit(1).alias("__k"), payload.alias("__p")).unionByName(
         edges.select(key, "__t", "__d", F.lit(0).alias("__k"), F.lit(None).alias("__p")))
-    swept = ordered_scan(events, [key], [F.col("__t"), F.col("__k")], F.floor(F.col("__t") / (2 * BIN_MS)), running_sum={"__depth": F.col("__d")})
+    swept = ordered_scan(events, [key], [F.col("__t"), F.col("__k")], running_sum={"__depth": F.col("__d")})
     return swept.where(F.col("__k") == 1).select(key, "__p.*", (F.col("__depth") > 0).alias(flag))
 
 
@@ -196,7 +194,7 @@ def slice_at_boundaries(beds: DataFrame, muted: DataFrame, ducked: DataFrame, mi
         F.struct(clamp("start_ms").alias("t"), F.col("m"), F.col("d")), F.struct(clamp("end_ms").alias("t"), (-F.col("m")).alias("m"), (-F.col("d")).alias("d")))).alias("p"))
     points = fixed.unionByName(edges.select("creative_id", "p.*"))
     points = points.groupBy("creative_id", "t").agg(F.sum("m").alias("m"), F.sum("d").alias("d"))
-    swept = ordered_scan(points, ["creative_id"], [F.col("t")], F.floor(F.col("t") / BIN_MS),
+    swept = ordered_scan(points, ["creative_id"], [F.col("t")],
                          running_sum={"muted": F.col("m"), "ducked": F.col("d")}, lead={"end_ms": F.col("t")})
     kept = swept.where((F.col("end_ms") - F.col("t") > minimum_ms) & (F.col("muted") <= 0))
     return kept.join(beds.select("creative_id", "loop_ms"), "creative_id").select(

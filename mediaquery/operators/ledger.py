@@ -112,10 +112,7 @@ def finalize(
     return counted.withColumns(updates).select(*registry.columns), decided.select(*ledger.columns)
 
 
-def usage_by_creative(ledger: DataFrame, bin_by: Column | None = None) -> DataFrame:
+def usage_by_creative(ledger: DataFrame) -> DataFrame:
     """Held or exported candidates of every creative, numbered in id order (rows instead of one long array)."""
     held = ledger.where(F.col("state").isin("reserved", "committed")).select("run_id", "creative_id", "candidate_id")
-    if bin_by is None:
-        text = held.schema["candidate_id"].dataType.simpleString() == "string"
-        bin_by = F.substring("candidate_id", 1, 24) if text else F.floor(F.col("candidate_id") / 65_536)
-    return ordered_scan(held, ["run_id", "creative_id"], [F.col("candidate_id")], bin_by, rank="position")
+    return ordered_scan(held, ["run_id", "creative_id"], [F.col("candidate_id")], rank="position")

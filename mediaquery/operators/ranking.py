@@ -13,14 +13,9 @@ from mediaquery.functions.scoring import literal_map, octave_bpm_distance
 
 
 def rank_candidates(candidates: DataFrame, keys: Sequence[str] = (), position: str = "position") -> DataFrame:
-    """Full ranking by score, stable on input position.
-
-    Scores have four decimals, so (score, block of positions) is the bin: one hot pool, even one with
-    a single score, is ranked in many tasks.
-    """
-    block = F.struct((-F.col("final_score")).alias("s"), F.floor(F.col(position) / 65_536).alias("p"))
+    """Full ranking by score, stable on input position; a hot pool, even one with a single score, is ranked in many tasks."""
     keyed = candidates if keys else candidates.withColumn("__all", F.lit(0))
-    ranked = ordered_scan(keyed, list(keys) or ["__all"], [F.col("final_score").desc(), F.col(position)], block, rank="rank")
+    ranked = ordered_scan(keyed, list(keys) or ["__all"], [F.col("final_score").desc(), F.col(position)], rank="rank")
     return ranked if keys else ranked.drop("__all")
 
 
@@ -41,7 +36,7 @@ def rank_cover_candidates(selected: DataFrame, preferred: Sequence[str], k: int
 def bgm_rank_order(target_bpm: float) -> list[Column]:
     adjusted = F.col("music_score") - F.col("exported_count") * 0.15
     fit = adjusted - F.least(F.lit(0.3), octave_bpm_distance(F.col("bpm"), target_bpm) / 100)
-    return [F.round(fit, 9).desc(), F.col("music_score").desc(), F.round(adjusted, 9).desc(), F.col("updated_at").desc()]
+    return [F.round(fit, 9).desc(), F.col("music_score").desc(), F.round(adjusted, 9).desc(), F.col("updated_at").desc(), F.col("bgm_id").desc()]
 
 
 def rank_bgms(assets: DataFrame, target_bpm: float) -> DataFrame:
@@ -59,7 +54,7 @@ def dedupe_by_fingerprint(assets: DataFrame, target_bpm: float) -> DataFrame:
     """Best-ranked track per (category, fingerprint): a partially aggregated minimum, no window."""
     adjusted = F.col("music_score") - F.col("exported_count") * 0.15
     fit = adjusted - F.least(F.lit(0.3), octave_bpm_distance(F.col("bpm"), target_bpm) / 100)
-    worth = F.struct(F.round(fit, 9), "music_score", F.round(adjusted, 9), "updated_at")
+    worth = F.struct(F.round(fit, 9), "music_score", F.round(adjusted, 9), "updated_at", "bgm_id")
     columns = [c for c in assets.columns if c not in ("category", "fingerprint")]
     best = assets.groupBy("category", "fingerprint").agg(F.max_by(F.struct(*columns), worth).alias("b"))
     return best.select("category", "fingerprint", "b.*")

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaquery.functions.ordered import ordered_scan
 from mediaquery.functions.text import author_display, file_name, localized_message
 from mediaquery.operators.audio import ordered_text
+from mediaquery.session import cut_lineage
+
+#: Items of a member, and members of an item, that one task may order.
+WIDE, HOLDERS = 1 << 16, 1 << 12
 
 
 def category_counts(manifest: DataFrame) -> DataFrame:
@@ -82,12 +87,75 @@ def pairwise_overlap(assignments: DataFrame) -> DataFrame:
                         (F.col("a_opener") == F.col("b_opener")).alias("opening_source_same"))
 
 
+def shared_items(assignments: DataFrame, item: str = "candidate_id", key: str = "run_id", member: str = "creative_id") -> DataFrame:
+    """(key, member, item, n, f, back) of items that two or more members of a key hold, written once.
+
+    ``n`` is the member's number of items, ``f`` the item's number of members, ``back`` its place in the member from
+    the most frequent item on. A member above ``WIDE`` items is not ordered in one task: ``back`` is then ``n``, the
+    largest place, with which filters by place keep more than they must.
+    """
+    owned = assignments.select(key, member, item).where(F.col(item).isNotNull()).distinct()
+    sizes = owned.groupBy(key, member).agg(F.count(F.lit(1)).alias("n"))
+    held = owned.groupBy(key, item).agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rows = owned.join(held, [key, item]).join(sizes, [key, member])
+    place = F.row_number().over(W.partitionBy(key, member).orderBy(F.desc("f"), F.desc(item))).cast("long")
+    ordered = rows.where(F.col("n") <= WIDE).withColumn("back", place)
+    return cut_lineage(ordered.unionByName(rows.where(F.col("n") > WIDE).withColumn("back", F.col("n"))))
+
+
+def meetings(shared: DataFrame, need: Column, item: str = "candidate_id", key: str = "run_id", member: str = "creative_id") -> DataFrame:
+    """(key, a, b, size): pairs that may share ``need`` items, an expression over a row of ``shared`` as the smaller member.
+
+    Members are ordered by item frequency, rarest first. Two members with ``need`` shared items have their rarest one
+    at least ``need`` places before the end of both, so the most frequent items, which nearly all members hold, are
+    not looked up at all. The smaller member (by size, then id) asks.
+    """
+    asking = shared.withColumn("need", need).where("back >= need").select(key, item, F.col(member).alias("a"), F.col("n").alias("size"), "need")
+    asked = shared.select(key, item, F.col(member).alias("b"), F.col("n").alias("nb"), F.col("back").alias("kb"))
+    met = asking.join(asked, [key, item]).where("kb >= need").where("nb > size or (nb = size and b > a)")
+    return met.select(key, "a", "b", "size").distinct()
+
+
+def _overlaps(shared: DataFrame, met: DataFrame, item: str, key: str, member: str) -> DataFrame:
+    """(key, a, b, hits, size) of pairs with their exact number of shared items."""
+    of = lambda x: shared.select(key, F.col(member).alias(x), item)
+    both = met.join(of("a"), [key, "a"]).join(of("b"), [key, "b", item])
+    return both.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("size").alias("size"))
+
+
+def pairs_over(assignments: DataFrame, over: float = 0.2, item: str = "candidate_id", key: str = "run_id", member: str = "creative_id") -> DataFrame:
+    """(key, a, b, overlap): pairs whose shared items exceed ``over`` of the smaller member's."""
+    shared = shared_items(assignments, item, key, member)
+    met = meetings(shared, F.floor(F.col("n") * over) + 1, item, key, member)
+    found = _overlaps(shared, met, item, key, member).where(F.col("hits") / F.col("size") > over)
+    return found.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(F.col("hits") / F.col("size"), 4).alias("overlap"))
+
+
+def maximum_overlap(assignments: DataFrame, over: float = 0.2, item: str = "candidate_id", key: str = "run_id", member: str = "creative_id") -> DataFrame:
+    """(key, overlap): the largest overlap of two members of each key, where it exceeds ``over``; no pair report is built.
+
+    Members next to each other among an item's holders give a lower bound in one linear pass. Only pairs that beat
+    it need to meet, so an item that all members hold, or a group of equal members, gives no quadratic output.
+    """
+    shared = shared_items(assignments, item, key, member)
+    bucket = F.pmod(F.xxhash64(member), F.ceil(F.col("f") / HOLDERS)).alias("bucket")
+    near = W.partitionBy(key, item, "bucket").orderBy("n", member)
+    next_to = shared.select("*", bucket).select(key, F.col(member).alias("a"), F.lead(member).over(near).alias("b"), F.col("n").alias("size")).where("b is not null")
+    hits = next_to.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("size").alias("size"))
+    lower = cut_lineage(hits.groupBy(key).agg(F.max_by(F.struct("hits", "size"), F.col("hits") / F.col("size")).alias("x")).select(key, "x.hits", "x.size"))
+    bounded = shared.join(lower.select(key, F.col("hits").alias("lh"), F.col("size").alias("ls")), key)
+    met = meetings(bounded, F.greatest(F.floor(F.col("n") * F.col("lh") / F.col("ls")), F.floor(F.col("n") * over)) + 1, item, key, member)
+    better = _overlaps(shared, met, item, key, member).select(key, "hits", "size")
+    best = lower.unionByName(better).groupBy(key).agg(F.max(F.col("hits") / F.col("size")).alias("ratio"))
+    return best.where(F.col("ratio") > over).select(key, F.round("ratio", 4).alias("overlap"))
+
+
 def _percent(ratio: Column) -> Column:
     return F.concat(F.round(ratio * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
-def run_alerts(summary: DataFrame, sources: DataFrame, pairs: DataFrame, diversity: DataFrame, creatives: DataFrame) -> DataFrame:
-    """Threshold alerts of every run with level and message."""
+def run_alerts(summary: DataFrame, sources: DataFrame, overlaps: DataFrame, diversity: DataFrame, creatives: DataFrame) -> DataFrame:
+    """Threshold alerts of every run with level and message; ``overlaps`` has a run's largest overlap (``maximum_overlap``)."""
     s = F.col
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     unfinished = s("partial") + s("failed")
@@ -99,7 +167,7 @@ def run_alerts(summary: DataFrame, sources: DataFrame, pairs: DataFrame, diversi
     ))).alias("x")).select("run_id", "x.*")
     share = sources.where(s("candidate_ratio") > 0.25).select("run_id", F.lit("red").alias("level"), text(
         s("author"), " 贡献了候选池的 ", _percent(s("candidate_ratio")), "，单一来源占比过高").alias("message"))
-    overlap = pairs.groupBy("run_id").agg(F.max("candidate_overlap_ratio").alias("r")).where("r > 0.2").select("run_id", F.lit("red").alias("level"), text(
+    overlap = overlaps.select("run_id", F.col("overlap").alias("r")).where("r > 0.2").select("run_id", F.lit("red").alias("level"), text(
         "两条成片之间的最大候选重合率为 ", _percent(s("r")), "，超过 20% 阈值").alias("message"))
     unused = diversity.where(s("never_used_candidate_ratio") < 0.8).select("run_id", F.lit("yellow").alias("level"), text(
         "历史未使用候选占比为 ", _percent(s("never_used_candidate_ratio")), "，低于 80% 目标").alias("message"))

@@ -96,6 +96,6 @@ def run_report(usage: DataFrame, results: DataFrame, failures: DataFrame, histor
     totals = usage.groupBy("run_id").agg(F.count(F.lit(1)).alias("__c"))
     sources = usage.groupBy("run_id", "author").agg(F.count(F.lit(1)).alias("candidate_count")).join(totals, "run_id").withColumn(
         "candidate_ratio", F.round(F.col("candidate_count") / F.col("__c"), 4)).drop("__c")
-    pairs, diversity = stage(reports.pairwise_overlap(usage)), reports.diversity_summary(usage, history)
+    pairs, diversity = reports.pairwise_overlap(usage), reports.diversity_summary(usage, history)
     return {"summary": summary, "sources": sources, "pairs": pairs, "diversity": diversity,
-            "alerts": reports.run_alerts(summary, sources, pairs, diversity, creatives)}
+            "alerts": reports.run_alerts(summary, sources, reports.maximum_overlap(usage), diversity, creatives)}
