@@ -14,13 +14,18 @@ from mediaquery.streaming import streams
 C = F.col
 
 
-@query("scan_manifest", "A01 A06", with_views("material", body="""SELECT video_id::VARCHAR AS video_id, path, 'c' || category AS category, CASE WHEN video_id % 13 = 0 OR video_id % 11 = 0 THEN '' ELSE lpad(video_id::VARCHAR, 24, '0') END AS note_id,
- enabled FROM material"""))
+@query("scan_manifest", "A01 A06", with_views("material", body="""SELECT CASE WHEN video_id % 19 = 5 THEN NULL ELSE video_id::VARCHAR END AS video_id,
+ CASE WHEN video_id % 4 = 1 THEN 'first "line",' || chr(10) || path ELSE path END AS path, 'c' || category AS category, CASE WHEN video_id % 13 = 0 OR video_id % 11 = 0 THEN '' ELSE lpad(video_id::VARCHAR, 24, '0') END AS note_id,
+ CASE video_id % 17 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN true WHEN 6 THEN false ELSE enabled END AS enabled,
+ nullif(concat_ws('; ', CASE WHEN video_id % 19 = 5 THEN 'video_id: missing' END, CASE video_id % 17 WHEN 3 THEN 'enabled: not a flag: maybe' WHEN 4 THEN 'enabled: not a flag: ' END), '') AS error FROM material"""))
 def _(s, sf):
     m = filters.parse_material_names(views.material(s, sf)).withColumn("category", F.concat(F.lit("c"), C("category").cast("string"))).fillna("", ["note_id", "author"])
+    # quoted line breaks, missing ids, and flags that are unknown, empty or in another spelling
+    flag = F.expr("case video_id % 17 when 3 then 'maybe' when 4 then '' when 5 then 'YES' when 6 then 'Off' else cast(enabled as string) end")
+    m = m.withColumns({"path": F.expr("""if(video_id % 4 = 1, concat('first "line",\n', path), path)"""), "enabled": flag, "video_id": F.expr("if(video_id % 19 = 5, null, video_id)")})
     path = scratch_path(s, "manifest")
     tables.write_manifest(m, path)
-    return tables.scan_manifest(s, path).select("video_id", "path", "category", "note_id", "enabled")
+    return tables.scan_manifest(s, path).select("video_id", "path", "category", "note_id", "enabled", "error")
 
 
 @query("scan_media_listing", "A02")
@@ -34,29 +39,67 @@ def _(s, sf):
     return tables.content_fingerprints(listing).select(F.substring_index("path", "/", -1).alias("name"), "length", "fingerprint")
 
 
-@query("scan_candidate_pool", "A03 A07", with_views("cand", body="""SELECT 'c' || category AS category, candidate_id::VARCHAR AS candidate_id, video_id::VARCHAR AS video_id, event, start_ms / 1000 AS start, end_ms / 1000 AS "end",
- aesthetic, confidence FROM cand"""))
+@query("scan_candidate_pool", "A03 A07", with_views("cand", more={
+    "d": "SELECT *, category || '-' || candidate_id // 1000 AS doc, (category + candidate_id // 1000) % 5 AS k FROM cand"}, body="""
+SELECT CASE WHEN k = 3 THEN 'other' ELSE 'c' || category END AS category, candidate_id::VARCHAR AS candidate_id, video_id::VARCHAR AS video_id, event, start_ms / 1000 AS start, end_ms / 1000 AS "end",
+ aesthetic, confidence, NULL::VARCHAR AS error FROM d WHERE k NOT IN (1, 2)
+UNION ALL SELECT 'other', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not a JSON object' FROM (SELECT DISTINCT doc FROM d WHERE k IN (1, 2))"""))
 def _(s, sf):
     c = views.cand(s, sf)
     window = F.struct((C("start_ms") / 1000).alias("start"), (C("end_ms") / 1000).alias("end"))
-    rows = c.select(F.concat(F.lit("c"), C("category").cast("string")).alias("category"), C("candidate_id").cast("string").alias("candidate_id"), C("video_id").cast("string").alias("video_id"), "event",
+    rows = c.select(C("category").alias("g"), C("candidate_id").cast("string").alias("candidate_id"), C("video_id").cast("string").alias("video_id"), "event",
                     window.alias("source_window"), window.alias("preferred_trim"), F.create_map(F.lit("aesthetic"), C("aesthetic")).alias("scores"), "confidence", C("candidate_id").alias("n"))
-    documents = tables.pool_documents(rows, F.floor(C("n") / 1000))
+    documents = tables.pool_documents(rows, F.floor(C("n") / 1000), ("g",))
+    # indented documents in files of their own: some cut short, some in a list, some without a category
+    kind = (C("g") + C("page")) % 5
+    body = F.to_json(F.struct(F.when(kind != 3, F.concat(F.lit("c"), C("g").cast("string"))).alias("category"), "candidates"), {"pretty": "true"})
+    value = F.when(kind == 1, F.expr("left(body, cast(length(body) * 0.7 as int))")).when(kind == 2, F.concat(F.lit("[\n"), C("body"), F.lit("\n]"))).otherwise(C("body"))
     path = scratch_path(s, "pool")
-    tables.write_documents(documents, path)
-    return tables.scan_candidate_pool(s, path).select(
-        "category", "candidate_id", "video_id", "event", C("source_window.start").alias("start"), C("source_window.end").alias("end"), C("scores")["aesthetic"].alias("aesthetic"), "confidence")
+    documents.withColumn("body", body).select(F.concat_ws("-", C("g").cast("string"), C("page").cast("string")).alias("doc"), value.alias("value")).write.partitionBy("doc").text(path)
+    return tables.scan_candidate_pool(s, path, "other").select(
+        "category", "candidate_id", "video_id", "event", C("source_window.start").alias("start"), C("source_window.end").alias("end"), C("scores")["aesthetic"].alias("aesthetic"), "confidence", "error")
 
 
-@query("scan_analysis_documents", "A04", """SELECT count(*) AS documents, count(*) FILTER (event_id % 7 <> 0) AS valid, coalesce(sum(user_id) FILTER (event_id % 7 NOT IN (0, 1)), 0)::BIGINT AS ids FROM events""")
+@query("scan_pool_lines", "A03 A07", with_views("cand", body="""SELECT 'c' || category AS category, candidate_id::VARCHAR AS candidate_id, start_ms / 1000 AS start, aesthetic, confidence FROM cand"""))
+def _(s, sf):
+    window = F.struct((C("start_ms") / 1000).alias("start"), (C("end_ms") / 1000).alias("end"))
+    rows = views.cand(s, sf).select(F.concat(F.lit("c"), C("category").cast("string")).alias("category"), C("candidate_id").cast("string").alias("candidate_id"), window.alias("source_window"),
+                                    F.create_map(F.lit("aesthetic"), C("aesthetic")).alias("scores"), "confidence", C("candidate_id").alias("n"))
+    path = scratch_path(s, "pool")
+    tables.write_documents(tables.pool_documents(rows, F.floor(C("n") / 1000)), path)
+    return tables.scan_candidate_pool(s, path, layout="lines").select("category", "candidate_id", C("source_window.start").alias("start"), C("scores")["aesthetic"].alias("aesthetic"), "confidence")
+
+
+DOCUMENTS = """WITH d AS (SELECT user_id // 10 AS g, user_id // 10 % 7 AS k, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL)
+SELECT CASE WHEN k IN (1, 2, 3) THEN NULL ELSE 'v' || g END AS video_id, k NOT IN (1, 2) AS valid, CASE WHEN k NOT IN (1, 2) THEN n END AS events, CASE WHEN k NOT IN (1, 2) THEN ids END AS ids,
+ CASE WHEN k IN (1, 2) THEN 'not a JSON object' END AS error FROM d"""
+
+
+def analysis_documents(s, sf):
+    """One document for ten users with all their events; some cut short, some lists, some without an id."""
+    rows = table(s, sf, "events").groupBy(F.floor(C("user_id") / 10).alias("g")).agg(F.collect_list(F.struct("event_id", "event_type")).alias("events")).withColumn("k", C("g") % 7)
+    body = F.to_json(F.struct(F.when(C("k") != 3, F.concat(F.lit("v"), C("g").cast("string"))).alias("video_id"), "events"), {"pretty": "true"})
+    value = F.when(C("k") == 1, F.expr("left(body, length(body) - 2)")).when(C("k") == 2, F.concat(F.lit("["), C("body"), F.lit("]"))).otherwise(C("body"))
+    return rows.withColumn("body", body).select("g", value.alias("value"))
+
+
+def analysis_rows(docs):
+    named = F.when(C("valid") & C("video_id").startswith("v"), C("video_id"))  # else the name of a file that Spark wrote
+    return docs.select(named.alias("video_id"), "valid", F.when(C("valid"), F.size("events")).cast("long").alias("events"), F.when(C("valid"), F.aggregate("events", F.lit(0).cast("long"), lambda a, x: a + x["event_id"])).alias("ids"), "error")
+
+
+@query("scan_analysis_documents", "A04", DOCUMENTS)
+def _(s, sf):
+    path = scratch_path(s, "raw")
+    analysis_documents(s, sf).write.partitionBy("g").text(path)
+    return analysis_rows(tables.scan_analysis_documents(s, path, "video_id string, events array<struct<event_id: bigint, event_type: string>>"))
+
+
+@query("scan_document_lines", "A04", DOCUMENTS)
 def _(s, sf):
-    whole = F.to_json(F.struct(C("user_id").cast("string").alias("video_id"), C("event_type").alias("route")))
-    nameless = F.to_json(F.struct(C("event_type").alias("route")))
-    line = F.when(C("event_id") % 7 == 0, F.concat(F.lit("[1, "), whole)).when(C("event_id") % 7 == 1, nameless).otherwise(whole)
     path = scratch_path(s, "raw")
-    table(s, sf, "events").select(line.alias("value")).write.text(path)
-    docs = tables.scan_analysis_documents(s, path, "video_id string, route string")
-    return docs.agg(F.count("*").alias("documents"), F.count_if("valid").alias("valid"), F.coalesce(F.sum(F.when(C("valid"), F.try_to_number("video_id", F.lit("999999999999")))), F.lit(0)).cast("long").alias("ids"))
+    analysis_documents(s, sf).select(F.regexp_replace("value", r"\n\s*", "").alias("value")).write.text(path)
+    return analysis_rows(tables.scan_analysis_documents(s, path, "video_id string, events array<struct<event_id: bigint, event_type: string>>", layout="lines"))
 
 
 @query("asset_index", "A05", """WITH u AS (SELECT 'as' || p_partkey % 700 AS asset_id, 'product_openpages' AS section, p_name AS path, 0 AS o, p_partkey AS ordinal FROM part UNION ALL

@@ -16,6 +16,7 @@ from mediaquery.session import cut_lineage
 # Media suffixes, manifest columns and library sections (a later section wins).
 VIDEO_EXTENSIONS = ("mp4", "mov", "m4v", "avi", "mkv")
 MANIFEST_FIELDS = ("video_id", "path", "category", "note_id", "author", "enabled", "parent_category", "source_category", "market", "language")
+FLAGS = {True: ("1", "on", "t", "true", "y", "yes"), False: ("0", "off", "f", "false", "n", "no")}
 ASSET_SECTIONS = ("product_openpages", "product_recordings", "brand_assets", "overlay_assets", "fonts")
 
 CANDIDATE_SCHEMA = T.StructType([
@@ -30,18 +31,33 @@ CANDIDATE_SCHEMA = T.StructType([
 POOL_SCHEMA = T.StructType([T.StructField("category", T.StringType()), T.StructField("candidates", T.ArrayType(CANDIDATE_SCHEMA))])
 
 
-def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Typed material rows of a CSV manifest: byte-order mark tolerated, undeclared columns dropped.
+def scan_manifest(spark: SparkSession, path: str, mode: str = "quarantine") -> DataFrame:
+    """Typed material rows of CSV manifests with ``source_file`` and ``error``.
 
-    Only the header line is looked at before the plan is built; columns are found by name.
+    Byte-order marks are tolerated, undeclared columns dropped, columns found by name, quoted line breaks kept.
+    A row without an id, path or category, or with a flag that is none of ``FLAGS``, keeps its readable values and
+    says in ``error`` what is wrong with it; ``enabled`` is then null unless the flag is fine. With mode ``strict``
+    such a row fails the job instead. A manifest without the column ``enabled`` enables all rows. Only header lines
+    are looked at before the plan is built.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
-    raw = raw.toDF(*[c.replace("﻿", "") for c in raw.columns])
-    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("")
-    enabled = F.lower(text("enabled"))
+    if mode not in ("quarantine", "strict"):
+        raise ValueError(f"unknown mode {mode!r}")
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    raw = raw.select("*", F.col("_metadata.file_name").alias("source_file"))
+    raw = raw.toDF(*[c.replace("\ufeff", "") for c in raw.columns])
+    value = lambda c: F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")
+    flag = F.lower(F.trim(value("enabled")))
+    enabled = F.when(flag.isin(*FLAGS[True]), True).when(flag.isin(*FLAGS[False]), False) if "enabled" in raw.columns else F.lit(True)
+    problems = [F.when(value(c).isNull(), F.lit(f"{c}: missing")) for c in ("video_id", "path", "category")]
+    if "enabled" in raw.columns:
+        problems.append(F.when(enabled.isNull(), F.concat(F.lit("enabled: not a flag: "), F.coalesce(value("enabled"), F.lit("")))))
+    listed = F.array_join(F.array_compact(F.array(*problems)), "; ")
+    error = F.when(listed != "", listed)
+    if mode == "strict":
+        enabled = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("bad manifest row in "), F.col("source_file"), F.lit(": "), error)).cast("boolean")).otherwise(enabled)
     return raw.select(
-        *[F.col(c).cast("string").alias(c) for c in ("video_id", "path", "category")], text("note_id").alias("note_id"), text("author").alias("author"),
-        F.when(enabled == "", True).otherwise(enabled.isin("true", "1", "t", "yes", "y", "on")).alias("enabled"))
+        *[value(c).alias(c) for c in ("video_id", "path", "category")], *[F.coalesce(value(c), F.lit("")).alias(c) for c in ("note_id", "author")],
+        enabled.alias("enabled"), "source_file", error.alias("error"))
 
 
 def scan_media_listing(spark: SparkSession, directory: str, extensions: Sequence[str] = VIDEO_EXTENSIONS) -> DataFrame:
@@ -82,24 +98,51 @@ def content_fingerprints(listing: DataFrame, window: int = 1 << 20, whole: bool
     return spread.mapInPandas(digest, "path string, length long, fingerprint string")
 
 
-def scan_candidate_pool(spark: SparkSession, path: str, default_category: str | None = None, multiline: bool = False) -> DataFrame:
-    """Candidate rows of pool documents (one JSON document per line, or per file with ``multiline``)."""
-    documents = spark.read.schema(POOL_SCHEMA).option("multiLine", multiline).json(path)
-    return documents.select(F.coalesce("category", F.lit(default_category)).alias("category"), F.inline("candidates"))
+def scan_documents(spark: SparkSession, path: str, layout: str = "file") -> DataFrame:
+    """(source_file, value, valid) of JSON documents: one per file, indented or not, or one per line.
 
+    ``valid`` says that the value is one JSON object. A file is one value, so it must fit in a task; logs of many
+    documents are read with layout ``lines``.
+    """
+    if layout not in ("file", "lines"):
+        raise ValueError(f"unknown layout {layout!r}")
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=layout == "file").select(F.col("_metadata.file_name").alias("source_file"), "value")
+    text = F.regexp_replace("value", "^\ufeff", "")
+    valid = F.try_parse_json(text).isNotNull() & F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{"))
+    return raw.select("source_file", text.alias("value"), F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def _parsed(documents: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Documents with ``d``, their fields, and ``error`` for those that are no JSON object; a field of another type is null."""
+    fields = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    return documents.select("source_file", "value", "valid", F.when(F.col("valid"), fields).alias("d"), F.when(~F.col("valid"), F.lit("not a JSON object")).alias("error"))
+
+
+def scan_candidate_pool(spark: SparkSession, path: str, default_category: str | None = None, layout: str = "file") -> DataFrame:
+    """Candidate rows of pool documents with ``source_file`` and ``error``.
 
-def scan_analysis_documents(spark: SparkSession, path: str, fields: str, id_field: str = "video_id") -> DataFrame:
-    """Per-video JSON documents; text that is not an object gives an empty row instead of an error.
+    A document that is no JSON object, or whose candidates are no list of objects, gives one row without a candidate
+    and with an ``error``; a document without candidates gives none.
+    """
+    documents = _parsed(scan_documents(spark, path, layout), POOL_SCHEMA)
+    unreadable = F.col("d.candidates").isNull() & F.get_json_object("value", "$.candidates").isNotNull()
+    documents = documents.withColumn("error", F.coalesce("error", F.when(unreadable, F.lit("candidates: not a list of objects"))))
+    none = F.array(F.lit(None).cast(CANDIDATE_SCHEMA))
+    found = F.when(F.col("error").isNull(), F.coalesce(F.col("d.candidates"), F.array().cast(T.ArrayType(CANDIDATE_SCHEMA)))).otherwise(none)
+    rows = documents.select("source_file", "error", F.coalesce("d.category", F.lit(default_category)).alias("category"), F.explode(found).alias("c"))
+    return rows.select("category", "c.*", "source_file", "error")
+
+
+def scan_analysis_documents(spark: SparkSession, path: str, fields: str, id_field: str = "video_id", layout: str = "file") -> DataFrame:
+    """Per-video JSON documents with ``source_file``; one that is no object gives an empty row, ``valid`` false, and an ``error``.
 
     The id falls back to the file name without its suffix.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("__file"))
-    parsed = raw.withColumn("__d", F.from_json("value", fields, {"mode": "PERMISSIVE"}))
-    stem = F.regexp_replace("__file", r"\.[^.]+$", "")
-    valid = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
-    names = [f.name for f in parsed.schema["__d"].dataType.fields]
-    columns = [F.when(valid, F.col(f"__d.{n}")).alias(n) for n in names if n != id_field]
-    return parsed.select(F.coalesce(F.when(valid, F.col(f"__d.{id_field}")), stem).alias(id_field), valid.alias("valid"), *columns)
+    parsed = _parsed(scan_documents(spark, path, layout), fields)
+    stem = F.regexp_replace("source_file", r"\.[^.]+$", "")
+    names = [f.name for f in parsed.schema["d"].dataType.fields]
+    columns = [F.col(f"d.`{n}`").alias(n) for n in names if n != id_field]
+    return parsed.select(F.coalesce(F.col(f"d.`{id_field}`"), stem).alias(id_field), "valid", *columns, "source_file", "error")
 
 
 def asset_index(sections: dict[str, DataFrame]) -> DataFrame:
@@ -118,10 +161,17 @@ def asset_index(sections: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_manifest(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    present = [F.col(c).cast("string").alias(c) if c in rows.columns else F.lit("").alias(c) for c in MANIFEST_FIELDS]
+    absent = lambda c: F.lit("true" if c == "enabled" else "").alias(c)
+    present = [F.col(c).cast("string").alias(c) if c in rows.columns else absent(c) for c in MANIFEST_FIELDS]
     rows.select(*present).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def write_document_files(rows: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
+    """One indented JSON document per row in a folder of its own, named by the column ``name``, which is unique."""
+    body = F.to_json(F.struct(*[c for c in rows.columns if c != name]), {"pretty": "true", "ignoreNullFields": "false"})
+    rows.select(name, body.alias("value")).write.mode(mode).partitionBy(name).text(path)
+
+
 def write_documents(rows: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """Nested rows as JSON documents, one per line, unescaped UTF-8, partitioned by run or category."""
     rows.write.mode(mode).partitionBy(*partition_by).option("ignoreNullFields", False).json(path)
