@@ -136,10 +136,10 @@ def _(s, sf):
     root = scratch_path(s, "stream")
     candidate_batch(s, sf).repartitionByRange(4, "seq").write.parquet(f"{root}/in")
     source = s.readStream.schema(candidate_batch(s, sf).schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    store = tables.SnapshotTable(s, f"{root}/registry")
     empty = registry_table(s, sf).limit(0)
-    streams.stream_register(source, store, empty, f"{root}/checkpoint").awaitTermination()
-    return store.read().select("candidate_id", "analysis_count", "peak_ms")
+    streams.stream_register(source, f"{root}/registry", empty, f"{root}/checkpoint", buckets=8).awaitTermination()
+    kept = empty.withColumns({"first_seq": C("peak_ms"), "last_seq": C("peak_ms")})
+    return streams.read_buckets(s, f"{root}/registry", kept).select("candidate_id", "analysis_count", "peak_ms")
 
 
 LEDGER = """SELECT l_partkey AS candidate_id, o_custkey AS run_id, l_orderkey AS creative_id, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'P') AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"""

@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mediaquery.operators.ledger import SEEN, register_candidates
-from mediaquery.sources.tables import SnapshotTable
+from mediaquery.session import forget_path, path_exists
+
+#: Folders of a bucketed table; a micro-batch rewrites those that its keys fall into.
+BUCKETS = 64
+Merge = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_buckets(spark: SparkSession, root: str, empty: DataFrame) -> DataFrame:
+    """The rows of a bucketed table in the columns of ``empty``, with ``applied_batch`` and ``bucket``; none before the first batch."""
+    if path_exists(spark, f"{root}/table"):
+        return spark.read.schema(empty.select("*", F.lit(0).cast("long").alias("applied_batch"), F.lit(0).alias("bucket")).schema).parquet(f"{root}/table")
+    return empty.limit(0).withColumns({"applied_batch": F.lit(0).cast("long"), "bucket": F.lit(0)})
 
 
-def stream_register(batches: DataFrame, table: SnapshotTable, empty: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """Upserts every arriving micro-batch into the registry; a replayed batch changes nothing.
+def merge_buckets(batch: DataFrame, batch_id: int, root: str, empty: DataFrame, merge: Merge, key: str, buckets: int = BUCKETS) -> None:
+    """Merge a micro-batch into a Parquet table that is partitioned by the hash of its key.
 
-    Rows are merged by ``seq``, not by arrival: the snapshot keeps the first and last number per candidate, so
-    files that arrive in any order give the same table. It also carries the last batch id it contains, so a restart skips batches already applied.
+    Only the buckets of the batch's keys are read and replaced (dynamic partition overwrite). Merged buckets are
+    written beside the table first, so a job that is lost while folders are replaced is repeated from there, and a
+    batch that arrives again, complete or not, changes nothing. Writers of one table must not overlap.
     """
+    spark, pending = batch.sparkSession, f"{root}/pending/{batch_id}"
+    if not path_exists(spark, f"{pending}/_SUCCESS"):
+        placed = batch.withColumn("bucket", _bucket(key, buckets))
+        touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        current = read_buckets(spark, root, empty).where(F.col("bucket").isin(touched))
+        done = [r["bucket"] for r in current.where(F.col("applied_batch") >= batch_id).select("bucket").distinct().collect()]
+        if set(done) == set(touched):
+            return
+        merged = merge(current.where(~F.col("bucket").isin(done)).drop("bucket", "applied_batch"), placed.where(~F.col("bucket").isin(done)).drop("bucket"))
+        out = merged.withColumns({"applied_batch": F.lit(batch_id).cast("long"), "bucket": _bucket(key, buckets)})
+        out.repartition("bucket").write.mode("overwrite").parquet(pending)
+    spark.read.parquet(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/table")
+    forget_path(spark, pending)
+
+
+def stream_register(batches: DataFrame, root: str, empty: DataFrame, checkpoint: str, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
+    """Upserts every arriving micro-batch into the bucketed registry below ``root``; a replayed batch changes nothing.
+
+    Rows are merged by ``seq``, not by arrival: the table keeps the first and last number per candidate, so files
+    that arrive in any order give the same table.
+    """
+    columns = empty.withColumns({name: F.lit(None).cast(batches.schema["seq"].dataType) for name in SEEN})
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        current = table.read()
-        if current is None:
-            seen = {name: F.lit(None).cast(batch.schema["seq"].dataType) for name in SEEN}
-            current = empty.withColumns(seen).withColumn("applied_batch", F.lit(-1).cast("long"))
-        done = current.agg(F.max("applied_batch")).first()[0]
-        if done is not None and done >= batch_id:
-            return
-        merged = register_candidates(current.drop("applied_batch"), batch)
-        table.write(merged.withColumn("applied_batch", F.lit(batch_id).cast("long")))
+        merge_buckets(batch, batch_id, root, columns, register_candidates, "candidate_id", buckets)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
