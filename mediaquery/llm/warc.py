@@ -9,7 +9,7 @@ Records of equal payloads of at least ``min_bytes`` bytes: the one with the larg
 are revisits that refer to it. Files are plain WARC 1.1, gzipped as a whole by Spark's text writer; its
 line separator is the record terminator, and lengths in the headers, not separators, delimit records on reading.
 
-Null payloads are empty. Ids are unique by contract; rows that repeat an id are separate records. Empty tables
+Null payloads are empty; a null id is written as None and read back as null, and is never referred to. Ids are unique by contract; rows that repeat an id are separate records. Empty tables
 give an archive without records. Extra columns are ignored.
 """
 
@@ -171,7 +171,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError(f"record {number}, segment {chunk}: payload and digest differ")
                     refers = head.get("WARC-Refers-To")
                     single = kind != "continuation" and "WARC-Segment-Number" not in head
-                    rows.append((int(number), int(chunk), kind, head.get("WARC-Target-URI"), int(refers.strip("<>").split(":")[2]) if refers else None, body, total if kind != "revisit" else bytes_so_far, base32_sha1(state) if kind != "revisit" else digest, single or "WARC-Segment-Total-Length" in head))
+                    rows.append((None if number == "None" else int(number), int(chunk), kind, head.get("WARC-Target-URI"), int(refers.strip("<>").split(":")[2]) if refers else None, body, total if kind != "revisit" else bytes_so_far, base32_sha1(state) if kind != "revisit" else digest, single or "WARC-Segment-Total-Length" in head))
                     head = None
             if rows:
                 yield to_batch(rows, out)

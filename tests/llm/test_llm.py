@@ -179,6 +179,10 @@ def test_warc_round_trip(spark, tmp_path):
     assert b"".join(bytes(r["body"]) for r in bodies) == big.encode() and len(bodies) > 10 and max(len(r["body"]) for r in bodies) <= 1_000
     small = {r["page_id"]: r["_first"] for r in warc.record_types(pages, min_bytes=2).collect()}
     assert small == {1: 1, 2: 6, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
+    nameless = spark.createDataFrame([(None, "a", "x"), (None, None, "alone"), (3, "b", "x")], "page_id long, url string, html string")
+    warc.write_archive(nameless, str(tmp_path / "nameless"), size=2)
+    read = warc.records(warc.read_archive(spark, str(tmp_path / "nameless"))).collect()
+    assert sorted((r["record_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in read) == [(0, "response", None, 5), (0, "revisit", 3, 1), (3, "response", None, 1)]
     warc.write_archive(pages.limit(0), str(tmp_path / "none"))
     assert warc.records(warc.read_archive(spark, str(tmp_path / "none"))).count() == 0
 
