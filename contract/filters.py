@@ -346,6 +346,22 @@ def _(s, sf):
     return d.select("doc_id", "fingerprint", hashing.cache_key(C("doc_id"), C("lang"), C("fingerprint")).alias("cache_key"))
 
 
+PROFILES = """CASE WHEN doc_id % 2 = 0 THEN
+ '{"marlin_recall": {"segment_overlap_seconds": ' || doc_id % 3 || ', "fps": 2, "query": {"b": [1, {"z": "' || coalesce(lang, '') || '", "a": null}], "a": true}}, "gemma_review": {"api_max_attempts": ' || doc_id % 5 || ', "mode": "deep"}}'
+ ELSE '{ "gemma_review" : {"mode":"deep","api_retry_delays_seconds":[1,2]},
+  "marlin_recall" : {"query":{"a":true,"b":[1,{"a":null,"z":"' || coalesce(lang, '') || '"}]},"fps":2,"segment_overlap_seconds":' || doc_id % 3 || '} }' END"""
+
+
+@query("analysis_fingerprint", "H14", """WITH c AS (SELECT doc_id, '{"gemma_review":{"mode":"deep"},' || CASE WHEN n_chars > 1200 THEN '"marlin_long_video_segmentation":{"maximum_video_duration_seconds":120.0,"segment_duration_seconds":115.0,"segment_overlap_seconds":' || doc_id % 3 || '.0},' ELSE '' END
+  || '"marlin_recall":{"fps":2,"query":{"a":true,"b":[1,{"a":null,"z":"' || coalesce(lang, '') || '"}]}}}' AS p, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
+SELECT doc_id, sha256('{"analysis_cache_version":"4","analysis_profile":' || p || ',"category":"' || coalesce(lang, '') || '","marlin_queries":{"k":[3,2,1],"q":"x"},"model_id":"' || source || '","prompt_template":"find \\"peaks\\"","proxy":{}}') AS fingerprint FROM c""")
+def _(s, sf):
+    d = table(s, sf, "documents").withColumn("profile", F.expr(PROFILES))
+    swapped = F.when(C("doc_id") % 3 == 0, '{"q":"x","k":[3, 2, 1]}').otherwise('{"k":[3,2,1] , "q":"x"}')
+    return d.select("doc_id", hashing.analysis_fingerprint(
+        C("profile"), C("n_chars") / 10, category=F.coalesce("lang", F.lit("")), prompt=F.lit('find "peaks"'), queries=swapped, model_id=F.coalesce("source", F.lit("")), proxy=F.lit(None).cast("string"), version=F.lit("4")).alias("fingerprint"))
+
+
 @query("difference_hash", "H16", with_views("frame", body="""SELECT frame_id, list_sum(list_transform(range(1, 64), lambda i:
   CASE WHEN luma[((i // 8) * 9 + i % 8) % 64 + 1] > luma[((i // 8) * 9 + i % 8 + 1) % 64 + 1] THEN 1::BIGINT << (63 - i) ELSE 0 END))::BIGINT
   + CASE WHEN luma[1] > luma[2] THEN -9223372036854775808 ELSE 0 END::BIGINT AS dhash FROM frame"""))
