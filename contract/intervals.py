@@ -6,7 +6,7 @@ from contract import views
 from contract.base import query
 from contract.views import table, with_views
 from mediaquery.operators import intervals as iv
-from mediaquery.operators import joins
+from mediaquery.operators import joins, reports
 
 C = F.col
 SEC = lambda e: f"(({e}) // 1000 || '.' || lpad((({e}) % 1000)::VARCHAR, 3, '0'))"
@@ -225,6 +225,45 @@ def _(s, sf):
     return iv.timeline_errors(views.timeline(s, sf), 20_000)
 
 
+VERDICT_VIEWS = {"n": """SELECT *, row_number() OVER o AS rk, lead(start_ms) OVER o AS ns, lead(clip_id) OVER o AS nid FROM picks WINDOW o AS (PARTITION BY creative_id ORDER BY start_ms, pos)""",
+    "picks": "SELECT t.* FROM timeline t JOIN orders ON o_orderkey = creative_id WHERE o_orderkey % 10 <> 3 AND pos <= 1 + o_orderkey % 6",
+    "planned": "SELECT o_orderkey AS creative_id, (1 + o_orderkey % 4)::INTEGER AS slot_count, o_orderstatus = 'P' AS bare, o_orderpriority = '5-LOW' AND o_orderstatus <> 'P' AS late FROM orders",
+    "facts": "SELECT p.*, coalesce(k, 0) AS picked, coalesce(s, 0) AS source_count FROM planned p LEFT JOIN (SELECT creative_id, count(*) AS k, count(DISTINCT video_id) AS s FROM picks GROUP BY 1) USING (creative_id)"}
+VERDICT_VIEWS = {k: VERDICT_VIEWS[k] for k in ("picks", "n", "planned", "facts")}
+VERDICT_ERRORS = f"""SELECT creative_id, 'timeline starts with gap: 0/' || {SEC('start_ms')} AS error FROM n WHERE rk = 1 AND start_ms > 1
+UNION ALL SELECT creative_id, 'overlap: ' || clip_id || '/' || nid FROM n WHERE ns < end_ms - 1
+UNION ALL SELECT creative_id, 'gap: ' || clip_id || '/' || nid || ' ' || {SEC('end_ms')} || '-' || {SEC('ns')} FROM n WHERE ns > end_ms + 1
+UNION ALL SELECT creative_id, 'timeline exceeds campaign duration' FROM n WHERE nid IS NULL AND end_ms > 4100
+UNION ALL SELECT creative_id, 'timeline ends with gap: ' || {SEC('end_ms')} || '/4.000' FROM n WHERE nid IS NULL AND end_ms < 3999
+UNION ALL SELECT creative_id, 'missing product_recording' FROM planned WHERE bare
+UNION ALL SELECT creative_id, 'product openpage must immediately precede product recording' FROM planned WHERE late
+UNION ALL SELECT creative_id, 'insufficient unique candidates: ' || picked || '/' || slot_count FROM facts WHERE picked < slot_count
+UNION ALL SELECT creative_id, 'insufficient distinct source videos: ' || source_count || '/2' FROM facts WHERE source_count <> 2"""
+
+
+def composition(s, sf):
+    """Planned creatives with slots, their picks (none for some), and all errors."""
+    orders = table(s, sf, "orders")
+    planned = orders.selectExpr("o_orderkey creative_id", "cast(1 + o_orderkey % 4 as int) slot_count")
+    picks = views.staged(views.timeline(s, sf).where("creative_id % 10 <> 3 and pos <= 1 + creative_id % 6"))
+    rows = iv.fixed_package_rows(campaigns(s, sf)).join(orders.select(C("o_orderkey").alias("campaign_id"), "o_orderstatus", "o_orderpriority"), "campaign_id")
+    rows = rows.where("not (o_orderstatus = 'P' and source_type = 'product_recording')").withColumn(
+        "start_ms", F.expr("start_ms + if(o_orderpriority = '5-LOW' and source_type = 'product_recording', 40, 0)"))
+    package = iv.package_errors(rows).withColumnRenamed("campaign_id", "creative_id")
+    return planned, picks, reports.composition_errors(planned, picks, iv.timeline_errors(picks, 4_000), package, 2)
+
+
+@query("composition_errors", "E14 E25 G01", with_views("timeline", more=VERDICT_VIEWS, body=VERDICT_ERRORS))
+def _(s, sf):
+    return composition(s, sf)[2]
+
+
+@query("composition_verdicts", "E14 E25 G01", with_views("timeline", more={**VERDICT_VIEWS, "e": f"SELECT creative_id, count(*) AS c FROM ({VERDICT_ERRORS}) GROUP BY 1"}, body="""
+SELECT creative_id, slot_count, picked, source_count, coalesce(c, 0) AS error_count, coalesce(c, 0) = 0 AS passed, picked < slot_count AS partial FROM facts LEFT JOIN e USING (creative_id)"""))
+def _(s, sf):
+    return reports.composition_verdicts(*composition(s, sf))
+
+
 @query("repair_gaps", "E15", with_views("timeline", more={
     "n": """SELECT *, CASE flag WHEN 'N' THEN 'fixed_screenshot' ELSE 'highlight' END AS clip_type, candidate_id * 7 % 3000 AS si, lead(start_ms) OVER o AS next_ms, lead(clip_id) OVER o AS next_clip
   FROM timeline WINDOW o AS (PARTITION BY creative_id ORDER BY start_ms, pos)""",

@@ -35,5 +35,5 @@ def _(s, sf):
     music = beats(s, sf).withColumnRenamed("track_id", "pool_id").join(pools, "pool_id", "left_semi")
     done = plans.compose_batch(c, music, campaigns, registry, usage, weights=WEIGHTS, run_id="run-v1",
                                quotas=allocate.Quotas(creatives=4, candidate_uses=4, source_uses=12, group_authors=True, avoid_author_reuse=True))
-    broken = done.errors.groupBy("creative_id").agg(F.count("*").alias("errors"))
-    return done.timeline.groupBy("creative_id").agg(F.count("*").alias("clips"), F.max("end_ms").alias("end_ms")).join(broken, "creative_id", "left").fillna(0)
+    clips = done.timeline.groupBy("creative_id").agg(F.count("*").alias("clips"), F.max("end_ms").alias("end_ms"))
+    return clips.join(done.verdicts.select("creative_id", C("error_count").alias("errors"), "passed", "partial"), "creative_id")

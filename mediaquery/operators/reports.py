@@ -87,6 +87,29 @@ def pairwise_overlap(assignments: DataFrame) -> DataFrame:
                         (F.col("a_opener") == F.col("b_opener")).alias("opening_source_same"))
 
 
+def composition_errors(creatives: DataFrame, picks: DataFrame, timeline_errors: DataFrame, package_errors: DataFrame, target_sources: int = 0) -> DataFrame:
+    """(creative_id, error) of every planned creative, also of those that nothing was picked for.
+
+    ``creatives`` has creative_id and slot_count, ``picks`` creative_id and video_id, ``timeline_errors`` one error a
+    row, ``package_errors`` a list for each creative. Errors are rows, so that no creative's are gathered.
+    """
+    picked = picks.groupBy("creative_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("video_id").alias("sources"))
+    facts = creatives.join(picked, "creative_id", "left").fillna(0, ["n", "sources"])
+    counted = lambda text, have, want: F.concat(F.lit(text), F.col(have).cast("string"), F.lit("/"), want.cast("string"))
+    short = F.when(F.col("n") < F.col("slot_count"), counted("insufficient unique candidates: ", "n", F.col("slot_count")))
+    few = F.when(F.lit(target_sources > 0) & (F.col("sources") != target_sources), counted("insufficient distinct source videos: ", "sources", F.lit(target_sources)))
+    own = facts.select("creative_id", F.explode(F.array_compact(F.array(short, few))).alias("error"))
+    return timeline_errors.select("creative_id", "error").unionByName(package_errors.select("creative_id", F.explode("errors").alias("error"))).unionByName(own)
+
+
+def composition_verdicts(creatives: DataFrame, picks: DataFrame, errors: DataFrame) -> DataFrame:
+    """(creative_id, slot_count, picked, source_count, error_count, passed, partial) of every planned creative."""
+    picked = picks.groupBy("creative_id").agg(F.count(F.lit(1)).alias("picked"), F.count_distinct("video_id").alias("source_count"))
+    broken = errors.groupBy("creative_id").agg(F.count(F.lit(1)).alias("error_count"))
+    facts = creatives.select("creative_id", "slot_count").join(picked, "creative_id", "left").join(broken, "creative_id", "left").fillna(0, ["picked", "source_count", "error_count"])
+    return facts.withColumns({"passed": F.col("error_count") == 0, "partial": F.col("picked") < F.col("slot_count")})
+
+
 def shared_items(assignments: DataFrame, item: str = "candidate_id", key: str = "run_id", member: str = "creative_id") -> DataFrame:
     """(key, member, item, n, f, back) of items that two or more members of a key hold, written once.
 

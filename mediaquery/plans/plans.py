@@ -50,6 +50,7 @@ class Composition:
     ledger: DataFrame
     diversity: DataFrame
     pairs: DataFrame
+    verdicts: DataFrame
 
 
 def montage_slots(beats: DataFrame, pools: DataFrame, target_ms: int = 1_400) -> DataFrame:
@@ -65,7 +66,7 @@ def compose_batch(
     candidates: DataFrame, beats: DataFrame, campaigns: DataFrame, registry: DataFrame, usage: DataFrame, *,
     weights: DataFrame | Mapping[str, float], quotas: allocate.Quotas, run_id: str, duration_ms: int = 20_000,
 ) -> Composition:
-    """Fills every pool's creatives, validates the timelines and reserves what was used.
+    """Fills every pool's creatives, judges each of them, picks or none, and reserves what was used.
 
     ``candidates`` carries pool_id, stable candidate ids and author; ``campaigns`` has pool_id and the
     packaged asset ids.
@@ -80,14 +81,19 @@ def compose_batch(
     visual = named.join(slots, ["pool_id", "slot_index"]).withColumns({
         "clip_id": F.concat(F.lit("tl_"), F.lpad(F.col("slot_index").cast("string"), 3, "0")), "source_type": F.lit("ugc")})
     package = intervals.fixed_package_rows(campaigns.withColumn("campaign_id", F.col("pool_id")))
-    wrapped = named.select(F.col("pool_id").alias("campaign_id"), "creative_id").distinct().join(package, "campaign_id").drop("campaign_id")
+    # every planned creative, also those that nothing was picked for
+    counts = pools.join(slots.groupBy("pool_id").agg(F.count(F.lit(1)).alias("slot_count")), "pool_id", "left").fillna(0, ["slot_count"])
+    planned = counts.withColumn("creative_index", F.explode(F.sequence(F.lit(1), F.lit(quotas.creatives)))).select("pool_id", creative.alias("creative_id"), "slot_count")
+    wrapped = planned.select(F.col("pool_id").alias("campaign_id"), "creative_id").join(package, "campaign_id").drop("campaign_id")
     columns = ["creative_id", "clip_id", "source_type", "start_ms", "end_ms"]
     timeline = stage(visual.select(*columns, "candidate_id", "pos").unionByName(wrapped.select(*columns, "asset_id"), allowMissingColumns=True).fillna({"pos": 0}))
     wanted = named.select("candidate_id", "run_id", "creative_id", F.struct("creative_id", "pos").alias("seq"))
     new_registry, new_usage = ledger.reserve(registry, usage, wanted)
+    bad_package = intervals.package_errors(wrapped.withColumn("campaign_id", F.col("creative_id"))).withColumnRenamed("campaign_id", "creative_id")
+    errors = stage(reports.composition_errors(planned, named, intervals.timeline_errors(timeline, duration_ms), bad_package, quotas.target_sources))
     return Composition(
-        timeline, intervals.timeline_errors(timeline, duration_ms), named, new_registry, new_usage,
-        reports.diversity_summary(named, registry), reports.pairwise_overlap(named))
+        timeline, errors, named, new_registry, new_usage, reports.diversity_summary(named, registry), reports.pairwise_overlap(named),
+        reports.composition_verdicts(planned, named, errors))
 
 
 def run_report(usage: DataFrame, results: DataFrame, failures: DataFrame, history: DataFrame, creatives: DataFrame) -> dict[str, DataFrame]:
