@@ -477,7 +477,8 @@ def plain_rows(df):
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for view in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM read_parquet('{SF}/{view}.parquet')")
     rel = con.execute(queries.ORACLES[name])
     names = [d[0] for d in rel.description]
     rows = rel.fetchall()

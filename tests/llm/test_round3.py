@@ -10,10 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from contract.check import compare, oracle_connection
-from mediaquery.llm import chat, hardneg, queries, vqcode
+from mediaquery.llm import chat, hardneg, vqcode
 
-SF = "/root/testdata/sf0.001"
 NAN, INF = float("nan"), float("inf")
 VECTORS_DDL = "vec_id long, label int, embedding array<double>, id int, q string, code int"
 
@@ -206,11 +204,3 @@ def test_vector_codes_of_empty_and_large(spark):
     assert vqcode.compress(spark.createDataFrame([(1, None, [], 1, "x", 2)], VECTORS_DDL)).select("code", "error").collect() == [("00" * 16, 0)]
     with pytest.raises(Exception, match="smaller scale"):
         vqcode.compress(spark.createDataFrame([(1, 1, [1e30], 1, "x", 2)], VECTORS_DDL)).collect()
-
-
-# ---- the queries ------------------------------------------------------------------------------------
-
-@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_chat_format", "op13_vector_codes"])
-def test_query_equals_sql(spark, name):
-    ok, note = compare(spark, oracle_connection(SF), SF, name, queries.QUERIES[name], queries.ORACLES[name])
-    assert ok, note
