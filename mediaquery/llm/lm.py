@@ -1,69 +1,182 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network.
 
 Every token is masked in turn and predicted from the two words on either side: position-wise embeddings add up,
-a tanh layer follows, and two softmax steps give the token (first its class, then its place in the class). The
-summed conditional log-probabilities score a document. Words are hashed to ``classes`` squared tokens, so all
-words of the corpus count and the model has a fixed size.
+a tanh layer follows, and one softmax per step walks down a tree of words to the token. The summed conditional
+log-probabilities score a document.
+
+The vocabulary is a word count over all documents: every word with at least ``root(tokens) / 2`` occurrences
+(``LEAST`` at least) is a token of its own, so the vocabulary grows with the corpus and stays within twice that
+root. Rarer words share buckets, a quarter as many as words. A bucket's probability is divided by the different
+rare words that it holds on average, so a rare or garbled word does not get the probability of its bucket. The
+tree has ``BRANCHES`` branches at most and as many levels as the vocabulary needs, frequent words together, so
+the work of a token grows with the logarithm of the vocabulary.
 
 Training is data-parallel in numpy: each round every partition runs Adagrad over its own documents from the
 shared weights, and the weights are averaged by tokens seen. Documents are dealt to rounds by a hash of their
-text, so each is read once; the averaging gathers one set of weights per partition and round.
+text, so each trains once, in one of the rounds; the averaging gathers one set of weights per partition and round.
 
-Null, empty and blank texts have no tokens: sum 0 and no mean. Repeated rows get equal scores. With no tokens at
-all the starting weights score. Extra columns are not used.
+Null, empty and blank texts have no tokens: sum 0 and no mean. Repeated rows count and train as often as they
+stand there and get equal scores; of words that tie in frequency the smaller hash comes first. With no tokens at
+all the starting weights score. Very long texts are cut into words in pieces. Extra columns are not used.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLASSES = 40
+BRANCHES = 16
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 1024
 ROUNDS = 2
 RATE = 0.4
+#: Occurrences that a word of the vocabulary needs, however small the corpus.
+LEAST = 3
+#: Characters that are cut into words at once.
+PIECE = 1 << 20
 _BLOCK = 4096
+_COUNTED = 1 << 20
 _EPS = np.float32(1e-6)
+_BLANK = re.compile(r"[\t-\r ]")
 
 
-def tokens(texts: list[str | None], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts in order, and each text's number of tokens; words are runs of non-blank characters."""
-    joined = "\n".join((t or "").replace("\n", " ") for t in texts)
+def _piece_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    joined = "\n".join(t.replace("\n", " ") for t in texts)
     points = np.frombuffer((" " + joined + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     inside = (points > 32) | (points < 9) | ((points > 13) & (points != 32))
     begins = np.nonzero(inside[1:] & ~inside[:-1])[0] + 1
     if not len(begins):
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    # a word's hash sums the hashes of its neighbouring character pairs; all blanks before it are alike
-    mixed = points * np.uint32(0x85EBCA6B)
-    mixed *= inside
-    mixed[1:] = mixed[:-1] + points[1:]
-    mixed *= np.uint32(0x9E3779B1)
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= np.uint32(0x2C1B3C6D)
-    mixed *= inside
-    word = np.add.reduceat(mixed, begins)
-    word ^= word >> np.uint32(16)
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    # a word's hash sums the mixed hashes of its characters and their places in the word
+    stops = np.nonzero(inside[:-1] & ~inside[1:])[0] + 1
+    sizes = stops - begins
+    heads = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(heads, sizes)
+    mixed = points[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed += place.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    words = np.add.reduceat(mixed, heads)
     ends = np.nonzero(points == 10)[0]
-    counts = np.diff(np.searchsorted(begins, ends), prepend=0)
-    return (word % np.uint32(classes * classes)).astype(np.int32), counts
+    return words, np.diff(np.searchsorted(begins, ends), prepend=0)
+
+
+def _pieces(text: str) -> list[str]:
+    """A text cut at blanks into pieces of ``PIECE`` characters; a longer word stays whole."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        cut = _BLANK.search(text, at + PIECE)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and each text's number of words; words are runs of non-blank characters."""
+    texts = [t or "" for t in texts]
+    if max(map(len, texts), default=0) <= PIECE:
+        return _piece_hashes(texts)
+    every, counts = [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        for piece in _pieces(text):
+            words, n = _piece_hashes([piece])
+            every.append(words)
+            counts[k] += n.sum()
+    return np.concatenate(every), counts
+
+
+@dataclass
+class Vocabulary:
+    """Words of their own by descending frequency, then buckets of rare words."""
+
+    hashes: np.ndarray  # uint64, ascending
+    ids: np.ndarray  # the token of each hash
+    buckets: int = LEAST
+    rare: float = 1.0  # different rare words per bucket
+
+    @property
+    def size(self) -> int:
+        return len(self.hashes) + self.buckets
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in order, and each text's number of tokens."""
+        words, counts = word_hashes(texts)
+        out = (len(self.hashes) + (words >> np.uint64(7)) % np.uint64(self.buckets)).astype(np.int32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+            known = self.hashes[at] == words
+            out[known] = self.ids[at[known]]
+        return out, counts
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """The vocabulary of all texts, by a word count in Spark; at most twice the root of the tokens comes to the driver."""
+    out = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], schema=out)
+
+        for _, texts in _texts(batches, 0):
+            held.append(word_hashes(texts)[0])
+            n += len(held[-1])
+            if n >= _COUNTED:
+                yield flush()
+                n = 0
+        if n:
+            yield flush()
+
+    counted = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    try:
+        whole = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
+        least = max(LEAST, math.ceil(math.sqrt(whole["tokens"]) / 2))
+        found = counted.where(F.col("n") >= least).toPandas()
+    finally:
+        counted.unpersist()
+    words, n = found["word"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    ids = np.empty(len(words), np.int32)
+    ids[np.lexsort((words, -n))] = np.arange(len(words), dtype=np.int32)
+    order = np.argsort(words)
+    buckets = len(words) // 4 + LEAST
+    return Vocabulary(words[order], ids[order], buckets, max(1.0, (whole["words"] - len(words)) / buckets))
 
 
 class Network:
-    """Weights by name; the last embedding row stands for places outside the text."""
+    """Weights by name; the last embedding row stands for places outside the text.
 
-    def __init__(self, classes: int = CLASSES, width: int = WIDTH, seed: int = 7) -> None:
+    ``node`` holds an embedding and the biases of the branches for every inner node of the tree, level by level.
+    """
+
+    def __init__(self, size: int, width: int = WIDTH, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.classes, self.size = classes, classes * classes
+        self.size, self.width, self.depth, self.base = size, width, 1, 2
+        while BRANCHES**self.depth < size:
+            self.depth += 1
+        while self.base**self.depth < size:
+            self.base += 1
+        powers = [self.base**k for k in range(self.depth + 1)]
+        self.first = [sum(powers[:k]) for k in range(self.depth + 1)]  # first node of each level
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.w = {"embed": draw(len(OFFSETS), self.size + 1, width), "bias": np.zeros(width, np.float32), "to_class": draw(width, classes), "class_bias": np.zeros(classes, np.float32),
-                  "class_embed": draw(classes, width), "to_member": draw(width, classes), "member_bias": np.zeros((classes, classes), np.float32)}
+        node = np.concatenate([draw(self.first[-1], width), np.zeros((self.first[-1], self.base), np.float32)], axis=1)
+        for level in range(self.depth):  # branches without a word
+            start = np.arange(powers[level + 1]).reshape(-1, self.base) * powers[self.depth - 1 - level]
+            node[self.first[level] : self.first[level + 1], width:][start >= size] = -30
+        self.w = {"embed": draw(len(OFFSETS), size + 1, width), "bias": np.zeros(width, np.float32), "branch": draw(self.depth, width, self.base), "node": node}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.w.values()])
@@ -75,45 +188,51 @@ class Network:
             at += x.size
         return self
 
-    def _sum_embeddings(self, context: np.ndarray) -> np.ndarray:
+    def path(self, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(node, branch) of the targets on every level."""
+        out, prefix = [], np.zeros_like(target)
+        for level in range(self.depth):
+            below = target // self.base ** (self.depth - 1 - level)
+            out.append((self.first[level] + prefix, below - prefix * self.base))
+            prefix = below
+        return out
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
         out = self.w["embed"][0].take(context[0], axis=0, mode="clip")
         for k in range(1, len(OFFSETS)):
             out += self.w["embed"][k].take(context[k], axis=0, mode="clip")
         out += self.w["bias"]
+        return np.tanh(out, out=out)
+
+    def bounds(self) -> list[float]:
+        """No logit of a level is larger: the hidden layer stays within 1."""
+        out = []
+        for level in range(self.depth):
+            node = self.w["node"][self.first[level] : self.first[level + 1]]
+            out.append(float(((1 + np.abs(node[:, : self.width]).max(axis=0)) @ np.abs(self.w["branch"][level])).max() + np.abs(node[:, self.width :]).max()))
         return out
 
-    def bounds(self) -> tuple[float, float]:
-        """No logit of either step is larger: the hidden layer stays within 1."""
-        w = self.w
-        first = np.abs(w["to_class"]).sum(axis=0).max() + np.abs(w["class_bias"]).max()
-        second = ((1 + np.abs(w["class_embed"]).max(axis=0)) @ np.abs(w["to_member"])).max() + np.abs(w["member_bias"]).max()
-        return float(first), float(second)
-
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, bounds: list[float]) -> np.ndarray:
         """As ``forward``, without what only training needs."""
-        w = self.w
-        hidden = self._sum_embeddings(context)
-        np.tanh(hidden, out=hidden)
-        high, low = target // self.classes, target % self.classes
-        rows = np.arange(len(target))
-        z = hidden @ w["to_class"]
-        z += w["class_bias"]
-        out = z[rows, high] - _log_total(z, bounds[0])
-        hidden += w["class_embed"][high]
-        z = hidden @ w["to_member"]
-        z += w["member_bias"][high]
-        return out + z[rows, low] - _log_total(z, bounds[1])
+        hidden, rows, out = self.hidden(context), np.arange(len(target)), np.zeros(len(target))
+        for level, (node, branch) in enumerate(self.path(target)):
+            own = self.w["node"].take(node, axis=0) if level else self.w["node"][:1]
+            z = (hidden + own[:, : self.width]) @ self.w["branch"][level]
+            z += own[:, self.width :]
+            out += z[rows, branch] - _log_total(z, bounds[level])
+        return out
 
     def forward(self, context: np.ndarray, target: np.ndarray):
         """context: (offsets, tokens). Log-probabilities of the targets and what the backward pass needs."""
-        w = self.w
-        hidden = np.tanh(self._sum_embeddings(context))
-        high, low = target // self.classes, target % self.classes
-        rows = np.arange(len(target))
-        first, log_first = _softmax(hidden @ w["to_class"] + w["class_bias"], high, rows)
-        second_in = hidden + w["class_embed"][high]
-        second, log_second = _softmax(second_in @ w["to_member"] + w["member_bias"][high], low, rows)
-        return log_first + log_second, (hidden, high, low, rows, first, second_in, second)
+        hidden, rows, logs, steps = self.hidden(context), np.arange(len(target)), 0.0, []
+        for level, (node, branch) in enumerate(self.path(target)):
+            own = self.w["node"].take(node, axis=0) if level else self.w["node"][:1]
+            into = hidden + own[:, : self.width]
+            share, log = _softmax(into @ self.w["branch"][level] + own[:, self.width :], branch, rows)
+            share[rows, branch] -= 1
+            logs = logs + log
+            steps.append((node, into, share))
+        return logs, hidden, steps
 
 
 def _log_total(z: np.ndarray, bound: float) -> np.ndarray:
@@ -147,34 +266,30 @@ class Trainer:
         self.net, self.seen = net, 0
         self.power = {k: np.full_like(x, 1e-2) for k, x in net.w.items()}
 
-    def _dense(self, name: str, grad: np.ndarray) -> None:
-        self.power[name] += grad * grad
-        self.net.w[name] -= RATE * grad / np.sqrt(self.power[name] + _EPS)
-
-    def _rows(self, name: str, index: np.ndarray, grad: np.ndarray, part: int | None = None) -> None:
-        rows, sums = _sum_rows(index, grad)
-        power = self.power[name] if part is None else self.power[name][part]
-        weights = self.net.w[name] if part is None else self.net.w[name][part]
-        power[rows] += sums * sums
-        weights[rows] -= RATE * sums / np.sqrt(power[rows] + _EPS)
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> list[tuple]:
+        """(name, place, gradient) of the mean negative log-probability; places are rows of a weight or all of it."""
+        net, n = self.net, np.float32(len(target))
+        _, hidden, steps = net.forward(context, target)
+        back, out = 0.0, []
+        for level, (node, into, delta) in enumerate(steps):
+            delta /= n
+            own = delta @ net.w["branch"][level].T
+            back = back + own
+            out.append(("branch", level, into.T @ delta))
+            both = np.concatenate([own, delta], axis=1)
+            out.append(("node", *(_sum_rows(node, both) if level else (0, both.sum(axis=0)))))
+        back *= 1 - hidden * hidden
+        out.append(("bias", ..., back.sum(axis=0)))
+        for k in range(len(OFFSETS)):
+            rows, sums = _sum_rows(context[k], back)
+            out.append(("embed", (k, rows), sums))
+        return out
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        w, n = self.net.w, np.float32(len(target))
-        _, (hidden, high, low, rows, first, second_in, second) = self.net.forward(context, target)
-        first[rows, high] -= 1
-        second[rows, low] -= 1
-        first /= n
-        second /= n
-        back = second @ w["to_member"].T
-        grad = (first @ w["to_class"].T + back) * (1 - hidden * hidden)
-        self._dense("to_class", hidden.T @ first)
-        self._dense("class_bias", first.sum(axis=0))
-        self._dense("to_member", second_in.T @ second)
-        self._rows("member_bias", high, second)
-        self._rows("class_embed", high, back)
-        self._dense("bias", grad.sum(axis=0))
-        for k in range(len(OFFSETS)):
-            self._rows("embed", context[k], grad, k)
+        for name, at, grad in self.gradients(context, target):
+            power = self.power[name][at] + grad * grad
+            self.power[name][at] = power
+            self.net.w[name][at] -= RATE * grad / np.sqrt(power + _EPS)
         self.seen += len(target)
 
 
@@ -189,80 +304,99 @@ def windows(ids: np.ndarray, counts: np.ndarray, outside: int) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of rows whose texts have about ``PIECE`` bytes together, or one longer text."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
+        sizes = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)])
+        k = 0
+        while k < batch.num_rows:
+            end = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + PIECE, side="right")))
+            part = batch.slice(k, end - k)
             yield part, part.column(column).to_pylist()
+            k = end
+
 
+@dataclass
+class Model:
+    words: Vocabulary
+    flat: np.ndarray
 
-def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> np.ndarray:
-    """Flat weights after ``rounds`` rounds over all documents."""
+    def network(self) -> Network:
+        return Network(self.words.size).load(self.flat)
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> Model:
+    """Vocabulary and weights after ``rounds`` rounds over all documents."""
     context = docs.sparkSession.sparkContext
-    flat = Network().flat()
+    words = vocabulary(docs, text)
+    flat = Network(words.size).flat()
     dealt = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).withColumn("turn", F.pmod(F.xxhash64("text"), F.lit(rounds)))
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("weights", pa.binary()), ("seen", pa.float64())])
     for turn in range(rounds):
-        shared = context.broadcast(flat)
+        shared = context.broadcast(Model(words, flat))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            net = Network().load(shared.value)
+            net, own = shared.value.network(), shared.value.words
             trainer = Trainer(net)
             for _, texts in _texts(batches, 0):
-                ids, counts = tokens(texts, net.classes)
+                ids, counts = own.tokens(texts)
                 around = windows(ids, counts, net.size)
                 for k in range(0, len(ids), BATCH):
                     trainer.step(around[:, k : k + BATCH], ids[k : k + BATCH])
             if trainer.seen:
-                result, part = net.flat(), TaskContext.get().partitionId() % 64
+                result, part = net.flat(), TaskContext.get().partitionId()
                 for at in range(0, len(result), _BLOCK):
                     yield pa.RecordBatch.from_pylist([{"block": at // _BLOCK, "part": part, "weights": result[at : at + _BLOCK].tobytes(), "seen": float(trainer.seen)}], schema=schema)
 
         rows = dealt.where(F.col("turn") == turn).select("text").mapInArrow(run, _WEIGHTS)
-        # two levels, so that no task meets the weights of all partitions
-        some = _averaged(rows, ["block", "part"])
-        blocks = _averaged(some.withColumn("part", F.lit(0)), ["block", "part"]).select("block", "weights").collect()
+        # three levels of at most 64 (for up to 262,144 partitions), so that no task meets the weights of all partitions
+        for _ in range(2):
+            rows = _averaged(rows.withColumn("part", F.expr("part div 64").cast("int")))
+        blocks = _averaged(rows.withColumn("part", F.lit(0))).select("block", "weights").collect()
+        flat = flat.copy()
         for r in blocks:  # one set of weights
             part = np.frombuffer(r["weights"], dtype=np.float32)
             flat[r["block"] * _BLOCK : r["block"] * _BLOCK + len(part)] = part
-        flat = flat.copy()
-    return flat
+        shared.unpersist()
+    return Model(words, flat)
 
 
 _WEIGHTS = "block int, part int, weights binary, seen double"
 
 
-def _averaged(rows: DataFrame, by: list[str]) -> DataFrame:
+def _averaged(rows: DataFrame) -> DataFrame:
     def mean(table: pa.Table) -> pa.Table:
         seen = table.column("seen").to_numpy()
         total = sum(np.frombuffer(x.as_py(), dtype=np.float32).astype(np.float64) * s for x, s in zip(table.column("weights"), seen, strict=True))
         out = {"block": [table.column("block")[0].as_py()], "part": [table.column("part")[0].as_py()], "weights": [(total / seen.sum()).astype(np.float32).tobytes()], "seen": [float(seen.sum())]}
         return pa.table(out, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("weights", pa.binary()), ("seen", pa.float64())]))
 
-    return rows.groupBy(*by).applyInArrow(mean, _WEIGHTS)
+    return rows.groupBy("block", "part").applyInArrow(mean, _WEIGHTS)
 
 
-def score_texts(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def score_texts(net: Network, words: Vocabulary, texts: list[str | None], bounds: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Summed log-probabilities and token counts of texts."""
-    ids, counts = tokens(texts, net.classes)
-    around, logs, bounds = windows(ids, counts, net.size), np.zeros(len(ids)), net.bounds()
+    ids, counts = words.tokens(texts)
+    around, logs, bounds = windows(ids, counts, net.size), np.zeros(len(ids)), bounds or net.bounds()
     for k in range(0, len(ids), BATCH):
         logs[k : k + BATCH] = net.log_probabilities(around[:, k : k + BATCH], ids[k : k + BATCH], bounds)
+    logs[ids >= len(words.hashes)] -= math.log(words.rare)
     ends = np.cumsum(counts)
     sums = np.concatenate([[0.0], np.cumsum(logs)])
     return sums[ends] - sums[ends - counts], counts
 
 
-def score(docs: DataFrame, flat: np.ndarray, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, pll, pll_per_token) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(flat)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network().load(shared.value)
+        net, words = shared.value.network(), shared.value.words
+        bounds = net.bounds()
         for part, texts in _texts(batches, 1):
-            sums, counts = score_texts(net, texts)
+            sums, counts = score_texts(net, words, texts, bounds)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], schema=out)
 
     done = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_tokens long, pll double")

@@ -1,8 +1,10 @@
 """Operators of the training-data pipeline against brute force, round trips and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -133,29 +135,118 @@ def test_language_model_prefers_its_corpus(spark):
     names = [[f"{c}{i}" for i in range(5)] for c in "abcd"]
     text = lambda n: " ".join(rng.choice(names[k % 4]) for k in range(n))
     corpus = spark.createDataFrame([(i, text(200)) for i in range(400)], ODD_DDL).repartition(4)
-    flat = lm.train(corpus)
+    model = lm.train(corpus)
+    assert len(model.words.hashes) == 20
     mixed = text(400).split()
     rng.shuffle(mixed)
-    rows = spark.createDataFrame([(1, text(400)), (2, " ".join(mixed)), (3, None), (4, "")], ODD_DDL)
-    got = {r["doc_id"]: r for r in lm.score(rows, flat).collect()}
+    garbled = " ".join(w[::-1] for w in text(400).split())
+    rows = spark.createDataFrame([(1, text(400)), (2, " ".join(mixed)), (3, None), (4, ""), (5, garbled)], ODD_DDL)
+    got = {r["doc_id"]: r for r in lm.score(rows, model).collect()}
     assert got[1]["pll_per_token"] > got[2]["pll_per_token"] + 0.3 and got[1]["n_tokens"] == 400
+    assert got[2]["pll_per_token"] > got[5]["pll_per_token"], "letters in another order are other words"
     assert got[3]["pll"] == got[4]["pll"] == 0 and got[3]["pll_per_token"] is None
     assert lm.score(rows.limit(0), lm.train(rows.limit(0))).count() == 0
+    assert lm.score(rows, lm.train(rows.where("doc_id in (3, 4)"))).count() == 5
 
 
-def test_language_model_tokens_and_gradient():
-    texts = [None, "", "a  bc\nd\x0be ", "x"]
-    ids, counts = lm.tokens(texts)
-    assert counts.tolist() == [0, 0, 4, 1] and ids.max() < lm.CLASSES**2
-    again, _ = lm.tokens(["zz bc zz"])
-    assert again[1] == ids[1] and again[0] == again[2]
-    around = lm.windows(ids, counts, 9_999)
-    assert around[:, 0].tolist() == [9_999, 9_999, ids[1], ids[2]] and around[:, 4].tolist() == [9_999] * 4
-    net = lm.Network()
-    around = np.where(around == 9_999, net.size, around)
-    logs, _ = net.forward(around, ids)
-    assert np.allclose(logs, net.log_probabilities(around, ids, net.bounds()), atol=1e-4)
-    assert np.allclose(lm.score_texts(net, ["a bc"])[0], lm.score_texts(net, ["zz", "a bc", None])[0][1], atol=1e-4)
+def test_vocabulary_is_a_word_count_that_grows_with_the_corpus(spark):
+    rng = random.Random(5)
+    size = {}
+    for n in (200, 4_000):
+        texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 5_000}" for _ in range(50)) for _ in range(n)]
+        df = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (-1, None)], ODD_DDL).repartition(3)
+        counts = Counter(w for t in texts for w in t.split())
+        least = max(lm.LEAST, math.ceil(math.sqrt(sum(counts.values())) / 2))
+        frequent = [w for w, c in counts.items() if c >= least]
+        found = lm.vocabulary(df)
+        assert sorted(found.hashes.tolist()) == sorted(int(lm.word_hashes([w])[0][0]) for w in frequent)
+        assert len(frequent) <= 2 * math.sqrt(sum(counts.values())), "the stated bound"
+        assert found.rare == max(1.0, (len(counts) - len(frequent)) / found.buckets)
+        ids = {w: int(found.tokens([w])[0][0]) for w in counts}
+        by_id = sorted(frequent, key=ids.get)
+        assert [ids[w] for w in by_id] == list(range(len(frequent))) and all(counts[a] >= counts[b] for a, b in zip(by_id, by_id[1:]))
+        assert all(len(frequent) <= ids[w] < found.size for w in counts if w not in frequent)
+        size[n] = len(frequent)
+    assert size[4_000] > 1.5 * size[200]
+
+
+def test_words_of_long_texts_are_cut_in_pieces(monkeypatch):
+    texts = ["a b" * 50, None, "", "long" * 30 + " x\ty\x0bz \u00e9\U0001f600 ", " "]
+    words, counts = lm.word_hashes(texts)
+    want = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    same = {}
+    for w, h in zip([w for ws in want for w in ws], words.tolist(), strict=True):
+        assert same.setdefault(w, h) == h
+    assert len(set(same.values())) == len(same)
+    monkeypatch.setattr(lm, "PIECE", 7)
+    again, cut = lm.word_hashes(texts)
+    assert again.tolist() == words.tolist() and cut.tolist() == counts.tolist()
+
+
+def small_model(size=23, width=5):
+    hashes = np.sort(lm.word_hashes([" ".join(f"w{k}" for k in range(size - 3))])[0])
+    words = lm.Vocabulary(hashes, np.random.default_rng(2).permutation(len(hashes)).astype(np.int32), 3, 4.0)
+    net = lm.Network(words.size, width)
+    rng = np.random.default_rng(4)
+    for x in net.w.values():
+        x += np.where(x == -30, 0, rng.normal(0, 0.3, x.shape)).astype(np.float32)
+    return words, net
+
+
+def test_pseudo_likelihood_equals_a_softmax_over_all_words(monkeypatch):
+    monkeypatch.setattr(lm, "BRANCHES", 3)
+    words, net = small_model()
+    assert net.depth == 3 and net.base == 3
+    texts = ["w1 w2 unknown w3 w1", None, "", "w5", " ".join(f"w{k % 29}" for k in range(60))]
+    got, counts = lm.score_texts(net, words, texts)
+    for text, total, n in zip(texts, got, counts, strict=True):
+        ids = words.tokens([text])[0].tolist()
+        assert n == len(ids)
+        want = 0.0
+        for k, token in enumerate(ids):
+            around = [ids[k + o] if 0 <= k + o < len(ids) else net.size for o in lm.OFFSETS]
+            hidden = np.tanh(sum(net.w["embed"][j][t].astype(float) for j, t in enumerate(around)) + net.w["bias"])
+            chance = {}
+            for leaf in range(net.size):
+                digits, rest = [], leaf
+                for _ in range(net.depth):
+                    digits.insert(0, rest % net.base)
+                    rest //= net.base
+                p, prefix = 1.0, 0
+                for level, d in enumerate(digits):
+                    node = net.w["node"][sum(net.base**q for q in range(level)) + prefix].astype(float)
+                    z = np.exp((hidden + node[: net.width]) @ net.w["branch"][level] + node[net.width :])
+                    p *= z[d] / z.sum()
+                    prefix = prefix * net.base + d
+                chance[leaf] = p
+            assert abs(sum(chance.values()) - 1) < 1e-6, "one distribution over all words and buckets"
+            want += math.log(chance[token]) - (math.log(words.rare) if token >= len(words.hashes) else 0)
+        assert abs(total - want) < 1e-4 * max(1, n)
+    assert np.allclose(got, [lm.score_texts(net, words, [t])[0][0] for t in texts], atol=1e-3)
+
+
+def test_gradients_equal_differences_of_the_loss(monkeypatch):
+    monkeypatch.setattr(lm, "BRANCHES", 3)
+    words, net = small_model()
+    net.w = {k: x.astype(np.float64) for k, x in net.w.items()}
+    ids, counts = words.tokens(["w1 w2 w2 unknown w3", "w9 w1 w7"])
+    around = lm.windows(ids, counts, net.size)
+    whole = {k: np.zeros_like(x) for k, x in net.w.items()}
+    for name, at, grad in lm.Trainer(net).gradients(around, ids):
+        whole[name][at] += grad
+    loss = lambda: -net.forward(around, ids)[0].mean()
+    for name, x in net.w.items():
+        for at in np.ndindex(x.shape):
+            if abs(x[at]) >= 29:
+                continue
+            kept = x[at]
+            x[at] = kept + 1e-5
+            high = loss()
+            x[at] = kept - 1e-5
+            low = loss()
+            x[at] = kept
+            assert abs((high - low) / 2e-5 - whole[name][at]) < 1e-6, (name, at)
 
 
 # ---- 4: WARC ----------------------------------------------------------------------------------------
