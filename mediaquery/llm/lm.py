@@ -244,7 +244,8 @@ def _log_total(z: np.ndarray, bound: float) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray, target: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    z -= z.max(axis=1, keepdims=True)
+    if not (z.max() < 80 and z.min() > -80):  # else no exponential overflows or vanishes
+        z -= z.max(axis=1, keepdims=True)
     picked = z[rows, target]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
@@ -252,10 +253,13 @@ def _softmax(z: np.ndarray, target: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return z, picked - np.log(total)
 
 
-def _sum_rows(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(index, kind="stable")
+def _sum_rows(index: np.ndarray, grad: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    # 16-bit keys are sorted by radix
+    order = np.argsort(index.astype(np.uint16) if size <= 1 << 16 else index, kind="stable")
     ordered = index[order]
-    first = np.nonzero(np.r_[True, ordered[1:] != ordered[:-1]])[0]
+    change = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=change[1:])
+    first = np.flatnonzero(change)
     return ordered[first], np.add.reduceat(grad[order], first, axis=0)
 
 
@@ -277,11 +281,11 @@ class Trainer:
             back = back + own
             out.append(("branch", level, into.T @ delta))
             both = np.concatenate([own, delta], axis=1)
-            out.append(("node", *(_sum_rows(node, both) if level else (0, both.sum(axis=0)))))
+            out.append(("node", *(_sum_rows(node, both, net.first[-1]) if level else (0, both.sum(axis=0)))))
         back *= 1 - hidden * hidden
         out.append(("bias", ..., back.sum(axis=0)))
         for k in range(len(OFFSETS)):
-            rows, sums = _sum_rows(context[k], back)
+            rows, sums = _sum_rows(context[k], back, net.size + 1)
             out.append(("embed", (k, rows), sums))
         return out
 
