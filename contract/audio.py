@@ -108,21 +108,40 @@ def _(s, sf):
     return audio.beat_intervals(beats, KEY, FR).select("audio_id", "beats", F.round("mean_gap", 6).alias("mean_gap"), "stability")
 
 
-@query("audio_features", "D23", with_views("pcm", recursive=True, more={**CHAIN,
+FEATURES = {**CHAIN,
     "st": """SELECT audio_id, count(*) AS beats, CASE WHEN count(*) >= 4 THEN round(greatest(0, least(1, 1 - stddev_pop(g) / avg(g))), 4) ELSE 0 END AS stability
   FROM (SELECT audio_id, lead(fr_at) OVER (PARTITION BY audio_id ORDER BY fr_at) * 50 / 2205 - fr_at * 50 / 2205 AS g FROM walk) GROUP BY 1""",
     "bq": "SELECT w.audio_id, avg(onset) AS b FROM walk w JOIN ons o ON o.audio_id = w.audio_id AND o.frame_idx = floor(w.fr_at * 50 / 2205 * 2205 / 50) GROUP BY 1",
     "ag": "SELECT audio_id, avg(rms) AS mean_rms, quantile_cont(rms, 0.95) AS r95, quantile_cont(onset, 0.95) AS o95 FROM ons GROUP BY 1",
     "z": """SELECT audio_id, round(bpm, 3) AS bpm, coalesce(beats, 0) AS beats, round(mean_rms, 6) AS mean_rms, round(least(1, mean_rms / r95), 4) AS energy, round(least(1, coalesce(b, 0) / o95), 4) AS beat_quality,
-  coalesce(stability, 0) AS stability, CASE WHEN bpm < 90 THEN 0.55 WHEN bpm < 120 THEN 0.82 WHEN bpm <= 150 THEN 1 WHEN bpm <= 180 THEN 0.72 ELSE 0.35 END::DOUBLE AS fit
-  FROM ag JOIN tempo USING (audio_id) LEFT JOIN st USING (audio_id) LEFT JOIN bq USING (audio_id)"""}, body="""
-SELECT audio_id, bpm, beats, mean_rms, energy, beat_quality, stability, round(beat_quality * 0.4::DOUBLE + energy * 0.25::DOUBLE + stability * 0.2::DOUBLE + fit * 0.15::DOUBLE, 4) AS raw_score FROM z"""))
+  coalesce(stability, 0) AS stability, CASE WHEN bpm <= 0 THEN 0 WHEN bpm < 90 THEN 0.55 WHEN bpm < 120 THEN 0.82 WHEN bpm <= 150 THEN 1 WHEN bpm <= 180 THEN 0.72 ELSE 0.35 END::DOUBLE AS fit
+  FROM ag JOIN tempo USING (audio_id) LEFT JOIN st USING (audio_id) LEFT JOIN bq USING (audio_id)"""}
+RAW_SCORE = "round(beat_quality * 0.4::DOUBLE + energy * 0.25::DOUBLE + stability * 0.2::DOUBLE + fit * 0.15::DOUBLE, 4)"
+
+
+@query("audio_features", "D23", with_views("pcm", recursive=True, more=FEATURES, body=f"SELECT audio_id, bpm, beats, mean_rms, energy, beat_quality, stability, {RAW_SCORE} AS raw_score FROM z"))
 def _(s, sf):
     out = audio.audio_features(views.pcm(s, sf), KEY, FR, minimum_seconds=1.0)
     return out.select("audio_id", F.round("bpm", 3).alias("bpm"), "beats", F.round("mean_rms", 6).alias("mean_rms"), "energy", "beat_quality", "stability", "raw_score")
 
 
-@query("best_window", "E24")
+# Every window is a track of its own, numbered track * 2^32 + start; windows of a second score their raw score, as the
+# rules of long audio can't apply and the others stay under the bar.
+WINDOWS = {
+    "len": "SELECT audio_id AS track, count(*) AS n FROM pcm0 GROUP BY 1",
+    "win": """SELECT track, least(n, 1500) AS size, unnest(range(0, n - 1500 + 1, 500)) AS start FROM len WHERE n > 1600 UNION ALL SELECT track, n, 0 FROM len WHERE n <= 1600
+  UNION ALL SELECT track, 1500, n - 1500 FROM len WHERE n > 1600 AND (n - 1500) % 500 > 150""",
+    "pcm": "SELECT track * 4294967296 + start AS audio_id, idx - start AS idx, sample FROM win JOIN pcm0 ON pcm0.audio_id = track AND idx >= start AND idx < start + size"}
+
+
+def renamed_pcm(more, body):
+    """The views with the driver's samples as ``pcm0``."""
+    return with_views("pcm", recursive=True, more=more, body=body).replace("pcm AS (", "pcm0 AS (", 1)
+
+
+@query("best_window", "E24", renamed_pcm({**WINDOWS, **FEATURES}, f"""
+SELECT track AS audio_id, start, start + size AS "end", score FROM (SELECT track, start, size, {RAW_SCORE} AS score FROM win JOIN z ON audio_id = track * 4294967296 + start)
+QUALIFY row_number() OVER (PARTITION BY track ORDER BY score DESC, start) = 1"""))
 def _(s, sf):
     return audio.best_window(views.pcm(s, sf), "audio_id", FR, target=1_500, step=500, slack=100, final_gap=150)
 

@@ -6,6 +6,7 @@ frames, in chunks with halos, so a single long track spreads over many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -78,18 +79,18 @@ def adaptive_mix(
         F.round(duck, 3).alias("ducking_db"), F.round(scoring.gain_to_volume(music_gain + duck), 6).alias("ducked_volume"))
 
 
-def frame_rms(samples: DataFrame, keys: Sequence[str], framing: Framing, max_amp: float = 1.0, chunk: int = CHUNK) -> DataFrame:
-    """Root mean square of hopping frames.
-
-    Each hop block is summed once (map-side combined); a frame is a run of whole blocks plus the head
-    of the next one, so no sample is copied to its overlapping frames.
-    """
-    hop, whole, rest = framing.hop, framing.frame // framing.hop, framing.frame % framing.hop
+def hop_sums(samples: DataFrame, keys: Sequence[str], framing: Framing, max_amp: float = 1.0) -> DataFrame:
+    """Sums of squares and counts of hop blocks (``frame_idx``) and of the block heads that end a frame (map-side combined)."""
     square = (F.col("sample") / max_amp) * (F.col("sample") / max_amp)
-    head = F.col("idx") % hop < rest
-    blocks = samples.groupBy(*keys, F.floor(F.col("idx") / hop).alias("frame_idx")).agg(
+    head = F.col("idx") % framing.hop < framing.frame % framing.hop
+    return samples.groupBy(*keys, F.floor(F.col("idx") / framing.hop).alias("frame_idx")).agg(
         F.sum(square).alias("__s"), F.count(F.lit(1)).alias("__n"),
         F.sum(F.when(head, square).otherwise(0.0)).alias("__hs"), F.sum(F.when(head, 1).otherwise(0)).alias("__hn"))
+
+
+def frames_of_hops(blocks: DataFrame, keys: Sequence[str], framing: Framing, chunk: int = CHUNK) -> DataFrame:
+    """Root mean square of the frames that start at each hop block: a run of whole blocks plus the head of the next one."""
+    whole = framing.frame // framing.hop
     haloed = with_halo(blocks, "frame_idx", chunk, after=whole)
     order = W.partitionBy(*keys, BIN).orderBy("frame_idx")
     run = order.rowsBetween(0, whole - 1)
@@ -100,6 +101,14 @@ def frame_rms(samples: DataFrame, keys: Sequence[str], framing: Framing, max_amp
         *keys, "frame_idx", F.sqrt(F.col("__t") / F.col("__c")).alias("rms"))
 
 
+def frame_rms(samples: DataFrame, keys: Sequence[str], framing: Framing, max_amp: float = 1.0, chunk: int = CHUNK) -> DataFrame:
+    """Root mean square of hopping frames.
+
+    Each hop block is summed once; frames are runs of blocks, so no sample is copied to its overlapping frames.
+    """
+    return frames_of_hops(hop_sums(samples, keys, framing, max_amp), keys, framing, chunk)
+
+
 def smooth(rows: DataFrame, keys: Sequence[str], column: str, radius: int, idx: str = "frame_idx", chunk: int = CHUNK) -> DataFrame:
     """Centred moving mean that shrinks at the ends of a track."""
     if radius <= 0:
@@ -257,11 +266,21 @@ def downsample(rows: DataFrame, keys: Sequence[str], column: str, points: int =
 
 
 def audio_features(samples: DataFrame, keys: Sequence[str], framing: Framing, *, minimum_seconds: float = 15.0, max_amp: float = 1.0) -> DataFrame:
-    """All scalar features of a track: tempo, energy, beat quality, stability, voice risk and score."""
+    """All scalar features of a track: tempo, energy, beat quality, stability, voice risk and score.
+
+    Samples are read once: their hop sums are written and give both the frames and the duration.
+    """
+    keys = list(keys)
+    blocks = cut_lineage(hop_sums(samples, keys, framing, max_amp))
+    length = blocks.groupBy(*keys).agg((F.sum("__n") / framing.sample_rate).alias("duration"))
+    return features_of_frames(frames_of_hops(blocks, keys, framing), length, keys, framing, minimum_seconds=minimum_seconds)
+
+
+def features_of_frames(rms: DataFrame, length: DataFrame, keys: Sequence[str], framing: Framing, *, minimum_seconds: float = 15.0) -> DataFrame:
+    """``audio_features`` from the frames of ``frame_rms`` and (keys, duration in seconds)."""
     keys = list(keys)
     # Stage tables: frames are hundreds of times smaller than samples and every feature reads them.
-    frames = cut_lineage(onset(frame_rms(samples, keys, framing, max_amp), keys))
-    length = samples.groupBy(*keys).agg((F.count(F.lit(1)) / framing.sample_rate).alias("duration"))
+    frames = cut_lineage(onset(rms, keys))
     tempo = cut_lineage(estimate_bpm(frames, keys, framing))
     beats = cut_lineage(track_beats(frames, tempo, keys, framing))
     levels = exact_percentiles(frames, keys, "rms", {"rms95": 0.95}).join(exact_percentiles(frames, keys, "onset", {"onset95": 0.95}), keys)
@@ -297,28 +316,50 @@ def best_window(
     """Best-scoring stretch of ``target`` samples per track, earliest on ties.
 
     Starts lie ``step`` samples apart; the last possible start is added when it is more than
-    ``final_gap`` (one second) behind them. Tracks within ``slack`` of the target stay whole. A sample
-    is copied only to the windows that hold it, and the copies collapse into hop sums in that stage.
+    ``final_gap`` (one second) behind them. Tracks within ``slack`` of the target stay whole. The
+    frames of a window are a range of its track's frames, so tracks are framed once for each residue
+    of starts modulo the hop (one if ``step`` is a multiple of it), and once more from the added
+    start where that has another residue; windows share frames, not samples. The target must hold
+    a frame. Tracks without samples have no row.
     """
+    if target < framing.frame:
+        raise ValueError(f"a window of {target} samples holds no frame of {framing.frame}")
     final_gap = framing.sample_rate if final_gap is None else final_gap
-    none = F.array().cast("array<bigint>")
     lengths = samples.groupBy(key).agg(F.count(F.lit(1)).alias("length"))
     whole, span = F.col("length") <= target + slack, F.col("length") - target
-    cut = lengths.select(
+    cut = cut_lineage(lengths.select(
         key, F.when(whole, F.col("length")).otherwise(target).alias("size"),
         F.when(whole, 0).otherwise(F.floor(span / step)).alias("top"),
-        F.when(~whole & (span - F.floor(span / step) * step > final_gap), span).alias("final"))
-    i, size = F.col("idx"), F.col("size")
-    low = F.greatest(F.lit(0).cast("long"), F.ceil((i - size + 1) / step))
-    high = F.least(F.floor(i / step), F.col("top"))
-    grid = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * step)).otherwise(none)
-    tail = F.when((i >= F.col("final")) & (i < F.col("final") + size), F.array("final")).otherwise(none)
-    placed = samples.join(cut, key).select(key, "idx", "sample", F.explode(F.concat(grid, tail)).alias("start"))
-    windows = placed.select(key, "start", (i - F.col("start")).alias("idx"), "sample")
-    scored = audio_features(windows, [key, "start"], framing, minimum_seconds=0.0)
+        F.when(~whole & (span - F.floor(span / step) * step > final_gap), span).alias("final")))
+    starts = F.concat(F.transform(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda k: k * step), F.when(F.col("final").isNotNull(), F.array("final")).otherwise(F.array().cast("array<bigint>")))
+    length = cut.select(key, (F.col("size") / framing.sample_rate).alias("duration"), F.explode(starts).alias("start"))
+    frames = _window_frames(samples, cut, key, framing, step)
+    scored = features_of_frames(frames, length, [key, "start"], framing, minimum_seconds=0.0)
     top = scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("start")).alias("back"))).alias("t"))
     start = -F.col("t.back")
-    return top.join(cut, key).select(key, start.alias("start"), (start + size).alias("end"), F.col("t.score").alias("score"))
+    return top.join(cut, key).select(key, start.alias("start"), (start + F.col("size")).alias("end"), F.col("t.score").alias("score"))
+
+
+def _window_frames(samples: DataFrame, cut: DataFrame, key: str, framing: Framing, step: int) -> DataFrame:
+    """(key, start, frame_idx, rms) of all windows of ``cut`` (key, size, top, final)."""
+    hop, frame = framing.hop, framing.frame
+    residues = list(range(0, hop, math.gcd(step, hop)))
+    known = (F.col("final") % hop).isin(residues)
+    # ``base``: the sample at which the first frame of a framing starts
+    shifted = samples.select(key, "idx", "sample", F.explode(F.array(*[F.lit(r).cast("long") for r in residues])).alias("base"))
+    tails = cut.where(F.col("final").isNotNull() & ~known).select(key, F.col("final").alias("base"))
+    shifted = shifted.unionByName(samples.join(tails, key).select(key, "idx", "sample", "base"))
+    based = shifted.where(F.col("idx") >= F.col("base")).withColumn("idx", F.col("idx") - F.col("base"))
+    at, size, base = F.col("base") + F.col("frame_idx") * hop, F.col("size"), F.col("base")
+    need = F.least(F.lit(frame), size)  # a track shorter than a frame has one frame, as long as it is
+    low = F.greatest(F.lit(0).cast("long"), F.ceil((at + need - size) / step))
+    high = F.least(F.floor(at / step), F.col("top"))
+    none = F.array().cast("array<bigint>")
+    grid = F.when(low <= high, F.filter(F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * step), lambda s: s % hop == base)).otherwise(none)
+    added = F.col("final").isNotNull() & ((F.col("final") % hop == base) | (F.col("final") == base)) & (at >= F.col("final")) & (at + need <= F.col("final") + size)
+    placed = frame_rms(based, [key, "base"], framing).join(cut, key)
+    placed = placed.select(key, at.alias("at"), "rms", F.explode(F.concat(grid, F.when(added, F.array("final")).otherwise(none))).alias("start"))
+    return placed.select(key, "start", ((F.col("at") - F.col("start")) / hop).cast("long").alias("frame_idx"), "rms")
 
 
 def tag_group_scores(tags: DataFrame, key: str = "clip_id") -> DataFrame:
