@@ -14,6 +14,7 @@ Repeated rows get the same score. Extra columns are not used.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -42,6 +43,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 FORMS = 2
 _QUOTES = "\"'`“”„‟‘’«»‹›"
 _TOKEN = re.compile(r"[^\W_]+")
+#: A quotation mark; between two letters it is an apostrophe.
+_MARK = re.compile(rf"(?<![^\W_])[{_QUOTES}]|[{_QUOTES}](?![^\W_])")
 _MEMO = 400_000
 
 
@@ -163,13 +166,15 @@ def hits(matcher: Matcher, text: str | None) -> list[Hit]:
     if not good:
         return []
     spans = [m.span() for m in _TOKEN.finditer(low)]
-    out = []
+    out, marks = [], None
     for k, w in enumerate(words):
         if w in good:
             entry, edits = matcher.match(w)
             first, last = max(0, k - WINDOW), min(len(words) - 1, k + WINDOW)
-            before, after = low[spans[first][0] : spans[k][0]], low[spans[k][1] : spans[last][1] + 1]
-            quoted = any(c in _QUOTES for c in before) and any(c in _QUOTES for c in after)
+            if marks is None:
+                marks = [m.start() for m in _MARK.finditer(low)]
+            before, after = bisect.bisect_left(marks, spans[k][0]), bisect.bisect_left(marks, spans[k][1])
+            quoted = before > 0 and marks[before - 1] >= spans[first][0] - 1 and after < len(marks) and marks[after] <= spans[last][1]
             out.append(Hit(entry, edits, quoted, words[first:k] + words[k + 1 : last + 1], *spans[k]))
     return out
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mediaquery.llm import chat, hardneg, vqcode
+from mediaquery.llm import chat, hardneg, toxicity, vqcode
 
 NAN, INF = float("nan"), float("inf")
 VECTORS_DDL = "vec_id long, label int, embedding array<double>, id int, q string, code int"
@@ -204,3 +204,26 @@ def test_vector_codes_of_empty_and_large(spark):
     assert vqcode.compress(spark.createDataFrame([(1, None, [], 1, "x", 2)], VECTORS_DDL)).select("code", "error").collect() == [("00" * 16, 0)]
     with pytest.raises(Exception, match="smaller scale"):
         vqcode.compress(spark.createDataFrame([(1, 1, [1e30], 1, "x", 2)], VECTORS_DDL)).collect()
+
+
+def test_quotation_marks_are_not_apostrophes():
+    matcher = toxicity.Matcher([("idiot", False)])
+    quoted = lambda text: [h.quoted for h in toxicity.hits(matcher, text)]
+    assert quoted("don't be an idiot, it's bad") == [False]
+    assert quoted("they said 'idiot' to me") == quoted('he wrote "you idiot" again') == quoted("«idiot»") == [True]
+    assert quoted("it's 'an idiot' they'd say") == [True] and quoted("idiot'") == [False]
+    assert quoted('"one" two three four five six idiot "no"') == [False], "the first pair stands outside the window"
+
+
+def test_near_dedup_keeps_one_row_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(60))
+    near = long + " more"
+    rows = [(None, "a text of its own with some words", 1), (7, long, 2), (7, long, 2), (3, near, 3), (None, long, 4), (9, "twice the very same text here", 5), (9, "twice the very same text here", 5),
+            (None, "nobody knows whose text this one is", 6), (None, "nobody knows whose text this one is", 6), (4, None, 7), (2, "", 8), (5, "one id and", 9), (5, "two other texts of few words", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int").withColumn("key", F.lit("k"))
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r["component_id"] for r in out.collect()) == [1, 3, 5, 6, 8, 9, 10]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
