@@ -119,7 +119,10 @@ def _names(runs: DataFrame, longest: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input with ``text`` without deleted lines, plus ``n_lines`` and ``n_deleted``; null text stays null."""
+    """The input with ``text`` without deleted lines, plus ``n_lines`` and ``n_deleted``; null text stays null.
+
+    Columns of the input that are called like the two counts, in any case, give way to them.
+    """
     runs = repeated_runs(docs, min_words, id_col, text)
     gone = runs.select(*_DOC, F.explode(F.sequence("first", "last")).alias("pos")).groupBy(*_DOC).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), *_keys(id_col, text))
@@ -130,7 +133,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     spans = F.arrays_zip(starts.alias("s"), ends.alias("e"))
     kept = F.flatten(F.transform(spans, lambda z: F.slice(F.col("_lines"), z["s"] + 1, z["e"] - z["s"])))
     new = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    cols = [new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    cols = [new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
     return df.select(*cols, F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_deleted"))
 
 

@@ -29,6 +29,10 @@ SEED = 42
 TILE = 512
 #: Shingles of all texts of a tile of ``near_duplicates``, about; bounds what an exact check of the tile holds.
 TILE_SHINGLES = 1_000_000
+#: Differing bits of 256 within which texts of similarity 0.8 are candidates. A bit differs with probability 3/16 at most
+#: (4 shingles of 5; 0.161 from 12 of 15 on), so a link of 4 in 5 shingles is lost once in two million, any other once in
+#: 10^9 (exact binomial tails); of unrelated pairs one in 10^9 is a candidate, a tile pair in a thousand has one.
+RADIUS = 80
 
 
 def shingle_hashes(raw: bytes, n: int) -> np.ndarray:
@@ -311,10 +315,11 @@ def _links_behind_failures(failed: DataFrame, pairs: DataFrame, marks: DataFrame
     return tiles.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, radius: int = 60, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, component_id) by links of texts whose ``shingle``-word sets have Jaccard ``similarity`` or more.
 
-    ``words`` 64-bit fingerprints within ``radius`` bits give candidates. At this similarity sizes of the sets
+    ``words`` 64-bit fingerprints within ``radius`` bits give candidates; what the radius can lose is stated at
+    ``RADIUS``, which holds for the default similarity and four words. At this similarity sizes of the sets
     differ by a factor of 1/similarity at most, so tiles are cut by size and only near sizes meet, besides the
     population counts that skip pairs of tiles. A tile pair passes on its nearest spanning forest; the exact
     check of those links follows on the texts, inside tiles first, and where one fails the links that it hid are

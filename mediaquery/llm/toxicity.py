@@ -30,13 +30,9 @@ from mediaquery.llm.common import cut_lineage, to_batch
 WINDOW = 5
 #: Labelled training rows at most; more are thinned by hash.
 TRAIN_ROWS = 30_000
-#: Lexicon entries at most, those with most evidence first.
-ENTRIES = 4_000
 #: What an entry needs, however many labels there are: toxic texts, log-likelihood ratio against chance (25: about one in
 #: two million), and its rate in toxic texts over that in clean ones. Precision, context and quotation do the rest.
 LEAST, EVIDENCE, LIFT = 3, 25.0, 3.0
-#: Context words at most, the most frequent around hits.
-CONTEXT_WORDS = 2_000
 #: Letters of the word beginnings that may become entries; longer ones tell rarer stems apart.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Different words that a beginning needs to count as a stem.
@@ -225,7 +221,8 @@ def learn(train: DataFrame) -> Model:
     # a stem tolerates no edits, so its forms are matched as whole words, too; their evidence is the stem's
     chosen = chosen.unionByName(forms.select("w", "h").join(stems.select("h", "g", "p"), "h").select(F.col("w").alias("term"), F.lit(False).alias("open"), "g", "p"))
     chosen = chosen.unionByName(stems.select(F.col("form").alias("term"), F.lit(False).alias("open"), "g", "p")).groupBy("term", "open").agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    found = chosen.orderBy(F.desc("g"), "term", "open").limit(ENTRIES).collect()
+    # every entry stands in ``LEAST`` toxic texts of the sample, so its bound is theirs
+    found = chosen.orderBy(F.desc("g"), "term", "open").collect()
     begins = {r["term"]: r["p"] for r in found if r["open"]}
     covered = lambda term, p: any(begins.get(term[:n], -1.0) >= p for n in range(1, len(term)))
     kept = [(r["term"], r["open"]) for r in found if not (r["open"] and covered(r["term"], r["p"]))]
@@ -292,7 +289,7 @@ def _weigh(model: Model, train: DataFrame, toxic: int) -> None:
                 weight = math.log((n["t"] + 10 * share[q][0]) / (t + 10)) - math.log((n["c"] + 10 * share[q][1]) / (c + 10))
                 model.marks[k, q] = max(-3.0, min(3.0, weight))
     if clean_hits >= 20:
-        for r in sums.where("kind = 'word' and t + c >= 20").orderBy(F.desc(F.col("t") + F.col("c")), "key").limit(CONTEXT_WORDS).collect():
+        for r in sums.where("kind = 'word' and t + c >= 20").collect():  # twenty hits of the sample each
             weight = math.log((r["t"] + 1) / (toxic_hits + 2)) - math.log((r["c"] + 1) / (clean_hits + 2))
             model.context[r["key"]] = max(-1.0, min(1.0, weight / 2))
 

@@ -474,7 +474,7 @@ def test_line_runs_equal_brute_force(spark, most):
     rows = [(i, "\n".join(" ".join([f"w{k}"] * min(k, most)) for k in (rng.randint(0, 5) for _ in range(rng.randint(1, 14))))) for i in range(50)]
     rows += [(100, None), (101, ""), (102, "\n\n")]
     df = spark.createDataFrame(rows, ODD_DDL).withColumns({"d": F.lit(1), "pos": F.lit(2), "n_lines": F.lit(3)})
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df.drop("n_lines"), 7).collect()}
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df.withColumn("N_Deleted", F.lit(4)), 7).collect()}
     assert [got[k] for k, _ in rows] == plain_runs(rows, 7)
     kept = linededup.dedup_documents(df, 7)
     assert kept.columns == df.columns

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mediaquery.llm import chat, hardneg, toxicity, vqcode
+from mediaquery.llm import chat, hardneg, simhash, toxicity, vqcode
 
 NAN, INF = float("nan"), float("inf")
 VECTORS_DDL = "vec_id long, label int, embedding array<double>, id int, q string, code int"
@@ -227,3 +227,21 @@ def test_near_dedup_keeps_one_row_of_null_and_repeated_ids(spark):
     assert out.columns == docs.columns
     assert sorted(r["component_id"] for r in out.collect()) == [1, 3, 5, 6, 8, 9, 10]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_duplicates_on_the_boundary(spark):
+    """Links of 4 in 5 and of 12 in 15 shingles, just at 0.8: all found, and pairs just below stay apart."""
+    def pair(n, words, more):
+        text = [f"w{n}x{k}" for k in range(words + more)]
+        return " ".join(text[:words]), " ".join(text)
+
+    kinds = [(8, 1, True), (16, 3, True), (7, 1, False), (15, 3, False)]
+    rows, want = [], {}
+    for k, (words, more, linked) in enumerate(kinds):
+        for n in range(1_500):
+            a = 2 * (k * 1_500 + n)
+            short, long = pair(a, words, more)
+            rows += [(a, short), (a + 1, long)]
+            want |= {a: a, a + 1: a if linked else a + 1}
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
