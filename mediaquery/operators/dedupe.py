@@ -7,6 +7,8 @@ settle the rest with joins, so no task ever gathers an unbounded group and the r
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -186,17 +188,14 @@ def review_windows(
         distinct_in_order("description"), [key, "window"], "left")
 
 
-def hash_near_duplicates(frames: DataFrame, prior: DataFrame, distance: int = 10, scope: str | None = None) -> DataFrame:
-    """Distance from each frame hash to the nearest prior hash within ``distance`` (null when none).
+def near_hashes(left: DataFrame, right: DataFrame, distance: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, hash, prior_hash, gap) of the distinct hashes of both sides within ``distance``; a pair may come repeatedly.
 
-    Copies are collapsed to distinct hashes. The 64 bits are cut into four words of 16; two hashes
-    within ``distance`` agree in some word up to ``distance // 4`` flipped bits, so the prior side is
-    spread over those flips and both meet in an equi-join on (word, value) - exact, with about one
-    candidate per 500 pairs, against one per 6 with single-bit-exact narrow bands.
+    The 64 bits are cut into four words of 16; two hashes within ``distance`` agree in some word up to
+    ``distance // 4`` flipped bits, so the prior side is spread over those flips and both meet in an equi-join on
+    (word, value) - exact, with about one candidate per 500 pairs, against one per 6 with single-bit-exact narrow bands.
     """
-    keys = [scope] if scope else []
-    left = frames.select(*keys, "hash").distinct()
-    right = prior.select(*keys, F.col("hash").alias("prior_hash")).distinct()
+    left, right = left.select(*keys, "hash"), right.select(*keys, F.col("hash").alias("prior_hash"))
     flips = _flip_masks(16, distance // 4)
 
     def words(h: Column) -> Column:
@@ -206,8 +205,15 @@ def hash_near_duplicates(frames: DataFrame, prior: DataFrame, distance: int = 10
     b = right.select("*", F.explode(words(F.col("prior_hash"))).alias("w")).select(*right.columns, "w.*")
     b = b.select(*right.columns, "word", "value", F.explode(F.array(*[F.lit(m) for m in flips])).alias("m")).select(
         *right.columns, "word", F.col("value").bitwiseXOR(F.col("m")).alias("value"))
-    gap = hash_distance(F.col("hash"), F.col("prior_hash"))
-    near = a.join(b, [*keys, "word", "value"]).where(gap <= distance).groupBy(*keys, "hash").agg(F.min(gap).cast("int").alias("nearest"))
+    gap = hash_distance(F.col("hash"), F.col("prior_hash")).cast("int")
+    return a.join(b, [*keys, "word", "value"]).withColumn("gap", gap).where(F.col("gap") <= distance).select(*keys, "hash", "prior_hash", "gap")
+
+
+def hash_near_duplicates(frames: DataFrame, prior: DataFrame, distance: int = 10, scope: str | None = None) -> DataFrame:
+    """Distance from each frame hash to the nearest prior hash within ``distance`` (null when none); copies meet once."""
+    keys = [scope] if scope else []
+    near = near_hashes(frames.select(*keys, "hash").distinct(), prior.select(*keys, "hash").distinct(), distance, keys)
+    near = near.groupBy(*keys, "hash").agg(F.min("gap").alias("nearest"))
     return frames.join(near, [*keys, "hash"], "left").withColumn("duplicate", F.col("nearest").isNotNull())
 
 

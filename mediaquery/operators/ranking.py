@@ -81,11 +81,11 @@ def source_capped_topn(candidates: DataFrame, per_source: int, total: int, sourc
     return top_per_key(candidates, source, order, per_source, "source_rank").orderBy(*order).limit(total)
 
 
-def cover_option_fallback(options: DataFrame) -> DataFrame:
+def cover_option_fallback(options: DataFrame, keys: Sequence[str] = ("creative_id",)) -> DataFrame:
     """First acceptable new frame, else first new frame, else first frame, per creative, in one aggregate."""
     tier = F.when(F.col("acceptable") & ~F.col("duplicate"), 0).when(~F.col("duplicate"), 1).otherwise(2)
-    payload = F.struct(*[c for c in options.columns if c != "creative_id"], tier.alias("tier"))
-    return options.groupBy("creative_id").agg(F.min_by(payload, F.struct(tier, "ordinal")).alias("o")).select("creative_id", "o.*")
+    payload = F.struct(*[c for c in options.columns if c not in keys], tier.alias("tier"))
+    return options.groupBy(*keys).agg(F.min_by(payload, F.struct(tier, "ordinal")).alias("o")).select(*keys, "o.*")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
