@@ -40,7 +40,7 @@ def _(s, sf):
 
 
 COVERS = {
-    "sel": """SELECT u.run_id, u.creative_id, u.pos, c.* FROM (SELECT o_custkey AS run_id, l_orderkey AS creative_id, l_partkey AS candidate_id, min(l_linenumber) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) u
+    "sel": """SELECT u.run_id, u.creative_id, u.pos, c.* FROM (SELECT o_custkey AS run_id, l_orderkey AS creative_id, l_partkey AS candidate_id, min(l_linenumber * 10000000 + l_partkey) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) u
  JOIN cand c USING (candidate_id)""",
     "top": """SELECT *, row_number() OVER (PARTITION BY creative_id ORDER BY CASE event WHEN 'purchase' THEN 1.0 WHEN 'view' THEN 0.92 WHEN 'click' THEN 0.84 ELSE 0.55 END DESC,
   aesthetic DESC, subject_visibility DESC, sharpness DESC, composition DESC, payoff DESC, pos)::INTEGER AS rank FROM sel QUALIFY rank <= 5""",
@@ -59,7 +59,7 @@ COVERS = {
  FROM top t LEFT JOIN walk w ON w.run_id = t.run_id AND w.creative_id = t.creative_id LEFT JOIN opt o ON o.creative_id = w.creative_id AND o.ordinal = w.ordinal WHERE t.rank = 1"""))
 def _(s, sf):
     orders, lines = views.table(s, sf, "orders"), views.table(s, sf, "lineitem")
-    used = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("run_id"), F.col("l_orderkey").alias("creative_id"), F.col("l_partkey").alias("candidate_id")).agg(F.min("l_linenumber").alias("pos"))
+    used = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("run_id"), F.col("l_orderkey").alias("creative_id"), F.col("l_partkey").alias("candidate_id")).agg(F.min(F.expr("l_linenumber * 10000000 + l_partkey")).alias("pos"))  # line numbers repeat within an order
     selected = used.join(views.cand(s, sf), "candidate_id").withColumn("peak_ms", F.lit(None).cast("long"))
     # three frames per candidate; one candidate in eleven has none that could be decoded
     shots = views.cand(s, sf).where("candidate_id % 11 <> 0").select("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sample"))

@@ -13,6 +13,8 @@ from mediaquery.operators.ranking import cover_option_fallback, rank_cover_candi
 from mediaquery.session import cut_lineage, forget
 
 _CREATIVE = ("run_id", "creative_id")
+#: Distinct hashes up to which a run's hashes are compared by many short words; beyond, fewer candidates outweigh more copies.
+FEW_HASHES = 3_000
 
 
 def choose_covers(options: DataFrame, distance: int = 10) -> DataFrame:
@@ -26,7 +28,8 @@ def choose_covers(options: DataFrame, distance: int = 10) -> DataFrame:
     """
     rows = cut_lineage(options)
     hashes = rows.where("hash is not null").select("run_id", "hash").distinct()
-    near = cut_lineage(near_hashes(hashes, hashes, distance, ["run_id"]).select("run_id", "hash", "prior_hash").distinct())
+    hashes = cut_lineage(hashes)
+    near = cut_lineage(_near_in_run(hashes, distance))
 
     def reached(offers: DataFrame, name: str) -> DataFrame:
         """Per hash the earliest creative among those of ``offers`` with a hash near it."""
@@ -52,11 +55,19 @@ def choose_covers(options: DataFrame, distance: int = 10) -> DataFrame:
             forget(before)
             if same:
                 break
-    for table in (near, late, contested, rows):
+    for table in (near, hashes, late, contested, rows):
         forget(table)
     return free.unionByName(chosen)
 
 
+def _near_in_run(hashes: DataFrame, distance: int) -> DataFrame:
+    """(run_id, hash, prior_hash): the pairs of a run's hashes within ``distance``, each hash with itself included."""
+    large = hashes.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_HASHES).select("run_id")
+    few, many = hashes.join(large, "run_id", "left_anti"), hashes.join(large, "run_id", "left_semi")
+    both = near_hashes(few, few, distance, ["run_id"], distance + 1).unionByName(near_hashes(many, many, distance, ["run_id"]))
+    return both.select("run_id", "hash", "prior_hash").distinct()
+
+
 def cover_plan(selected: DataFrame, frames: DataFrame, preferred: Sequence[str], k: int = 5, samples: int = 3, distance: int = 10) -> DataFrame:
     """The cover of every creative: candidate, time, hash, tier (0 acceptable and new, 1 new, 2 any) and mode.
 

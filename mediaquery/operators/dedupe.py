@@ -188,21 +188,23 @@ def review_windows(
         distinct_in_order("description"), [key, "window"], "left")
 
 
-def near_hashes(left: DataFrame, right: DataFrame, distance: int, keys: Sequence[str] = ()) -> DataFrame:
+def near_hashes(left: DataFrame, right: DataFrame, distance: int, keys: Sequence[str] = (), words: int = 4) -> DataFrame:
     """(keys, hash, prior_hash, gap) of the distinct hashes of both sides within ``distance``; a pair may come repeatedly.
 
-    The 64 bits are cut into four words of 16; two hashes within ``distance`` agree in some word up to
-    ``distance // 4`` flipped bits, so the prior side is spread over those flips and both meet in an equi-join on
-    (word, value) - exact, with about one candidate per 500 pairs, against one per 6 with single-bit-exact narrow bands.
+    The 64 bits are cut into words; two hashes within ``distance`` agree in some word up to ``distance // words``
+    flipped bits, so the prior side is spread over those flips and both meet in an equi-join on (word, value) - exact.
+    At distance 10, four words make 548 copies of a hash and one candidate per 120 pairs, for many hashes; eleven words
+    make 11 copies and one candidate per 6, for few.
     """
     left, right = left.select(*keys, "hash"), right.select(*keys, F.col("hash").alias("prior_hash"))
-    flips = _flip_masks(16, distance // 4)
+    cuts = [i * 64 // words for i in range(words + 1)]
+    flips = _flip_masks(max(hi - lo for lo, hi in zip(cuts, cuts[1:])), distance // words)
 
-    def words(h: Column) -> Column:
-        return F.array(*[F.struct(F.lit(i).alias("word"), F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(4)])
+    def parts(h: Column) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("word"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << hi - lo) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
 
-    a = left.select("*", F.explode(words(F.col("hash"))).alias("w")).select(*left.columns, "w.*")
-    b = right.select("*", F.explode(words(F.col("prior_hash"))).alias("w")).select(*right.columns, "w.*")
+    a = left.select("*", F.explode(parts(F.col("hash"))).alias("w")).select(*left.columns, "w.*")
+    b = right.select("*", F.explode(parts(F.col("prior_hash"))).alias("w")).select(*right.columns, "w.*")
     b = b.select(*right.columns, "word", "value", F.explode(F.array(*[F.lit(m) for m in flips])).alias("m")).select(
         *right.columns, "word", F.col("value").bitwiseXOR(F.col("m")).alias("value"))
     gap = hash_distance(F.col("hash"), F.col("prior_hash")).cast("int")

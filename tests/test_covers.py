@@ -22,7 +22,7 @@ def one_after_the_other(rows, distance):
     return out
 
 
-def test_covers_equal_the_sequential_choice(spark):
+def test_covers_equal_the_sequential_choice(spark, monkeypatch):
     rng = random.Random(7)
     pool = [rng.getrandbits(63) for _ in range(12)]
     rows = []
@@ -39,3 +39,7 @@ def test_covers_equal_the_sequential_choice(spark):
     got = {(r["run_id"], r["creative_id"]): (r["ordinal"], r["tier"]) for r in covers.choose_covers(df).collect()}
     assert got == one_after_the_other(rows, 10)
     assert covers.choose_covers(df.limit(0)).count() == 0
+    few = covers._near_in_run(df.where("hash is not null").select("run_id", "hash").distinct(), 10)
+    monkeypatch.setattr(covers, "FEW_HASHES", 20)
+    many = covers._near_in_run(df.where("hash is not null").select("run_id", "hash").distinct(), 10)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
